@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: list[str] = []
 
@@ -48,3 +49,14 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
 def utf8(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """The texts of a batch as UTF-8; null becomes empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
+
+
+def join_frequent(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """Inner join on ``key``, unique in ``right``, whose column ``weight`` says how many rows of ``left`` have it.
+
+    Keys with over a thousandth of ``total`` rows are a thousand at most: they are broadcast and leave the shuffle.
+    """
+    many = F.col(weight) > max(1, total // 1000)
+    hot, rest = right.where(many), right.where(~many)
+    far = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key)
+    return left.join(F.broadcast(hot), key).unionByName(far)

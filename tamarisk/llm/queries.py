@@ -8,10 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import cutting_stock, ecoc_language, hilbert_shards, prefix_bpe, simhash_ring
+from . import (
+    block_topk,
+    cutting_stock,
+    ecoc_language,
+    embedding_forest,
+    hilbert_shards,
+    prefix_bpe,
+    secret_ownership,
+    simhash_ring,
+)
 from .common import table
 
 
+def op1_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_forest.link_vectors(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 def op3_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
@@ -19,6 +33,12 @@ def op3_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.digest_documents(table(spark, sf_dir, "documents"), path, P.PATTERN)
 
 
+def op5_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_ownership.scan(table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", digest, "spans", "n_live", "n_copied")
+
+
 def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = hilbert_shards.hilbert_shards(table(spark, sf_dir, "documents"))
     return out.select(
@@ -46,6 +66,11 @@ def op8_simhash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = block_topk.quantize(table(spark, sf_dir, "embeddings"))
+    return block_topk.top_k(rows, F.col("vec_id") % 50 == 0)
+
+
 def op10_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
