@@ -108,10 +108,14 @@ def fit(labelled: DataFrame, bits: int = BITS) -> Model | None:
     return Model(languages, counts)
 
 
-def predict(docs: DataFrame, model: Model | None, bits: int = BITS, clear: float = CLEAR) -> DataFrame:
-    """(doc_id, lang_pred, score, ambiguous): null or letterless texts are ``und`` with score 0 and ambiguous; so is
-    everything without a model. Repeated rows stay, and no column but the text is an input."""
+def predict(
+    docs: DataFrame, model: Model | None, bits: int = BITS, clear: float = CLEAR, columns: list[str] | None = None
+) -> DataFrame:
+    """``columns`` of ``docs`` (doc_id, if not given) with lang_pred, score and ambiguous. Null or letterless texts are
+    ``und`` with score 0 and ambiguous; so is everything without a model. Repeated rows stay, and no column but the text is
+    an input. Columns of the result's own names must not be among ``columns``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = columns or ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -125,8 +129,10 @@ def predict(docs: DataFrame, model: Model | None, bits: int = BITS, clear: float
                 for i, k in zip(has, best, strict=True):
                     lang[i] = m.languages[k]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score), pa.array(score < clear)],
-                ["doc_id", "lang_pred", "score", "ambiguous"],
+                [*(b.column(n) for n in names), pa.array(lang, pa.string()), pa.array(score), pa.array(score < clear)],
+                [*names, "lang_pred", "score", "ambiguous"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
+    own = docs.select(*dict.fromkeys([*names, "text"]))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for n in names for f in [own.schema[n]])
+    return own.mapInArrow(run, f"{fields}, lang_pred string, score double, ambiguous boolean")

@@ -8,6 +8,8 @@ import numpy as np
 BASE, STEP, MIX = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Every ASCII byte but letters and digits.
+NOT_WORD = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers = np.ones(1, np.uint64)
@@ -29,11 +31,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, document index, start and end (bytes within its text) of every white-space separated word, A-Z lowered."""
+def words(texts: list[bytes], blanks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, document index, start and end (bytes within its text) of every word, A-Z lowered. Bytes marked in ``blanks``
+    (white space, if not given) separate words."""
     joined = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     _grow(len(joined) + 1)
-    blank = _SPACE[joined]
+    blank = blanks[joined]
     edge = np.flatnonzero(np.diff(np.r_[True, blank]))
     start, end = edge[::2], edge[1::2]
     sums = np.r_[np.zeros(1, np.uint64), np.cumsum((_LOWER[joined].astype(np.uint64) + np.uint64(1)) * _powers[: len(joined)])]

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from ..session import ship
 from . import (
     block_topk,
+    chain_dedup,
     cutting_stock,
     ecoc_language,
     embedding_forest,
     hilbert_shards,
+    ordinal_quality,
     prefix_bpe,
     secret_ownership,
     simhash_ring,
@@ -21,11 +23,23 @@ from . import (
 from .common import table
 
 
+#: Probability of the highest grade from which a document is selected.
+SELECT = 0.4
+
+
 def op1_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = embedding_forest.link_vectors(table(spark, sf_dir, "embeddings"))
     return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
+def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades from the labels: 0 toxic, 1 of low quality, 2 neither. ``selected``: likely of the highest grade."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
+    model = ordinal_quality.fit(docs, labels.select("doc_id", grade.cast("long").alias("grade")))
+    return ordinal_quality.score(docs, model).withColumn("selected", F.col("tail") >= SELECT)
+
+
 def op3_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
@@ -33,6 +47,10 @@ def op3_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.digest_documents(table(spark, sf_dir, "documents"), path, P.PATTERN)
 
 
+def op4_chain_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chain_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_ownership.scan(table(spark, sf_dir, "documents"))
     digest = F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256")
