@@ -145,7 +145,9 @@ def solve(histogram: dict[int, int], limit: int = LIMIT, gap: float = GAP) -> li
     """Patterns (length -> pieces of it) and how many sequences use each; together they hold every piece once.
 
     The linear program covers the counts by column generation with the revised simplex method: first columns that fill
-    sequences greedily, then those that the knapsack prices best. Uses are rounded down; what remains, a few thousand pieces at most whatever the counts, is packed first fit,
+    sequences greedily, then those that the knapsack prices best. Uses are rounded down, and never beyond what is left, so
+    that rounding errors of the pivots cannot make a plan wrong; what remains, a few thousand pieces at most whatever the
+    counts, is packed first fit,
     longest first.
     """
     lengths = np.array(sorted(x for x, c in histogram.items() if c > 0 and 0 < x <= limit))
@@ -159,7 +161,7 @@ def solve(histogram: dict[int, int], limit: int = LIMIT, gap: float = GAP) -> li
     inverse = np.diag(1.0 / np.array([limit // x for x in lengths]))
     used = inverse @ counts
     pool = np.array(greedy(lengths, counts.astype(np.int64), limit), float)
-    for step in range(12 * m):
+    for _ in range(12 * m):
         prices = inverse.sum(0)
         worths = pool @ prices
         k = int(worths.argmax())
@@ -179,9 +181,6 @@ def solve(histogram: dict[int, int], limit: int = LIMIT, gap: float = GAP) -> li
         row = inverse[out] / way[out]
         inverse -= np.outer(way, row)
         inverse[out] = row
-        if step % 200 == 199:  # rounding errors don't build up
-            inverse = np.linalg.inv(np.array(patterns, float).T)
-            used = np.maximum(inverse @ counts, 0)
     left = counts.astype(np.int64)
     plan: list[tuple[dict[int, int], int]] = []
     for i in np.argsort(-used):
