@@ -1,15 +1,543 @@
-"""Registered queries of the price-intelligence operators."""
+"""Registered queries of the price-intelligence operators over the star-schema tables, with their SQL equivalents.
+
+Each query is added with ``@query(sql)``; without SQL it is tested against fixtures. All run over whole tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import features as X
+from .functions import keys as K
+from .functions import pricing as P
+from .functions import text as T
+from .functions.html import product, tag_text
+from .functions.similarity import jaccard, similarity
+from .operators import aggregates as A
+from .operators import export as E
+from .operators import filters as Fl
+from .operators import history as H
+from .operators import matching as M
+from .operators import merge as U
+from .operators import routing as R
+from .plans import analysis
+from .session import ship
+from .sources.tables import catalogue, events, offers, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+AS_OF = "1998-09-02"
+
+OFFERS = """offers AS (
+  SELECT l_orderkey * 10 + l_linenumber AS id, s_name AS store, l_partkey AS product_id, l_extendedprice / l_quantity AS price,
+         l_discount AS discount, CAST(l_shipdate AS DATE) AS seen, p_brand AS brand, p_name AS name
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON p_partkey = l_partkey)"""
+BEST = OFFERS + """, best AS (
+  SELECT product_id, min(price) AS comp_price, count(*) AS offer_count FROM offers WHERE price > 0 GROUP BY 1)"""
+PRICED = BEST + """, both_prices AS (
+  SELECT p_partkey AS our_id, p_retailprice AS ours, comp_price, (p_retailprice + comp_price) / 2 AS mean
+  FROM part LEFT JOIN best ON p_partkey = product_id), limits AS (
+  SELECT *, round(CAST(CAST(ours - comp_price AS VARCHAR) AS DECIMAL(28, 12)), 2)::DOUBLE AS diff,
+    CASE WHEN mean >= 300 THEN mean * 0.05 ELSE 5.0 END AS threshold FROM both_prices), priced AS (
+  SELECT our_id, ours AS our_price, comp_price, coalesce(diff, 0.0) AS diff,
+    CASE WHEN comp_price IS NULL THEN 'review' WHEN diff > threshold THEN 'raise' WHEN diff < -threshold THEN 'lower'
+         ELSE 'approve' END AS action FROM limits)"""
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        key = name or f.__name__
+        _QUERIES[key] = f
+        if sql:
+            _SQL[key] = sql
+        return f
+
+    return add
+
+
+# Pricing and routing.
+
+
+@query(
+    f"""WITH {PRICED} SELECT our_id, our_price, comp_price, diff AS diff_ours_minus_comp, action,
+    CASE action WHEN 'raise' THEN 'price_raise' WHEN 'lower' THEN 'price_lower' WHEN 'approve' THEN 'approved' ELSE 'review' END
+    AS section FROM priced"""
+)
+def pricing_sections(spark: SparkSession, d: str) -> DataFrame:
+    rows = analysis.pricing_analysis(catalogue(spark, d), offers(spark, d))
+    return rows.select("our_id", "our_price", "comp_price", "diff_ours_minus_comp", "action", "section")
+
+
+@query(
+    f"""WITH {PRICED} SELECT CASE action WHEN 'raise' THEN 'price_raise' WHEN 'lower' THEN 'price_lower' WHEN 'approve' THEN
+    'approved' ELSE 'review' END AS section, count(*) AS n FROM priced GROUP BY 1"""
+)
+def section_counts(spark: SparkSession, d: str) -> DataFrame:
+    return A.count_by(R.route(analysis.priced(catalogue(spark, d), offers(spark, d))), "section")
+
+
+@query(f"WITH {PRICED} SELECT count(*) AS n_in, count(*) AS n_out, 0 AS gap FROM priced")
+def section_balance(spark: SparkSession, d: str) -> DataFrame:
+    return R.balance(analysis.priced(catalogue(spark, d), offers(spark, d)))
+
+
+@query(
+    f"""WITH {PRICED}, r AS (SELECT our_id, our_price, comp_price, CASE WHEN our_price - comp_price > 1 AND
+    greatest(round(comp_price - 1, 2), 1.0) < our_price THEN 'lower' WHEN comp_price - our_price > 1 THEN 'raise' ELSE 'keep' END
+    AS action FROM priced) SELECT count(*) AS total, count(*) FILTER (action = 'lower') AS lower,
+    count(*) FILTER (action = 'raise') AS raise, count(*) FILTER (action = 'keep') AS keep FROM r"""
+)
+def automation_summary(spark: SparkSession, d: str) -> DataFrame:
+    rows = analysis.priced(catalogue(spark, d), offers(spark, d))
+    rows = rows.withColumn("r", P.rule("our_price", "comp_price", F.lit(100.0)))
+    return A.automation_summary(rows.select("our_price", "r.*")).select("total", "lower", "raise", "keep")
+
+
+@query(
+    f"""WITH {BEST} SELECT p_partkey AS our_id, CASE WHEN comp_price > 0 THEN round(comp_price - 1, 2) ELSE 0.0 END AS undercut,
+    CASE WHEN comp_price > 0 THEN round(comp_price * 1.15, 0) ELSE 0.0 END AS with_margin
+    FROM part LEFT JOIN best ON p_partkey = product_id"""
+)
+def suggested_prices(spark: SparkSession, d: str) -> DataFrame:
+    rows = analysis.priced(catalogue(spark, d), offers(spark, d))
+    return rows.select("our_id", P.undercut("comp_price").alias("undercut"), P.with_margin("comp_price", 15).alias("with_margin"))
+
+
+@query(
+    f"""WITH {PRICED} SELECT our_id, CASE WHEN action IN ('raise', 'lower') THEN 'raise_or_lower' ELSE action END AS kind
+    FROM priced WHERE comp_price IS NOT NULL AND our_price BETWEEN 900 AND 1200"""
+)
+def filtered_decisions(spark: SparkSession, d: str) -> DataFrame:
+    rows = analysis.priced(catalogue(spark, d), offers(spark, d)).withColumn("price", F.col("our_price"))
+    rows = Fl.search(rows.where("comp_price is not null"), price_min=900, price_max=1200)
+    kind = F.when(F.col("action").isin("raise", "lower"), "raise_or_lower").otherwise(F.col("action"))
+    return rows.select("our_id", kind.alias("kind"))
+
+
+@query(
+    f"""WITH {PRICED} SELECT CAST(our_id AS VARCHAR) AS product_id, CASE WHEN comp_price > 0
+    THEN greatest(round(comp_price - 1, 2), 0.0) ELSE our_price END AS price FROM priced WHERE action = 'raise' AND our_id <> 0"""
+)
+def raise_payloads(spark: SparkSession, d: str) -> DataFrame:
+    rows = analysis.priced(catalogue(spark, d), offers(spark, d)).where("action = 'raise'")
+    sent = E.payloads(rows.withColumn("product_id", F.col("our_id")), "raise")
+    return sent.select("product_id", F.get_json_object("payload", "$.price").cast("double").alias("price"))
+
+
+# Aggregates.
+
+
+@query(
+    f"""WITH {OFFERS} SELECT store, count(*) AS total, round(avg(price), 0) AS avg_price, round(min(price), 0) AS min_price,
+    round(max(price), 0) AS max_price, count(*) FILTER (discount > 0) AS discounted,
+    count(*) FILTER (seen >= DATE '{AS_OF}' - 7) AS new_products FROM offers GROUP BY store"""
+)
+def store_comparison(spark: SparkSession, d: str) -> DataFrame:
+    return A.compare_stores(offers(spark, d), AS_OF)
+
+
+@query(
+    f"""WITH {OFFERS} SELECT count(*) AS offers, count(DISTINCT store) AS stores, count(DISTINCT brand) AS brands,
+    count(DISTINCT product_id) AS products, count(DISTINCT product_id) FILTER (discount > 0) AS discounted_products,
+    round(avg(price), 2) AS avg_price FROM offers"""
+)
+def offer_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return A.statistics(offers(spark, d))
+
+
+@query(
+    f"""WITH {OFFERS}, e AS (SELECT product_id, store, min(price) FILTER (price > 0) AS price, count(*) AS n FROM offers GROUP BY 1, 2)
+    SELECT product_id, count(*) AS store_count, sum(n)::BIGINT AS offer_count, min(price) AS min_price, max(price) AS max_price,
+    round(avg(price), 1) AS avg_price, string_agg(store, '، ' ORDER BY price, store) AS stores,
+    greatest(0.0, round(min(price) - 1, 2)) AS suggested FROM e GROUP BY 1"""
+)
+def merged_offers(spark: SparkSession, d: str) -> DataFrame:
+    return A.merge_offers(offers(spark, d), ["product_id"]).drop("details")
+
+
+@query(
+    """SELECT p_brand AS brand, count(*) AS n, round(max(p_retailprice), 2) AS top FROM part GROUP BY ROLLUP (p_brand)"""
+)
+def brand_totals(spark: SparkSession, d: str) -> DataFrame:
+    return A.with_total(catalogue(spark, d), "brand", F.count("*").alias("n"), F.round(F.max("our_price"), 2).alias("top"))
+
+
+@query("SELECT event_type AS status, count(*) AS n FROM events GROUP BY 1")
+def status_counts(spark: SparkSession, d: str) -> DataFrame:
+    return A.count_by(events(spark, d), "status")
+
+
+@query(
+    f"""WITH {OFFERS}, c AS (SELECT name, arg_min(struct_pack(id := id, product_id := product_id, price := price), struct_pack(p := price, i := id, x := product_id)) AS r
+    FROM offers GROUP BY 1) SELECT name, r.price AS price FROM c"""
+)
+def cheapest_by_name(spark: SparkSession, d: str) -> DataFrame:
+    return A.cheapest(offers(spark, d), "name", "id").select("name", "price")
+
+
+@query(
+    """SELECT value, place FROM (SELECT DISTINCT trim(p_brand) AS value, 1 AS place FROM part WHERE trim(p_brand) <> ''
+    UNION ALL SELECT 'الكل', 0)"""
+)
+def brand_options(spark: SparkSession, d: str) -> DataFrame:
+    return A.options(catalogue(spark, d), "brand")
+
+
+@query(
+    """SELECT DISTINCT p_type AS value FROM part WHERE length(p_type) BETWEEN 2 AND 50 AND lower(p_type) NOT IN
+    (SELECT lower(p_type) FROM part WHERE p_size < 5)"""
+)
+def new_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    c = catalogue(spark, d)
+    return A.vocabulary(c, "kind", c.where("size < 5").select(F.col("kind").alias("value")))
+
+
+@query(
+    f"""WITH {OFFERS}, m AS (SELECT product_id, count(DISTINCT store) AS n, min(price) AS price FROM offers WHERE price > 0 GROUP BY 1), s AS (
+    SELECT product_id, 40.0 * n / (SELECT max(n) FROM m) + 25 + CASE WHEN price BETWEEN 100 AND 500 THEN 20 WHEN price > 500 AND price <= 1000 THEN 14
+    WHEN price >= 50 AND price < 100 THEN 8 ELSE 0 END + 5 AS score FROM m)
+    SELECT product_id, least(100.0, round(score, 0)) AS priority, CASE WHEN least(100.0, round(score, 0)) >= 80 THEN 'urgent'
+    WHEN round(score, 0) >= 60 THEN 'high' WHEN round(score, 0) >= 40 THEN 'medium' ELSE 'low' END AS level FROM s"""
+)
+def missing_priority(spark: SparkSession, d: str) -> DataFrame:
+    m = A.merge_offers(offers(spark, d).where("price > 0"), ["product_id"]).withColumn("price", F.col("min_price"))
+    more = {"confidence": F.lit("green"), "image": F.lit(""), "brand": F.lit("x"), "category": F.lit("")}
+    return A.priority(m.withColumns(more)).select("product_id", "priority", "level")
+
+
+# History, windows, order.
+
+
+@query(
+    f"""WITH {OFFERS}, t AS (SELECT product_id, store, min(price) AS price FROM offers GROUP BY 1, 2)
+    SELECT product_id, store, price, row_number() OVER (PARTITION BY product_id ORDER BY price, store)::INT AS place FROM t
+    QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY price, store) <= 3"""
+)
+def top_offers(spark: SparkSession, d: str) -> DataFrame:
+    best = offers(spark, d).groupBy("product_id", "store").agg(F.min("price").alias("price"))
+    return H.top_n(best, ["product_id"], [F.col("price"), F.col("store")], 3)
+
+
+@query(
+    f"""WITH {OFFERS}, p AS (SELECT n.product_id, n.store, n.id AS new_id, o.id AS old_id, round(n.price - o.price, 2) AS change
+    FROM offers n JOIN offers o ON n.product_id = o.product_id AND n.store = o.store AND n.id > o.id AND abs(n.price - o.price) > 0.01
+    WHERE n.seen >= DATE '{AS_OF}' - 200) SELECT abs(change) AS size, count(*) AS n FROM p GROUP BY 1 ORDER BY 1 DESC LIMIT 20"""
+)
+def price_change_sizes(spark: SparkSession, d: str) -> DataFrame:
+    history = offers(spark, d).withColumn("day", F.col("seen"))
+    pairs = H.price_changes(history, AS_OF, 200, 2**31 - 1)
+    return pairs.groupBy(F.abs("change").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("size")).limit(20)
+
+
+@query(
+    f"""WITH {OFFERS}, t AS (SELECT product_id, store, seen AS day, max(price) AS price FROM offers GROUP BY 1, 2, 3), c AS (
+    SELECT *, lag(price) OVER (PARTITION BY product_id, store ORDER BY day) AS previous FROM t)
+    SELECT product_id, store, day, price, previous, coalesce(abs(price - previous) > 0.01, true) AS changed FROM c"""
+)
+def daily_prices(spark: SparkSession, d: str) -> DataFrame:
+    return H.daily_history(offers(spark, d).withColumn("day", F.col("seen")), "price")
+
+
+@query(
+    """WITH m AS (SELECT event_id, user_id, event_type, ts, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS f FROM events), i AS (
+    SELECT *, sum(1 - f) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM m)
+    SELECT event_id, user_id, (sum(f) OVER (PARTITION BY user_id, island ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS run,
+    sum(f) OVER (PARTITION BY user_id, island ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) >= 2 AS tripped FROM i"""
+)
+def failure_runs(spark: SparkSession, d: str) -> DataFrame:
+    out = H.failure_runs(events(spark, d), ["user_id"], ["ts", "event_id"], F.col("status") == "error", 2)
+    return out.select("event_id", "user_id", "run", "tripped")
+
+
+@query("SELECT p_partkey AS our_id, p_retailprice AS our_price FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 25 OFFSET 25")
+def product_page(spark: SparkSession, d: str) -> DataFrame:
+    rows = catalogue(spark, d).select("our_id", "our_price")
+    return H.page(rows, [F.col("our_price").desc(), F.col("our_id").asc()], 2, 25)
+
+
+@query(
+    f"""WITH {PRICED} SELECT our_id, diff AS diff_ours_minus_comp FROM priced ORDER BY abs(diff) DESC, our_id LIMIT 20"""
+)
+def largest_differences(spark: SparkSession, d: str) -> DataFrame:
+    rows = analysis.priced(catalogue(spark, d), offers(spark, d)).select("our_id", "diff_ours_minus_comp")
+    return rows.orderBy(F.abs("diff_ours_minus_comp").desc(), "our_id").limit(20)
+
+
+@query(
+    """SELECT user_id, event_id, event_type AS status FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"""
+)
+def latest_status(spark: SparkSession, d: str) -> DataFrame:
+    return H.latest(events(spark, d).select("user_id", "ts", "event_id", "status"), ["user_id"], ["ts", "event_id"]).drop("ts")
+
+
+# Merging and state.
+
+@query(
+    """WITH t AS (SELECT *, 0 AS turn FROM events WHERE event_id % 2 = 0 UNION ALL SELECT * REPLACE (value + 1 AS value), 1 FROM events)
+    SELECT event_id, value FROM t QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY turn DESC) = 1"""
+)
+def merged_latest(spark: SparkSession, d: str) -> DataFrame:
+    e = events(spark, d).select("event_id", "value")
+    return U.merge_latest(e.where("event_id % 2 = 0"), e.withColumn("value", F.col("value") + 1), [["sku"], ["event_id"]])
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+@query(
+    f"""WITH {OFFERS}, b AS (SELECT product_id, arg_max(price, id * 1000000.0 + price) AS price FROM offers WHERE seen >= DATE '1995-01-01' GROUP BY 1)
+    SELECT p_partkey AS our_id, coalesce(b.price, p_retailprice) AS our_price, p_brand AS brand FROM part LEFT JOIN b ON p_partkey = product_id"""
+)
+def upserted_prices(spark: SparkSession, d: str) -> DataFrame:
+    old = catalogue(spark, d).select("our_id", "our_price", "brand")
+    new = offers(spark, d).where("seen >= '1995-01-01'").withColumn("at", F.col("id") * 1000000.0 + F.col("price"))
+    batch = new.select(F.col("product_id").alias("our_id"), F.col("price").alias("our_price"), F.lit("").alias("brand"), "at")
+    return U.upsert(old, batch, ["our_id"], "at", ["our_price"], ["brand"])
+
+
+@query(
+    f"""WITH {OFFERS} SELECT product_id, min(seen) AS first_seen, max(seen) AS last_seen FROM offers GROUP BY 1"""
+)
+def seen_dates(spark: SparkSession, d: str) -> DataFrame:
+    rows = offers(spark, d).select("product_id", F.col("seen").alias("day"))
+    early = rows.where("day < '1995-01-01'").groupBy("product_id").agg(F.min("day").alias("first_seen"), F.max("day").alias("last_seen"))
+    return U.seen_dates(early, rows.where("day >= '1995-01-01'"), "product_id")
+
+
+@query(
+    """WITH o AS (SELECT url, 'a' || page_id % 3 AS lastmod FROM pages WHERE page_id % 5 <> 0),
+    n AS (SELECT url, 'a' || page_id % 2 AS lastmod FROM pages WHERE page_id % 7 <> 0)
+    SELECT coalesce(n.url, o.url) AS url, coalesce(n.lastmod, o.lastmod) AS lastmod, CASE WHEN o.url IS NULL THEN 'added' WHEN n.url IS NULL
+    THEN 'removed' WHEN n.lastmod <> o.lastmod THEN 'modified' ELSE 'unchanged' END AS change FROM o FULL JOIN n ON o.url = n.url"""
+)
+def snapshot_changes(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "pages")
+    mod = lambda n: F.concat(F.lit("a"), (F.col("page_id") % n).cast("string")).alias("lastmod")
+    return U.snapshot_diff(p.where("page_id % 5 <> 0").select("url", mod(3)), p.where("page_id % 7 <> 0").select("url", mod(2)))
+
+
+@query(
+    """WITH s AS (SELECT user_id, ts, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)
+    SELECT user_id, event_id, p AS from_status, event_type AS to_status FROM s WHERE p IS DISTINCT FROM event_type"""
+)
+def status_transitions(spark: SparkSession, d: str) -> DataFrame:
+    return U.transitions(events(spark, d), "user_id", ["ts", "event_id"]).drop("ts")
+
+
+@query(
+    """WITH s AS (SELECT user_id, ts, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)
+    SELECT user_id, arg_max(p, struct_pack(t := ts, e := event_id)) AS status FROM s WHERE p IS DISTINCT FROM event_type AND p IS NOT NULL GROUP BY 1"""
+)
+def undone_status(spark: SparkSession, d: str) -> DataFrame:
+    return U.undo_last(U.transitions(events(spark, d), "user_id", ["ts", "event_id"]), "user_id", ["ts", "event_id"])
+
+
+@query(
+    """WITH e AS (SELECT user_id, arg_max(CASE WHEN event_type = 'view' THEN 'INGESTED' ELSE event_type END, struct_pack(t := ts, e := event_id)) AS s
+    FROM events GROUP BY 1) SELECT user_id AS comp_id, CASE WHEN s = 'INGESTED' THEN 'REJECTED_LOW_CONFIDENCE' ELSE s END AS state FROM e"""
+)
+def intake_ledger(spark: SparkSession, d: str) -> DataFrame:
+    state = F.when(F.col("status") == "view", "INGESTED").otherwise(F.col("status")).alias("state")
+    log = events(spark, d).select(
+        F.col("user_id").alias("comp_id"), state, F.lit(None).cast("string").alias("reason_code"), F.col("value").alias("last_score"), "ts", "event_id"
+    )
+    return U.ledger(log, ["ts", "event_id"]).select("comp_id", "state")
+
+
+@query(
+    """WITH q AS (SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS product_key FROM part WHERE p_partkey % 4 = 0)
+    SELECT CAST(p_partkey AS VARCHAR) AS product_key, CASE WHEN p_partkey % 4 = 0 THEN 'sent' WHEN p_brand IN (SELECT p_brand FROM part WHERE p_size > 48)
+    THEN 'ready_to_send' ELSE 'waiting_brand' END AS status FROM part"""
+)
+def queued_products(spark: SparkSession, d: str) -> DataFrame:
+    c = catalogue(spark, d).select(F.col("our_id").cast("string").alias("product_key"), "brand", F.col("our_price").alias("price"), "size")
+    queue = c.where("product_key % 4 = 0").select("product_key", "brand", "price", F.lit("sent").alias("status"))
+    return U.enqueue(queue, c.drop("size"), c.where("size > 48").select("brand")).select("product_key", "status")
+
+
+@query("SELECT p_partkey AS our_id, p_partkey % 10 = 3 AS is_deleted FROM part")
+def soft_deleted(spark: SparkSession, d: str) -> DataFrame:
+    c = catalogue(spark, d).withColumn("label", F.concat_ws(" ", "name", "our_id"))
+    hidden = c.where("our_id % 10 = 3").select(F.concat(F.lit("softdel_"), F.trim("label")).alias("key"))
+    return Fl.soft_deleted(c, hidden, "label").select("our_id", "is_deleted")
+
+
+@query(
+    """SELECT p_partkey AS our_id, CASE WHEN p_partkey % 6 = 0 THEN 1.5 ELSE p_retailprice END AS our_price, p_brand AS brand FROM part"""
+)
+def overlaid_prices(spark: SparkSession, d: str) -> DataFrame:
+    c = catalogue(spark, d).select("our_id", "our_price", "brand")
+    o = c.where("our_id % 3 = 0").select("our_id", F.when(F.col("our_id") % 6 == 0, 1.5).otherwise(0.0).alias("our_price"), F.lit("").alias("brand"))
+    return U.overlay(c, o, "our_id", ["our_price", "brand"])
+
+
+# Joins and matching.
+
+
+@query(
+    f"""WITH {OFFERS}, k AS (SELECT DISTINCT brand || '|' || name AS fp FROM offers WHERE product_id % 3 = 0)
+    SELECT lower(brand) || '|' || lower(name) || '|0' AS fp, count(*) AS n, min(price) AS min_price FROM offers
+    WHERE brand || '|' || name NOT IN (SELECT fp FROM k) GROUP BY 1"""
+)
+def missing_by_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    o = offers(spark, d).withColumn("fp", K.fingerprint("brand", "name", F.lit(0)))
+    left = M.not_in_catalogue(o, o.where("product_id % 3 = 0"), "fp")
+    return left.groupBy("fp").agg(F.count("*").alias("n"), F.min("price").alias("min_price"))
+
+
+@query(
+    """WITH t AS (SELECT DISTINCT trim(lower(p_name)) AS k FROM part WHERE p_partkey % 2 = 0)
+    SELECT p_partkey AS our_id FROM part WHERE p_partkey % 2 = 1 AND trim(lower(p_name)) NOT IN (SELECT k FROM t)"""
+)
+def missing_without_priced(spark: SparkSession, d: str) -> DataFrame:
+    c = catalogue(spark, d)
+    return R.without_priced(c.where("our_id % 2 = 1"), c.where("our_id % 2 = 0"), "name", "name").select("our_id")
+
+
+@query(
+    """WITH b AS (SELECT DISTINCT lower(p_name) AS k FROM part WHERE p_partkey % 2 = 1 INTERSECT SELECT DISTINCT lower(p_name) FROM part WHERE p_partkey % 2 = 0)
+    SELECT count(*) AS n_both FROM b"""
+)
+def audit_overlap(spark: SparkSession, d: str) -> DataFrame:
+    c = catalogue(spark, d)
+    return R.overlap(c.where("our_id % 2 = 1"), c.where("our_id % 2 = 0"), "name", "name").select("n_both")
+
+
+@query(
+    """WITH ours AS (SELECT min(p_partkey) AS our_id, p_name, p_brand FROM part WHERE p_partkey % 2 = 0 GROUP BY 2, 3)
+    SELECT p.p_partkey AS offer_id, CASE WHEN p.p_partkey % 10 = 1 THEN p.p_partkey - 1 ELSE o.our_id END AS our_id,
+    CASE WHEN p.p_partkey % 10 = 1 THEN 'sku' WHEN o.our_id IS NOT NULL THEN 'name' END AS layer FROM part p
+    LEFT JOIN ours o ON o.p_name = p.p_name AND o.p_brand = p.p_brand WHERE p.p_partkey % 2 = 1 AND p.p_partkey > 1"""
+)
+def match_waterfall(spark: SparkSession, d: str) -> DataFrame:
+    c = catalogue(spark, d).withColumn("name_key", T.key_text(F.concat_ws(" ", "brand", "name")))
+    ours = c.where("our_id % 2 = 0").withColumn("sku_key", F.col("our_id").cast("string"))
+    sku = F.when(F.col("our_id") % 10 == 1, (F.col("our_id") - 1).cast("string"))
+    theirs = c.where("our_id % 2 = 1 and our_id > 1").select(F.col("our_id").alias("offer_id"), sku.alias("sku_key"), "name_key")
+    return M.waterfall(theirs, ours, {"sku": ("sku_key", "sku_key"), "name": ("name_key", "name_key")}).select("offer_id", "our_id", "layer")
+
+
+@query()
+def resolved_offers(spark: SparkSession, d: str) -> DataFrame:
+    c = catalogue(spark, d)
+    ours = M.featured(c.where("our_id % 2 = 0"), "name", brand="brand")
+    theirs = M.featured(c.where("our_id % 2 = 1").select(F.col("our_id").alias("offer_id"), "name", "brand"), "name", brand="brand")
+    return M.resolve(theirs, ours).select("offer_id", "score", "our_id", "ownership", "reason")
+
+
+@query()
+def closed_loop(spark: SparkSession, d: str) -> DataFrame:
+    c = M.keyed(catalogue(spark, d).withColumns({"sku": F.col("our_id").cast("string"), "url": F.lit("")}), "sku", "url", "name")
+    theirs = c.where("our_id % 2 = 1").withColumn("sku_key", F.lit("")).withColumn("name_key", F.concat("name_key", F.lit(" new")))
+    return analysis.closed_loop(c.where("our_id % 2 = 0"), theirs.withColumnRenamed("our_id", "offer_id"))
+
+
+@query()
+def missing_accounting(spark: SparkSession, d: str) -> DataFrame:
+    c = catalogue(spark, d)
+    sized = F.concat_ws(" ", "name", F.concat(F.col("size").cast("string"), F.lit("ml"))).alias("name")
+    theirs = c.select(F.col("our_id").alias("offer_id"), sized, "brand", F.col("our_price").alias("price"), F.lit("s").alias("store"))
+    return analysis.accounting(c.where("our_id % 2 = 0"), theirs)
+
+
+@query(
+    """SELECT c_custkey AS id, n_name AS resolved FROM customer JOIN nation ON c_nationkey = n_nationkey"""
+)
+def resolved_names(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation")
+    rows = table(spark, d, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = rows.select(F.col("c_custkey").alias("id"), F.upper("n_name").alias("raw"))
+    return M.resolve_dictionary(rows, "raw", n.select(F.col("n_name").alias("key"), F.col("n_name").alias("value"))).select("id", "resolved")
+
+
+@query(
+    """WITH n AS (SELECT DISTINCT p_name FROM part), p AS (SELECT a.p_name AS x, b.p_name AS y FROM n a JOIN n b ON split_part(a.p_name, ' ', 1) = split_part(b.p_name, ' ', 1)
+    AND a.p_name < b.p_name) SELECT x AS a, y AS b, round(100.0 * len(list_intersect(string_split(x, ' '), string_split(y, ' '))) /
+    len(list_distinct(list_concat(string_split(x, ' '), string_split(y, ' ')))), 4) AS jaccard FROM p"""
+)
+def name_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    n = catalogue(spark, d).select("name", F.split("name", " ")[0].alias("w")).distinct()
+    pairs = n.alias("x").join(n.alias("y"), (F.col("x.w") == F.col("y.w")) & (F.col("x.name") < F.col("y.name")))
+    return pairs.select(F.col("x.name").alias("a"), F.col("y.name").alias("b"), F.round(jaccard(F.col("x.name"), F.col("y.name")), 4).alias("jaccard"))
+
+
+@query()
+def name_similarity(spark: SparkSession, d: str) -> DataFrame:
+    n = catalogue(spark, d).select("name", F.split("name", " ")[0].alias("w")).distinct()
+    pairs = n.alias("x").join(n.alias("y"), (F.col("x.w") == F.col("y.w")) & (F.col("x.name") < F.col("y.name")))
+    pairs = pairs.select(F.col("x.name").alias("a"), F.col("y.name").alias("b"))
+    return pairs.select("a", "b", *(similarity("a", "b", k).alias(k) for k in ("ratio", "token_sort", "token_set", "partial", "weighted")))
+
+
+# Scalars.
+
+
+@query(
+    """SELECT doc_id, md5(trim(regexp_replace(lower(text), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) AS key FROM documents"""
+)
+def text_keys(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.md5(T.key_text("text").cast("binary")).alias("key"))
+
+
+@query(
+    """SELECT count(*) AS n, count(DISTINCT md5(text)) AS n_distinct FROM documents"""
+)
+def distinct_texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").agg(F.count("*").alias("n"), F.count_distinct(F.md5(F.col("text").cast("binary"))).alias("n_distinct"))
+
+
+@query(
+    """SELECT url, lower(split_part(regexp_replace(regexp_replace(regexp_replace(url, '^https?://(www\\.)?', ''), '[?#].*$', ''), '/+$', ''), '/', 1)) ||
+    regexp_extract(regexp_replace(regexp_replace(regexp_replace(url, '^https?://(www\\.)?', ''), '[?#].*$', ''), '/+$', ''), '^[^/]*(/.*)?$', 1) AS canonical FROM pages"""
+)
+def canonical_urls(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("url", K.canonical_url("url").alias("canonical"))
+
+
+@query("SELECT p_partkey AS our_id, 'MH-' || upper(substr(md5(lower(p_brand) || '|' || lower(p_name) || '|' || p_size), 1, 10)) AS sku FROM part")
+def product_skus(spark: SparkSession, d: str) -> DataFrame:
+    return catalogue(spark, d).select("our_id", K.sku("brand", "name", "size").alias("sku"))
+
+
+@query(
+    """SELECT page_id, nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title(?:\\s[^>]*)?>(.*?)</title>', 1), '<[^>]*>', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g')), '') AS title FROM pages"""
+)
+def page_titles(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", tag_text("html", "title").alias("title"))
+
+
+@query()
+def page_products(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").withColumn("p", product("html")).select("page_id", "p.*")
+
+
+@query(
+    """SELECT p_partkey AS our_id, CAST(p_size AS DOUBLE) AS size_ml, 'retail' AS item_type FROM part"""
+)
+def product_features(spark: SparkSession, d: str) -> DataFrame:
+    label = F.concat_ws(" ", F.lit("eau"), F.concat(F.col("size").cast("string"), F.lit(" ml")))
+    return catalogue(spark, d).select("our_id", X.size_ml(label).alias("size_ml"), X.item_type(label).alias("item_type"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def event_properties(spark: SparkSession, d: str) -> DataFrame:
+    return events(spark, d).select("event_id", "k")
+
+
+@query(
+    """SELECT conv_id, turn, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS n_lines FROM conversations"""
+)
+def text_lines(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations")
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    return c.select("conv_id", "turn", F.size(lines).cast("long").alias("n_lines"))
+
+
+def queries() -> dict[str, Query]:
+    return {k: (lambda spark, sf_dir, f=f: f(ship(spark), sf_dir)) for k, f in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
