@@ -16,6 +16,11 @@ def _number(c: Name) -> Column:
     return F.coalesce(column(c).try_cast("double"), F.lit(0.0))
 
 
+def cents(c: Column) -> Column:
+    """Rounded half up to two decimals, by way of four: exact decimals, so that ties don't depend on binary fractions."""
+    return F.round(c.cast("decimal(18,4)"), 2).cast("double")
+
+
 def price_or_zero(c: Name) -> Column:
     """0.0 for what is no number."""
     n = _number(c)
@@ -65,7 +70,7 @@ def threshold(ours: Name, theirs: Name, tolerance: float = V.PRICE_TOLERANCE) ->
 def decision(ours: Name, theirs: Name, tolerance: float = V.PRICE_TOLERANCE) -> Column:
     """Struct of decision, diff_ours_minus_comp, threshold, action. A missing price goes to review."""
     a, b = price_or_zero(ours), price_or_zero(theirs)
-    both, limit, diff = (a > 0) & (b > 0), threshold(a, b, tolerance), F.round(a - b, 2)
+    both, limit, diff = (a > 0) & (b > 0), threshold(a, b, tolerance), cents(a.cast("decimal(18,4)") - b.cast("decimal(18,4)"))
     high, low = both & (diff > limit), both & (diff < -limit)
     pick = lambda x, y, z, w: F.when(high, x).when(low, y).when(both, z).otherwise(w)
     return F.struct(
@@ -78,7 +83,7 @@ def decision(ours: Name, theirs: Name, tolerance: float = V.PRICE_TOLERANCE) ->
 
 def undercut(theirs: Name) -> Column:
     p = column(theirs)
-    return F.when(p > 0, F.round(p - 1, 2)).otherwise(0.0)
+    return F.when(p > 0, cents(p - 1)).otherwise(0.0)
 
 
 def with_margin(theirs: Name, percent: float) -> Column:
@@ -93,12 +98,12 @@ def rule(
     dearer one, keep. Struct of action and new_price."""
     a, b, s = column(ours), column(theirs), column(score)
     floor = F.lit(0.0) if cost is None else F.coalesce(column(cost), F.lit(0.0))
-    target = F.greatest(F.round(b - step, 2), floor, F.lit(1.0))
+    target = F.greatest(cents(b - step), floor, F.lit(1.0))
     fits = (s >= least_score) & (a > 0) & (b > 0)
     keep = F.struct(F.lit("keep").alias("action"), a.alias("new_price"))
     return (
         F.when(fits & (a - b > min_diff) & (target < a), F.struct(F.lit("lower").alias("action"), target.alias("new_price")))
-        .when(fits & (b - a > min_diff), F.struct(F.lit("raise").alias("action"), F.round(b - step, 2).alias("new_price")))
+        .when(fits & (b - a > min_diff), F.struct(F.lit("raise").alias("action"), cents(b - step).alias("new_price")))
         .otherwise(keep)
     )
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pricing import price_or_zero, product_id
+from ..functions.pricing import cents, price_or_zero, product_id
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def write_sheets(frames: dict[str, DataFrame], path: str) -> None:
 
 def section_price(section: Column, ours: Column, theirs: Column) -> Column:
     """Price to publish: undercut when ours is raised or lowered to a competitor, ours when approved, else theirs or ours."""
-    under = F.greatest(F.round(theirs - 1, 2), F.lit(0.0))
+    under = F.greatest(cents(theirs - 1), F.lit(0.0))
     return (
         F.when(section.isin("raise", "lower") & (theirs > 0), under)
         .when(section.isin("approved", "update"), ours)

@@ -41,7 +41,7 @@ BEST = OFFERS + """, best AS (
 PRICED = BEST + """, both_prices AS (
   SELECT p_partkey AS our_id, p_retailprice AS ours, comp_price, (p_retailprice + comp_price) / 2 AS mean
   FROM part LEFT JOIN best ON p_partkey = product_id), limits AS (
-  SELECT *, round(CAST(CAST(ours - comp_price AS VARCHAR) AS DECIMAL(28, 12)), 2)::DOUBLE AS diff,
+  SELECT *, round(ours::DECIMAL(18, 4) - comp_price::DECIMAL(18, 4), 2)::DOUBLE AS diff,
     CASE WHEN mean >= 300 THEN mean * 0.05 ELSE 5.0 END AS threshold FROM both_prices), priced AS (
   SELECT our_id, ours AS our_price, comp_price, coalesce(diff, 0.0) AS diff,
     CASE WHEN comp_price IS NULL THEN 'review' WHEN diff > threshold THEN 'raise' WHEN diff < -threshold THEN 'lower'
@@ -87,7 +87,7 @@ def section_balance(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {PRICED}, r AS (SELECT our_id, our_price, comp_price, CASE WHEN our_price - comp_price > 1 AND
-    greatest(round(comp_price - 1, 2), 1.0) < our_price THEN 'lower' WHEN comp_price - our_price > 1 THEN 'raise' ELSE 'keep' END
+    greatest(round((comp_price - 1)::DECIMAL(18, 4), 2)::DOUBLE, 1.0) < our_price THEN 'lower' WHEN comp_price - our_price > 1 THEN 'raise' ELSE 'keep' END
     AS action FROM priced) SELECT count(*) AS total, count(*) FILTER (action = 'lower') AS lower,
     count(*) FILTER (action = 'raise') AS raise, count(*) FILTER (action = 'keep') AS keep FROM r"""
 )
@@ -98,7 +98,7 @@ def automation_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {BEST} SELECT p_partkey AS our_id, CASE WHEN comp_price > 0 THEN round(comp_price - 1, 2) ELSE 0.0 END AS undercut,
+    f"""WITH {BEST} SELECT p_partkey AS our_id, CASE WHEN comp_price > 0 THEN round((comp_price - 1)::DECIMAL(18, 4), 2)::DOUBLE ELSE 0.0 END AS undercut,
     CASE WHEN comp_price > 0 THEN round(comp_price * 1.15, 0) ELSE 0.0 END AS with_margin
     FROM part LEFT JOIN best ON p_partkey = product_id"""
 )
@@ -120,7 +120,7 @@ def filtered_decisions(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {PRICED} SELECT CAST(our_id AS VARCHAR) AS product_id, CASE WHEN comp_price > 0
-    THEN greatest(round(comp_price - 1, 2), 0.0) ELSE our_price END AS price FROM priced WHERE action = 'raise' AND our_id <> 0"""
+    THEN greatest(round((comp_price - 1)::DECIMAL(18, 4), 2)::DOUBLE, 0.0) ELSE our_price END AS price FROM priced WHERE action = 'raise' AND our_id <> 0"""
 )
 def raise_payloads(spark: SparkSession, d: str) -> DataFrame:
     rows = analysis.priced(catalogue(spark, d), offers(spark, d)).where("action = 'raise'")
