@@ -54,7 +54,7 @@ def token_set(a: str, b: str) -> float:
 @lru_cache(100_000)
 def partial(a: str, b: str) -> float:
     """Best ratio of the shorter text with a window of its length, cut short at the ends, in the longer one."""
-    short, long = sorted((a, b), key=len)
+    short, long = sorted((a, b), key=lambda x: (len(x), x))
     if not short:
         return 100.0 if not long else 0.0
     n = len(short)

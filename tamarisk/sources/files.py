@@ -26,8 +26,8 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", header: bo
     first = lines.limit(1).first()
     if first is not None and first[0].lstrip("﻿").startswith(META_ROW):
         raw = spark.read.csv(path, header=False, encoding=encoding, mode="DROPMALFORMED")
-        names = [c.strip() if c else f"_c{i}" for i, c in enumerate(raw.where(F.col("_c0") != META_ROW).limit(1).first())]
-        return raw.toDF(*names).where(~F.col(names[0]).isin(META_ROW, names[0])).dropna("all")
+        names = [c.strip() if c else f"_c{i}" for i, c in enumerate(raw.where(F.trim("_c0") != META_ROW).limit(1).first())]
+        return raw.toDF(*names).where(~F.col(f"`{names[0]}`").isin(META_ROW, names[0])).dropna("all")
     return spark.read.csv(path, header=header, encoding=encoding, mode="DROPMALFORMED").dropna("all")
 
 
