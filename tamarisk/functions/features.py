@@ -97,3 +97,21 @@ def genders_clash(a: Name, b: Name) -> Column:
 def confidence(score: Name, confirmed: float = V.MATCH_CONFIRMED, review: float = V.MATCH_REVIEW) -> Column:
     s = column(score)
     return F.when(s >= confirmed, "confirmed").when(s >= review, "review").otherwise("none")
+
+
+def has_words(c: Name, groups: dict[str, tuple[str, ...]]) -> Column:
+    """Which groups of variant words a name has, as a sorted array of their names."""
+    t = _text(c)
+    return F.array_compact(F.array(*(F.when(any_of(t, words), g) for g, words in sorted(groups.items()))))
+
+
+def variants_differ(a: Name, b: Name, groups: dict[str, tuple[str, ...]]) -> Column:
+    """Whether two names are different variants of a line: some group of words is in one of them only."""
+    return has_words(a, groups) != has_words(b, groups)
+
+
+def product_line(name: Name, brand: Name, stop: tuple[str, ...] = V.LINE_STOP) -> Column:
+    """What is left of a name without brand, noise, sizes and common words: the line it belongs to."""
+    t = F.replace(_text(name), F.when(F.length(column(brand)) > 0, F.lower(column(brand))).otherwise(F.lit("\x00")), F.lit(" "))
+    words = F.split(normalize(F.regexp_replace(t, r"\d+(?:\.\d+)?\s*(?:ml|مل|ملي)?", " ")), " ")
+    return F.array_join(F.filter(words, lambda w: ~w.isin(*stop) & (w != "")), " ")

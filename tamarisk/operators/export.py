@@ -96,3 +96,16 @@ def json_safe(df: DataFrame, prices: list[str]) -> DataFrame:
         if kind in ("double", "float")
     }
     return flat(df.withColumns(fix) if fix else df)
+
+
+def cached(spark, folder: str, signature: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The result stored under a signature of its inputs, made and written if there is none. A folder counts once its success
+    marker is there, which Spark writes last."""
+    from pyspark.errors import AnalysisException
+
+    path = f"{folder}/{signature}"
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        make().write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)

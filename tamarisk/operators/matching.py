@@ -6,8 +6,10 @@ guards are plain expressions; the best candidate is an aggregate. Every input ro
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from ..functions import features as X
 from ..functions import vocabulary as V
@@ -166,3 +168,26 @@ def resolve_dictionary(df: DataFrame, column: str, dictionary: DataFrame, fuzzy:
     near = scored.groupBy("_n").agg(F.min(F.struct((-F.col("s")).alias("s"), "_k", "value")).alias("b")).select("_n", "b.value")
     found = exact.unionByName(near).withColumnRenamed("value", "resolved")
     return df.join(found, key_text(column) == found["_n"], "left").drop("_n")
+
+
+def barrier(missing: DataFrame, ours: DataFrame, least: float = 92.0) -> DataFrame:
+    """Missing rows (offer_id, sku, features) that are not ours after all: neither by SKU nor by a name as similar as ``least``."""
+    known = ours.where(F.coalesce(F.trim("sku"), F.lit("")) != "").select(key_text("sku").alias("_s")).distinct()
+    rest = missing.join(known, key_text("sku") == known["_s"], "left_anti")
+    near = best_match(rest, ours, least=least)
+    return near.where("our_id is null").select(*missing.columns)
+
+
+def adjudicate(pairs: DataFrame, judge=None, least: float = 82.0) -> DataFrame:
+    """(pair columns, verdict) of doubtful pairs (a, b, score): an injected ``judge(a, b) -> bool or None`` on the executors decides each
+    distinct pair; where it has no answer, or there is none, the score does."""
+    by_score = F.col("score") >= least
+    if judge is None:
+        return pairs.withColumn("verdict", by_score)
+
+    @pandas_udf("boolean")
+    def ask(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([judge(x, y) for x, y in zip(a, b, strict=True)], dtype="object")
+
+    asked = pairs.select("a", "b").distinct().withColumn("_said", ask("a", "b"))
+    return pairs.join(asked, ["a", "b"]).withColumn("verdict", F.coalesce("_said", by_score)).drop("_said")

@@ -22,6 +22,7 @@ from .operators import filters as Fl
 from .operators import history as H
 from .operators import matching as M
 from .operators import merge as U
+from .operators import projections as J
 from .operators import routing as R
 from .plans import analysis
 from .session import ship
@@ -470,6 +471,32 @@ def name_similarity(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("a", "b", *(similarity("a", "b", k).alias(k) for k in ("ratio", "token_sort", "token_set", "partial", "weighted")))
 
 
+@query("SELECT p_partkey AS offer_id FROM part WHERE p_partkey % 2 = 1 AND p_partkey % 10 <> 1 AND p_name NOT IN (SELECT p_name FROM part WHERE p_partkey % 2 = 0)")
+def barred_missing(spark: SparkSession, d: str) -> DataFrame:
+    c = catalogue(spark, d).withColumn("sku", F.when(F.col("our_id") % 10 == 1, F.lit("s1")).otherwise(F.concat(F.lit("o"), "our_id")))
+    ours = M.featured(c.where("our_id % 2 = 0").withColumn("sku", F.lit("s1")), "name")
+    theirs = M.featured(c.where("our_id % 2 = 1").select(F.col("our_id").alias("offer_id"), "name", "sku"), "name")
+    return M.barrier(theirs, ours, 100.0).select("offer_id")
+
+
+@query(
+    """SELECT s_name AS store, p_partkey AS part, round(p_retailprice * 2, 0) AS price FROM part JOIN supplier ON p_partkey % 10 = s_suppkey
+    WHERE p_partkey % 3 <> 0"""
+)
+def scraped_rows(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "supplier").select("s_suppkey", F.col("s_name").alias("competitor"))
+    c = catalogue(spark, d).join(s, F.col("our_id") % 10 == F.col("s_suppkey"))
+    price = F.when(F.col("our_id") % 3 == 0, "x").otherwise(F.round(F.col("our_price") * 2, 0).cast("string"))
+    rows = J.scraped_row(c.select("competitor", F.concat_ws(" ", "name", "our_id").alias("title"), price.alias("price")))
+    return rows.select("store", F.regexp_extract("name", r"(\d+)$", 1).cast("long").alias("part"), "price")
+
+
+@query("SELECT p_partkey AS our_id, 'MH-' || upper(substr(md5(lower(p_brand) || '|' || p_partkey || '|' || p_size), 1, 10)) AS sku, round(p_retailprice * 1.15, 0) AS price FROM part")
+def upload_rows(spark: SparkSession, d: str) -> DataFrame:
+    c = catalogue(spark, d).select(F.col("our_id").cast("string").alias("name"), "brand", F.col("size").alias("size_ml"), F.col("our_price").alias("price"), F.lit("green").alias("confidence"))
+    return J.upload_rows(c).select(F.col("name").cast("long").alias("our_id"), "sku", "price")
+
+
 # Scalars.
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.pricing import price_or_null, price_or_zero
@@ -19,6 +19,10 @@ ROLES = {
 META_ROW = "بيانات المنتج"
 
 
+def _filled(names: list[str]) -> Column:
+    return F.coalesce(*(F.col(f"`{n}`") for n in names)).isNotNull()
+
+
 def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", header: bool = True) -> DataFrame:
     """All columns as text, rows of nothing but nulls dropped, malformed lines skipped. Export files that start with a meta line
     are read with the second line as header."""
@@ -27,8 +31,9 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", header: bo
     if first is not None and first[0].lstrip("﻿").startswith(META_ROW):
         raw = spark.read.csv(path, header=False, encoding=encoding, mode="DROPMALFORMED")
         names = [c.strip() if c else f"_c{i}" for i, c in enumerate(raw.where(F.trim("_c0") != META_ROW).limit(1).first())]
-        return raw.toDF(*names).where(~F.col(f"`{names[0]}`").isin(META_ROW, names[0])).dropna("all")
-    return spark.read.csv(path, header=header, encoding=encoding, mode="DROPMALFORMED").dropna("all")
+        return raw.toDF(*names).where(~F.col(f"`{names[0]}`").isin(META_ROW, names[0])).where(_filled(names))
+    raw = spark.read.csv(path, header=header, encoding=encoding, mode="DROPMALFORMED")
+    return raw.where(_filled(raw.columns))
 
 
 def column_for(columns: list[str], role: str) -> str | None:

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tamarisk.operators import aggregates, export, filters, history, matching, merge, routing
+from tamarisk.operators import aggregates, export, filters, history, matching, merge, projections, routing
 from tamarisk.sources import files
 
 
@@ -120,3 +120,45 @@ def test_partitions_are_replaced(spark, tmp_path):
     assert rows(spark.read.parquet(path).select("store", "n"), "store") == [("a", 9), ("b", 2)]
     export.write_csv(spark.createDataFrame([([1, 2],)], "x array<int>"), str(tmp_path / "c"))
     assert spark.read.csv(str(tmp_path / "c"), header=True).first().x == "[1,2]"
+
+
+def test_projections(spark):
+    raw = spark.createDataFrame([("oud", "12", "/p/1", "s"), ("x", "5", "", "s"), ("rose", "", "https://y.z/p", "s")], "title string, price string, link string, store string")
+    got = projections.scraped_row(raw, "https://shop.com/")
+    assert [tuple(r)[:3] + (r.url,) for r in got.collect()] == [("s", "oud", 12.0, "https://shop.com/p/1")]
+    df = spark.createDataFrame([("oud 50ml", ""), ("rose 10ml", "kept")], "name string, agg_name string")
+    full = projections.with_features(df.drop("agg_name"), "name")
+    assert rows(projections.fill_features(full.withColumn("agg_name", F.lit("")), "name").select("agg_name", "size_ml"), "agg_name") == [("oud", 50.0), ("rose", 10.0)]
+    assert projections.rename_present(df, {"name": "title", "none": "x"}).columns == ["title", "agg_name"]
+    twins = spark.createDataFrame([("a", "b", 1.0, 10.0, "green")] * 2 + [("c", "b", 1.0, 10.0, "review")], "name string, brand string, size_ml double, price double, confidence string")
+    skus = sorted(r.sku for r in projections.upload_rows(twins).collect())
+    assert len(skus) == 2 and skus[1] == skus[0] + "X"
+    new = projections.brand_records(spark.createDataFrame([("Dior",), (" dior ",), ("Creed",)], "brand string"), spark.createDataFrame([("CREED",)], "brand string"))
+    assert [r.key for r in new.collect()] == ["dior"]
+
+
+def test_lines_and_variants(spark):
+    from tamarisk.functions import features, vocabulary
+
+    df = spark.createDataFrame([("Dior Sauvage Elixir 100ml for men", "Dior", "dior sauvage")], "a string, brand string, b string")
+    row = df.select(features.product_line("a", "brand").alias("line"), features.variants_differ("a", "b", vocabulary.VARIANTS).alias("apart")).first()
+    assert row.line == "sauvage elixir" and row.apart
+
+
+def test_doubtful_pairs(spark):
+    df = spark.createDataFrame([("a", "b", 90.0), ("c", "d", 90.0), ("e", "f", 10.0)], "a string, b string, score double")
+    said = lambda x, y: {"a": False, "e": True}.get(x)
+    assert rows(matching.adjudicate(df, said).select("a", "verdict"), "a") == [("a", False), ("c", True), ("e", True)]
+    assert rows(matching.adjudicate(df).select("a", "verdict"), "a") == [("a", True), ("c", True), ("e", False)]
+
+
+def test_results_are_made_once(spark, tmp_path):
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(3).toDF("n")
+
+    for _ in range(2):
+        assert export.cached(spark, str(tmp_path), "v1-3", make).count() == 3
+    assert len(made) == 1
