@@ -31,9 +31,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+#: Bytes of one text that are hashed at once.
+PART = 1 << 22
+
+
 def words(texts: list[bytes], blanks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, document index, start and end (bytes within its text) of every word, A-Z lowered. Bytes marked in ``blanks``
     (white space, if not given) separate words."""
+    if len(texts) == 1 and len(texts[0]) > PART:
+        return _long(texts[0], blanks)
+    return _short(texts, blanks)
+
+
+def _short(texts: list[bytes], blanks: np.ndarray):
     joined = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     _grow(len(joined) + 1)
     blank = blanks[joined]
@@ -46,6 +56,18 @@ def words(texts: list[bytes], blanks: np.ndarray = _SPACE) -> tuple[np.ndarray,
     return h, doc, start - first[doc], end - first[doc]
 
 
+def _long(text: bytes, blanks: np.ndarray):
+    """``words`` of one text, part by part; parts end at blanks."""
+    found, at, blank = [], 0, np.flatnonzero(blanks[np.frombuffer(text, np.uint8)])
+    while at < len(text):
+        k = np.searchsorted(blank, at + PART)
+        end = int(blank[k]) + 1 if k < len(blank) else len(text)
+        h, doc, start, stop = _short([text[at:end]], blanks)
+        found.append((h, doc, start + at, stop + at))
+        at = end
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def groups(texts: list[bytes], size: int = 1 << 20):
     """Slices of about ``size`` bytes of a list of texts, one text at least."""
     at = 0

@@ -223,3 +223,12 @@ def test_top_k_is_exact(spark, sf):
         s = m @ m[i]
         best = [j for j in np.lexsort((ids, -s)) if j != i][:5]
         assert sorted(got[ids[i]]) == [(n + 1, ids[j], s[j]) for n, j in enumerate(best)]
+
+
+def test_long_texts_are_hashed_part_by_part(monkeypatch):
+    from tamarisk.llm import features
+
+    text = " ".join(f"w{i % 997}" for i in range(3000)).encode()
+    whole = features.words([text])
+    monkeypatch.setattr(features, "PART", 1000)
+    assert all((x == y).all() for x, y in zip(whole, features.words([text]), strict=True))
