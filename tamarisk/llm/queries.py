@@ -101,7 +101,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: (lambda spark, sf_dir, f=f: f(ship(spark), sf_dir)) for k, f in found.items()}
 
 
-ORACLE: dict[str, str] = {}
+_SOUND = """sound AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)"""
+ORACLE = {
+    "op1_embedding_forest": f"""WITH RECURSIVE {_SOUND}, links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b
+    ON a.vec_id <> b.vec_id AND list_sum(list_transform(a.e, lambda x: x * x)) > 0 AND list_sum(list_transform(b.e, lambda x: x * x)) > 0
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.9), reach AS (SELECT a AS node, b AS other FROM links UNION
+    SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a), counts AS (SELECT a, count(*) AS n FROM links GROUP BY 1),
+    roots AS (SELECT node, min(other) AS root FROM reach GROUP BY 1)
+    SELECT v.vec_id, coalesce(n, 0) AS n_links, coalesce(least(root, v.vec_id), v.vec_id) AS component_id,
+    coalesce(least(root, v.vec_id), v.vec_id) = v.vec_id AS kept FROM (SELECT DISTINCT vec_id FROM embeddings) v
+    LEFT JOIN counts ON a = v.vec_id LEFT JOIN roots ON node = v.vec_id""",
+    "op9_block_topk": f"""WITH {_SOUND}, ints AS (SELECT vec_id, list_transform(e, lambda x: CAST(floor(256 * x) AS BIGINT)) AS v FROM sound),
+    scores AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda t: t[1] * t[2])) AS BIGINT) AS score
+    FROM ints q JOIN ints c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+    SELECT query_id, CAST(row_number() OVER w AS INT) AS rank, vec_id, score FROM scores
+    WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5""",
+}
 
 
 def oracle_sql() -> dict[str, str]:
