@@ -192,6 +192,22 @@ def test_passages_are_those_of_brute_force(spark):
     assert (got.similarity >= 0.8).all() and (got.n_words >= 50).all()
 
 
+def test_passages_around_own_words_are_found_apart(spark):
+    rnd = random.Random(5)
+    some = lambda n: [f"x{rnd.randrange(10**6)}" for _ in range(n)]
+    docs, wanted = [], set()
+    for k, gap in enumerate((30, 60, 70, 100, 150, 240)):
+        head, foot = some(60), some(60)
+        docs += [(2 * k, " ".join(some(9) + head + some(gap) + foot)), (2 * k + 1, " ".join(head + some(gap) + foot + some(9)))]
+        wanted |= {(2 * k + 1, 0, 60), (2 * k + 1, 60 + gap, 120 + gap)}
+    # A chance seed 40 words before a passage does not spoil it.
+    seed, body = some(9), some(52)
+    docs += [(20, " ".join(seed + some(40) + body)), (21, " ".join(seed + some(40) + body))]
+    wanted.add((21, 49, 101))
+    got = chain_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.start, r.end) for r in got} == wanted and len(got) == len(wanted)
+
+
 def test_vector_links_are_those_of_brute_force(spark):
     rng = np.random.default_rng(0)
     rows = []
