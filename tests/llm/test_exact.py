@@ -208,6 +208,30 @@ def test_passages_around_own_words_are_found_apart(spark):
     assert {(r.doc_id, r.start, r.end) for r in got} == wanted and len(got) == len(wanted)
 
 
+def test_passages_of_later_documents_are_not_hidden_by_earlier_parts(spark):
+    rnd = random.Random(6)
+    some = lambda n: [f"y{rnd.randrange(10**6)}" for _ in range(n)]
+    docs, wanted = [], set()
+    for k in range(40):
+        body = some(60)
+        parts = {5: body[:30], 7: body[30:], 200: body, 300: body}
+        docs += [(1000 * k + i, " ".join(some(20) + p + some(20))) for i, p in parts.items()]
+        wanted.add((1000 * k + 300, 20, 80, 1000 * k + 200))
+    got = chain_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.start, r.end, r.source_id) for r in got} == wanted
+
+
+def test_nearest_places_are_those_of_brute_force(spark):
+    rnd = random.Random(7)
+    rows = [(rnd.choice([0, 0, 0, 1, 2, rnd.randrange(50)]), rnd.randrange(300), rnd.randrange(9)) for _ in range(3000)]
+    got = chain_dedup._nearest(spark.createDataFrame(rows, "hash long, doc_id long, pos int")).collect()
+    by = {}
+    for h, d, p in sorted(set(rows)):
+        by.setdefault(h, []).append((d, p))
+    wanted = {(d, p, *max(x for x in own if x[0] < d)) for own in by.values() for d, p in own if d > own[0][0]}
+    assert {tuple(r) for r in got} == wanted
+
+
 def test_vector_links_are_those_of_brute_force(spark):
     rng = np.random.default_rng(0)
     rows = []
