@@ -232,6 +232,25 @@ def test_nearest_places_are_those_of_brute_force(spark):
     assert {tuple(r) for r in got} == wanted
 
 
+def test_recall_of_edited_passages(spark):
+    rnd = random.Random(9)
+    some = lambda n: [f"z{rnd.randrange(10**6)}" for _ in range(n)]
+    docs, planted = [], {}
+    for k in range(600):
+        n, edits = [(51, 0), (55, 3), (55, 5), (55, 7), (80, 12), (80, 14)][k % 6]
+        body = some(n)
+        copy = list(body)
+        # The ends stay, so that the whole passage counts.
+        for i in rnd.sample(range(3, n - 3), edits):
+            copy[i] = "edited"
+        docs += [(2 * k, " ".join(some(60) + body + some(60))), (2 * k + 1, " ".join(some(60) + copy + some(60)))]
+        planted.setdefault((n, edits), set()).add(2 * k + 1)
+    got = {r.doc_id for r in chain_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    share = {k: len(got & ids) / len(ids) for k, ids in planted.items()}
+    print(share)
+    assert min(share.values()) >= 0.97, share
+
+
 def test_vector_links_are_those_of_brute_force(spark):
     rng = np.random.default_rng(0)
     rows = []
