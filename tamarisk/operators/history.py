@@ -37,21 +37,26 @@ def daily_history(observed: DataFrame, ordinal: str) -> DataFrame:
     return daily.withColumns({"previous": before, "changed": changed})
 
 
-def price_changes(history: DataFrame, as_of: str, days: int, limit: int = 100) -> DataFrame:
-    """Pairs of a recent record and any earlier one of the same product and store whose prices differ: the largest ``limit``.
+def price_pairs(history: DataFrame, as_of: str, days: int) -> DataFrame:
+    """Pairs of a recent record and any earlier one of the same product and store whose prices differ, in no order.
 
     Each pair counts, not only consecutive ones; equality of product and store makes it a hash join."""
     new, old = history.alias("n"), history.alias("o")
     recent = F.col("n.day") >= F.date_sub(F.lit(as_of).cast("date"), days)
     same = (F.col("n.product_id") == F.col("o.product_id")) & (F.col("n.store") == F.col("o.store"))
     pair = new.where(recent).join(old, same & (F.col("n.id") > F.col("o.id")) & (F.abs(F.col("n.price") - F.col("o.price")) > 0.01))
-    found = pair.select(
+    return pair.select(
         "n.product_id",
         "n.store",
         F.col("n.id").alias("new_id"),
         F.col("o.id").alias("old_id"),
         F.round(F.col("n.price") - F.col("o.price"), 2).alias("change"),
     )
+
+
+def price_changes(history: DataFrame, as_of: str, days: int, limit: int = 100) -> DataFrame:
+    """The ``limit`` largest of ``price_pairs``."""
+    found = price_pairs(history, as_of, days)
     return found.orderBy(F.abs("change").desc(), "new_id", "old_id").limit(limit)
 
 

@@ -230,7 +230,7 @@ def top_offers(spark: SparkSession, d: str) -> DataFrame:
 )
 def price_change_sizes(spark: SparkSession, d: str) -> DataFrame:
     history = offers(spark, d).withColumn("day", F.col("seen"))
-    pairs = H.price_changes(history, AS_OF, 200, 2**31 - 1)
+    pairs = H.price_pairs(history, AS_OF, 200)
     return pairs.groupBy(F.abs("change").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("size")).limit(20)
 
 
