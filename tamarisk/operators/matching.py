@@ -1,6 +1,6 @@
 """Entity resolution: which offers are which catalogue product.
 
-Names become features once; blocking is an equi-join on tokens, skeletons and brands; only distinct pairs of names are scored;
+Names become features once; blocking is an equi-join on tokens, skeletons and names; only distinct pairs of names are scored;
 guards are plain expressions; the best candidate is an aggregate. Every input row gets exactly one outcome.
 """
 
@@ -17,10 +17,6 @@ from ..functions.keys import canonical_url
 from ..functions.similarity import similarity
 from ..functions.text import bare_tokens, block_skeletons, block_tokens, key_text
 
-#: Keys that more rows of the catalogue hold than this don't block by themselves: they tell nothing apart, and other keys of
-#: the row still do. Rows without any telling key are joined on their whole name.
-COMMON = 2000
-
 
 def featured(df: DataFrame, name: str, brands: list[str] | None = None, brand: str | None = None) -> DataFrame:
     """Add the columns that matching reads: bare, tokens, skeletons, brand_key, size_ml, gender_key."""
@@ -42,11 +38,10 @@ def _block_keys(df: DataFrame) -> DataFrame:
     return df.select("bare", "brand_key", F.explode(F.array_distinct(keys)).alias("block")).distinct()
 
 
-def candidate_names(offers: DataFrame, ours: DataFrame, common: int = COMMON) -> DataFrame:
+def candidate_names(offers: DataFrame, ours: DataFrame) -> DataFrame:
     """Distinct (bare, our_bare) pairs of names that share a blocking key and whose brands don't differ."""
     left, right = _block_keys(offers), _block_keys(ours)
-    telling = right.groupBy("block").count().where((F.col("count") <= common) | F.col("block").startswith("n:")).select("block")
-    right = right.join(telling, "block", "left_semi").select("block", F.col("bare").alias("our_bare"), F.col("brand_key").alias("our_brand"))
+    right = right.select("block", F.col("bare").alias("our_bare"), F.col("brand_key").alias("our_brand"))
     pair = left.join(right, "block")
     same = (F.col("brand_key") == "") | (F.col("our_brand") == "") | (F.col("brand_key") == F.col("our_brand"))
     return pair.where(same).select("bare", "brand_key", "our_bare", "our_brand").distinct()
