@@ -9,6 +9,7 @@ and an edit recomputes entries only until the old ones come back.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,10 +17,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .chunks import ChunkCache
 from .common import slices
 
-#: Entries of each cache of a Python worker; a full cache starts again.
-CACHE = 500_000
+#: Entries of each cache of a Python worker.
+CACHE = 600_000
 #: Token pairs of which a worker remembers whether they stand side by side.
 PAIRS = 1_000_000
 
@@ -38,6 +40,10 @@ class PrefixBPE:
         self.token = [b""] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
             self.token[rank] = piece
+        self.heads = {x[:i] for x in ranks for i in range(1, len(x) + 1)}
+        # States of reading, made as they are met; 0 is that of having read nothing.
+        self._texts, self._states, self._go = [b""], {b"": 0}, {}
+        self._ends: list[tuple[list[tuple[int, int]], int]] = [([], 0)]
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._beside: dict[int, bool] = {}
 
@@ -73,27 +79,58 @@ class PrefixBPE:
             else:
                 limit, b = b + 1, y[0]
 
-    def extend(self, last: list[int], piece: bytes) -> list[int]:
-        """Fill the table ``last`` up to the end of ``piece``, of which it covers a prefix."""
-        ranks, beside, size, longest = self.ranks, self._beside, len(self.token), self.longest
-        for end in range(len(last) + 1, len(piece) + 1):
-            for start in range(end - longest if end > longest else 0, end):
-                part = piece[start:end]
-                if part in ranks:
-                    token = ranks[part]
-                    if start == 0:
-                        break
-                    pair = last[start - 1] * size + token
-                    stands = beside.get(pair)
-                    if stands is None:
-                        if len(beside) >= PAIRS:
-                            beside.clear()
-                        stands = beside[pair] = self.stands(last[start - 1], token)
-                    if stands:
-                        break
-            else:
-                raise ValueError(f"no token ends at byte {end}")
-            last.append(token)
+    def _step(self, state: int, byte: int) -> int:
+        """The state after one more byte. A state is the longest ending of what was read with which some token begins; to each
+        belong the tokens that end here, longest first, with their lengths, and the shortest one apart."""
+        text = self._texts[state] + bytes([byte])
+        while text not in self.heads:
+            text = text[1:]
+            if not text:
+                raise ValueError(f"no token begins with byte {byte}")
+        new = self._states.setdefault(text, len(self._texts))
+        if new == len(self._texts):
+            ends = [(self.ranks[x], len(x)) for i in range(len(text)) if (x := text[i:]) in self.ranks]
+            if not ends:
+                raise ValueError(f"no token ends with byte {byte}")
+            self._texts.append(text)
+            self._ends.append((ends[:-1], ends[-1][0]))
+        self._go[state << 8 | byte] = new
+        return new
+
+    def extend(self, last: list[int], piece: bytes, states: list[int] | None = None) -> list[int]:
+        """Fill the table ``last`` up to the end of ``piece``, of which it covers a prefix; ``states`` grows with it.
+
+        Of the tokens that end at a byte, the longest that stands behind the token before it is the entry; if all others
+        don't, the shortest does.
+        """
+        go, ends, beside, size = self._go, self._ends, self._beside, len(self.token)
+        done = len(last)
+        if states is None:
+            states, state = [], 0
+            for byte in piece[max(0, done - self.longest) : done]:
+                state = go.get(state << 8 | byte) or self._step(state, byte)
+        else:
+            state = states[-1] if states else 0
+        for at in range(done, len(piece)):
+            key = state << 8 | piece[at]
+            state = go.get(key) or self._step(state, piece[at])
+            states.append(state)
+            longer, entry = ends[state]
+            for token, length in longer:
+                if length > at:
+                    entry = token
+                    break
+                before = last[at - length]
+                pair = before * size + token
+                stands = beside.get(pair)
+                if stands is None:
+                    if len(beside) >= PAIRS:
+                        beside.clear()
+                    stands = beside[pair] = self.stands(before, token)
+                if stands:
+                    entry = token
+                    break
+            last.append(entry)
         return last
 
     def edit(self, last: list[int], old: bytes, new: bytes) -> list[int]:
@@ -118,7 +155,25 @@ class PrefixBPE:
         return ids[::-1]
 
     def encode(self, piece: bytes) -> list[int]:
-        return self.tokens(self.extend([], piece))
+        token = self.ranks.get(piece)
+        return self.tokens(self.extend([], piece)) if token is None else [token]
+
+    def encode_sorted(self, pieces: list[bytes]) -> Iterator[list[int]]:
+        """``encode`` for pieces in ascending order: each takes over the table of what it shares with the one before."""
+        last: list[int] = []
+        states: list[int] = []
+        before = b""
+        for piece in pieces:
+            token = self.ranks.get(piece)
+            if token is None:
+                same, most = 0, min(len(piece), len(before))
+                while same < most and piece[same] == before[same]:
+                    same += 1
+                del last[same:], states[same:]
+                before = piece
+                yield self.tokens(self.extend(last, piece, states))
+            else:
+                yield [token]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -129,37 +184,45 @@ class TextEncoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = CACHE):
         self.bpe, self.find, self.cache = PrefixBPE(ranks), regex.compile(pattern).findall, cache
-        self._piece: dict[str, list[int]] = {}
-        self._chunk: dict[str, bytes] = {}
-
-    def _pieces(self, text: str) -> list[int]:
-        ids, known = [], self._piece
-        for piece in self.find(text):
-            got = known.get(piece)
-            if got is None:
-                if len(known) >= self.cache:
-                    known.clear()
-                got = self.bpe.encode(piece.encode())
-                if len(piece) <= 64:
-                    known[piece] = got
-            ids += got
-        return ids
+        self._piece: dict[str, array] = {}
+        self._chunks = ChunkCache(self._learn, self._whole, cache)
+
+    def _pieces(self, text: str) -> list[str]:
+        """The matches of ``text``, all of them known from here on."""
+        pieces, known = self.find(text), self._piece
+        distinct = set(pieces)
+        if len(known) + len(distinct) > self.cache:
+            known.clear()
+        new = sorted((x.encode(), x) for x in distinct.difference(known))
+        for (_, x), ids in zip(new, self.bpe.encode_sorted([raw for raw, _ in new]), strict=True):
+            known[x] = array("I", ids)
+        return pieces
+
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        found = {}
+        for at in range(0, len(chunks), 1 << 14):
+            part = chunks[at : at + (1 << 14)]
+            pieces, known = iter(self._pieces(" " + " ".join(part))), self._piece
+            for x in part:
+                ids, left = known[piece := next(pieces)], len(x) + 1 - len(piece)
+                if left:
+                    ids = ids[:]
+                    while left:
+                        ids += known[piece := next(pieces)]
+                        left -= len(piece)
+                found[x] = ids.tobytes()
+        return found
+
+    def _whole(self, text: str) -> bytes:
+        return b"".join([self._piece[x].tobytes() for x in self._pieces(text)])
 
     def encode(self, text: str) -> np.ndarray:
-        """Token ids. A space before anything but white space always starts a match, so texts are cut there; texts
-        with other spaces are matched whole."""
-        if not text:
-            return np.empty(0, "<u4")
-        first, *chunks = text.split(" ")
-        if any(not x or x[0].isspace() for x in chunks):
-            return np.array(self._pieces(text), "<u4")
-        known = self._chunk
-        if len(known) + len(chunks) > self.cache:
-            known.clear()
-        for x in set(chunks).difference(known):
-            known[x] = np.array(self._pieces(" " + x), "<u4").tobytes()
-        head = np.array(self._pieces(first), "<u4").tobytes()
-        return np.frombuffer(head + b"".join(map(known.__getitem__, chunks)), "<u4")
+        """Token ids of a text."""
+        return next(self.encode_all(pa.array([text])))
+
+    def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """``encode`` for several texts, null ones as empty; what they have in common is encoded once."""
+        return self._chunks.encode_all(texts)
 
     def decode(self, ids: np.ndarray) -> bytes:
         return self.bpe.decode(ids.tolist())
@@ -225,8 +288,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path, pattern)
-        for b in slices(batches):
-            ids = [enc.encode(x or "").astype("<i4") for x in b.column("text").to_pylist()]
+        for b in slices(batches, 2048):
+            ids = [x.astype("<i4") for x in enc.encode_all(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
@@ -237,7 +300,7 @@ def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path, pattern)
-        for b in slices(batches):
+        for b in slices(batches, 2048):
             raw = [enc.bpe.decode(x or ()) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(raw, pa.binary())], ["doc_id", "decoded"])
 
@@ -245,17 +308,21 @@ def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str) -> DataF
 
 
 def digest_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes, decodes and keeps only digests of both."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes, decodes and keeps only digests of both.
+
+    Null text counts as empty and has no tokens; repeated rows stay; an empty table gives no rows. No column but doc_id and
+    text is read, so that others may have any name. A text is held whole, however long, one at a time beside its batch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import sha256
 
         enc = encoder(ranks_path, pattern)
         digits = list(map(str, range(len(enc.bpe.token))))
-        for b in slices(batches):
+        for b in slices(batches, 2048):
             n, first, second = [], [], []
-            for x in b.column("text").to_pylist():
-                ids = enc.encode(x or "").tolist()
+            for found in enc.encode_all(b.column("text")):
+                ids = found.tolist()
                 n.append(len(ids))
                 first.append(sha256(",".join(map(digits.__getitem__, ids)).encode()).hexdigest())
                 second.append(sha256(enc.bpe.decode(ids)).hexdigest())
