@@ -8,6 +8,7 @@ until none improves. The rounded patterns are dealt to documents by their rank w
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chunks import ChunkCache
 from .common import materialize, slices
 
 LIMIT = 1024
@@ -23,13 +25,12 @@ LIMIT = 1024
 GRAIN = 8
 #: Column generation ends when the bound by the priced column is within this share of the optimum.
 GAP = 2e-3
-#: Entries of a Python worker's cache of encoded words.
-CACHE = 700_000
+#: Chunks that a Python worker remembers.
+CACHE = 1_000_000
 
 
 class WordTokenizer:
-    """Ids by the `tokenizers` library: texts are cut at spaces before anything but white space, where a byte-level
-    vocabulary of this kind always starts a piece, and what has been met before isn't encoded again."""
+    """Ids by the `tokenizers` library, as little-endian unsigned 32-bit numbers; chunks met before aren't encoded again."""
 
     def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
@@ -39,47 +40,47 @@ class WordTokenizer:
         size = self.tokenizer.get_vocab_size()
         # A token's string has one character for each of its bytes.
         self.bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)])
-        self.known: dict[str, bytes] = {}
-        self.cache = cache
+        self._chunks = ChunkCache(self._learn, lambda text: self._ids(text).tobytes(), cache)
+        self.encode_all = self._chunks.encode_all
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > self.cache:
-            self.known.clear()
-        for at in range(0, len(words), 4096):
-            part = [" " + x for x in words[at : at + 4096]]
-            ids = self._ids("".join(part))
-            ends = np.cumsum([len(x.encode()) for x in part])
-            cut = np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1
-            raw, start = ids.tobytes(), 0
-            for word, end in zip(words[at : at + 4096], cut.tolist(), strict=True):
-                self.known[word] = raw[4 * start : 4 * end]
-                start = end
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        found = {}
+        for at in range(0, len(chunks), 4096):
+            part = chunks[at : at + 4096]
+            ids = self._ids(" " + " ".join(part))
+            ends = np.cumsum([len(x) + 1 if x.isascii() else len(x.encode()) + 1 for x in part])
+            cut = (4 * (np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1)).tolist()
+            raw = ids.tobytes()
+            found.update(zip(part, [raw[i:j] for i, j in zip([0, *cut], cut, strict=False)], strict=True))
+        return found
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        if not text:
-            return b""
-        first, *words = text.split(" ")
-        if any(not x or x[0].isspace() for x in words):
-            return self._ids(text).tobytes()
-        if new := list(set(words).difference(self.known)):
-            self._learn(new)
-            if missing := set(words).difference(self.known):  # the cache was started anew
-                self._learn(list(missing))
-        return self._ids(first).tobytes() + b"".join(map(self.known.__getitem__, words))
+        return next(self.encode_all(pa.array([text]))).tobytes()
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end_id: int = 0, grain: int = GRAIN) -> DataFrame:
+def pieces(
+    docs: DataFrame,
+    tokenizer_path: str,
+    limit: int = LIMIT,
+    end_id: int = 0,
+    grain: int = GRAIN,
+    digest: bool = False,
+) -> DataFrame:
     """(doc_id, start, length, ids binary, doc_tokens, units, task, nth): every document's ids and the end id, cut after
     every ``limit`` ids. ``units`` is the length in grains, rounded up; ``nth`` counts a task's earlier pieces with as
-    many. Null text is empty and gives the end id alone."""
-    schema = "doc_id long, start long, length long, ids binary, doc_tokens long, units int, task int, nth long"
+    many. With ``digest``, ids_crc32 long (of the ids as little-endian unsigned 32-bit numbers) is in place of the ids.
+
+    Null text is empty and gives the end id alone; repeated rows stay; an empty table gives no rows; no column but doc_id and
+    text is read."""
+    name, kind = ("ids_crc32", pa.int64()) if digest else ("ids", pa.binary())
+    own = "ids_crc32 long" if digest else "ids binary"
+    schema = f"doc_id long, start long, length long, {own}, doc_tokens long, units int, task int, nth long"
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,18 +88,19 @@ def pieces(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end_id: int
             _tokenizers[tokenizer_path] = WordTokenizer(tokenizer_path)
         tok, task = _tokenizers[tokenizer_path], TaskContext.get().partitionId()
         seen = [0] * (-(-limit // grain) + 1)
-        for b in slices(batches):
+        for b in slices(batches, 2048):
             rows = []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                raw = tok.encode(text or "") + end
+            for doc, ids in zip(b.column("doc_id").to_pylist(), tok.encode_all(b.column("text")), strict=True):
+                raw = ids.tobytes() + end
                 total = len(raw) // 4
                 for start in range(0, total, limit):
                     part = raw[4 * start : 4 * (start + limit)]
                     units = -(-len(part) // (4 * grain))
-                    rows.append((doc, start, len(part) // 4, part, total, units, task, seen[units]))
+                    own = zlib.crc32(part) if digest else part
+                    rows.append((doc, start, len(part) // 4, own, total, units, task, seen[units]))
                     seen[units] += 1
-            kinds = (pa.int64(),) * 3 + (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-            names = ["doc_id", "start", "length", "ids", "doc_tokens", "units", "task", "nth"]
+            kinds = (*(pa.int64(),) * 3, kind, pa.int64(), pa.int32(), pa.int32(), pa.int64())
+            names = ["doc_id", "start", "length", name, "doc_tokens", "units", "task", "nth"]
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -276,5 +278,4 @@ def pack_digests(
 ) -> DataFrame:
     """As ``pack``, with ids_crc32 (CRC-32 of the little-endian unsigned 32-bit ids) in place of the ids, so that
     only narrow rows are written and joined."""
-    narrow = pieces(docs, tokenizer_path, limit, end_id, grain).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return assign(materialize(narrow), limit, grain)
+    return assign(materialize(pieces(docs, tokenizer_path, limit, end_id, grain, digest=True)), limit, grain)
