@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, join_frequent, materialize
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -15,8 +15,9 @@ def _state(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b, longs) -> (node, component): the smallest node reachable from each node that has an edge.
 
-    Each round joins the edges with one minimum per node; the stars that grow around a minimum are dealt by
-    adaptive skew joins. Nulls and loops are ignored. Every round is written to shared storage.
+    Each round joins the edges with one minimum per node; nodes with very many edges, such as the stars that grow around a
+    minimum, leave the shuffle (``join_frequent``). Nulls and loops are ignored. Every round is written to shared storage,
+    in place of the one before.
     """
     e = materialize(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -24,13 +25,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     state = _state(e)
     while state[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct())
-        before, state = state, _state(e)
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        low = low.select("u", F.least("u", "m").alias("m"), "n")
+        large = join_frequent(both.where("v > u"), low, "u", "n", 2 * state[0])
+        large = materialize(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_frequent(large, low, "u", "n", state[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        discard(e, large)
+        before, e, state = state, new, _state(new)
         if before == state:
             break
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

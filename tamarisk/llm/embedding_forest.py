@@ -5,9 +5,10 @@ lie near the cut; vectors close to a cut go to both sides. All vectors are then
 compared within leaves; a pair that meets in several leaves counts in the first one only. Each block of a leaf returns
 counts and edges that span its components, never its pairs.
 
-Dense groups would fill leaves with pairs that need no comparison: a vector within half the linking angle of a core links
-with every other such vector, so members of a core are counted by the core's size. Cores are sample vectors with many
-neighbours.
+Equal vectors are one vector with a weight. Dense groups of unequal ones would fill leaves with pairs that need no comparison:
+a vector within half the linking angle of a core links with every other such vector, so members of a core are counted by the
+core's size and take no part in the choice of cuts, which would else run through them and double them at every level. Cores
+are sample vectors with many neighbours.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_frequent, materialize, slices
 from .components import connected_components
 
 #: Sample vectors on which the forest and the cores are fitted; every vector is indexed.
@@ -29,12 +30,20 @@ TREES = 6
 LEAF, BLOCK = 512, 2048
 #: Half the width of the overlap at a cut, in units of 1 / sqrt(dimension).
 SPILL = 0.16
+#: A node is no longer split if that would repeat more than this share of its sample vectors.
+REPEATED = 0.4
 #: Sample vectors tried as cores, and the share of the sample a core must cover.
 CORES_TRIED, CORE_SHARE = 2048, 0.002
+#: Rows of a block whose similarities are held at once.
+STRIP = 512
 
 
 class Forest:
-    """Trees of (direction, cut, left, right) rows; a negative child -1 - k is leaf k of the forest."""
+    """Nodes of all trees in arrays: direction, cut and the two children; a negative child -1 - k is leaf k.
+
+    A node is split where few sample vectors lie near the cut, until it holds ``leaf`` vectors of the whole table by the
+    sample's estimate. Where too few sample vectors are left to choose, their median is the cut, down to two of them.
+    """
 
     def __init__(self, sample: np.ndarray, rows: int, threshold: float, trees: int, leaf: int, seed: int):
         n, dim = sample.shape
@@ -42,40 +51,51 @@ class Forest:
         self.spill = SPILL / np.sqrt(dim)
         self.directions = rng.standard_normal((dim, 128))
         self.directions /= np.linalg.norm(self.directions, axis=0)
-        self.nodes: list[list[tuple[int, float, int, int]]] = []
-        self.leaves, small = 0, max(16, leaf * n // max(1, rows))
+        self.leaves, small = 0, leaf * n / max(1, rows)
         shadow = sample @ self.directions
         near = 2.5 * self.spill
-        for _ in range(trees):
-            nodes: list[tuple[int, float, int, int]] = []
+        nodes: list[list] = []
+        self.roots = []
 
-            def grow(own: np.ndarray, depth: int, nodes=nodes) -> int:
-                if len(own) <= small or depth >= 40 or self._tight(sample[own], threshold):
-                    self.leaves += 1
-                    return -self.leaves
-                best = None
-                for d in rng.integers(0, 128, 8):
-                    x = np.sort(shadow[own, d])
-                    cuts = np.quantile(x, np.linspace(0.2, 0.8, 25))
-                    crowd = np.searchsorted(x, cuts + near) - np.searchsorted(x, cuts - near)
-                    uneven = np.abs(np.searchsorted(x, cuts) / len(x) - 0.5)
-                    cost = crowd / len(x) + 0.5 * uneven
-                    k = int(cost.argmin())
-                    if best is None or cost[k] < best[0]:
-                        best = (cost[k], int(d), float(cuts[k]))
-                _, d, cut = best
-                x = shadow[own, d]
-                left, right = own[x < cut + self.spill], own[x >= cut - self.spill]
-                if max(len(left), len(right)) >= 0.98 * len(own):
-                    self.leaves += 1
-                    return -self.leaves
-                at = len(nodes)
-                nodes.append((0, 0.0, 0, 0))
-                nodes[at] = (d, cut, grow(left, depth + 1), grow(right, depth + 1))
-                return at
+        def split(own: np.ndarray) -> tuple[int, float, np.ndarray, np.ndarray] | None:
+            if len(own) <= small or len(own) < 2 or self._tight(sample[own], threshold):
+                return None
+            best = (np.inf, 0, 0.0)
+            for d in rng.integers(0, 128, 8):
+                x = np.sort(shadow[own, d])
+                cuts = np.quantile(x, np.linspace(0.2, 0.8, 25)) if len(own) >= 16 else np.array([np.median(x)])
+                crowd = np.searchsorted(x, cuts + near) - np.searchsorted(x, cuts - near)
+                uneven = np.abs(np.searchsorted(x, cuts) / len(x) - 0.5)
+                cost = crowd / len(x) + 0.5 * uneven
+                k = int(cost.argmin())
+                best = min(best, (float(cost[k]), int(d), float(cuts[k])))
+            _, d, cut = best
+            x = shadow[own, d]
+            left, right = own[x < cut + self.spill], own[x >= cut - self.spill]
+            if len(own) >= 16 and len(left) + len(right) > (1 + REPEATED) * len(own) or max(len(left), len(right)) == len(own):
+                return None
+            return d, cut, left, right
 
-            root = grow(np.arange(n), 0)
-            self.nodes.append(nodes if root == 0 else [(0, np.inf, root, root)])
+        for _ in range(trees):
+            # (own sample vectors, parent, which child) of what is still to be split.
+            todo: list[tuple[np.ndarray, int, int]] = [(np.arange(n), -1, 0)]
+            while todo:
+                own, parent, side = todo.pop()
+                got = split(own)
+                if got is None:
+                    at = -1 - self.leaves
+                    self.leaves += 1
+                else:
+                    at = len(nodes)
+                    nodes.append([got[0], got[1], 0, 0])
+                    todo += [(got[2], at, 2), (got[3], at, 3)]
+                if parent < 0:
+                    self.roots.append(at)
+                else:
+                    nodes[parent][side] = at
+        columns = list(zip(*nodes, strict=True)) or [(), (), (), ()]
+        self.direction, self.left, self.right = (np.array(columns[i], np.int32) for i in (0, 2, 3))
+        self.cut = np.array(columns[1], float)
 
     @staticmethod
     def _tight(own: np.ndarray, threshold: float) -> bool:
@@ -84,20 +104,17 @@ class Forest:
 
     def deal(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) pairs, ordered by row: every leaf of every tree that each row of ``x`` falls into."""
-        shadow, rows, leaves = x @ self.directions, [], []
-        for nodes in self.nodes:
-            todo = [(0, np.arange(len(x)))]
-            while todo:
-                at, own = todo.pop()
-                d, cut, left, right = nodes[at]
-                p = shadow[own, d]
-                for child, part in ((left, own[p < cut + self.spill]), (right, own[p >= cut - self.spill])):
-                    if child < 0:
-                        rows.append(part)
-                        leaves.append(np.full(len(part), -1 - child))
-                    elif len(part):
-                        todo.append((child, part))
-        row, leaf = np.concatenate(rows), np.concatenate(leaves)
+        shadow, done = x @ self.directions, []
+        row = np.tile(np.arange(len(x)), len(self.roots))
+        at = np.repeat(np.array(self.roots, np.int64), len(x))
+        while len(row):
+            leaf = at < 0
+            done.append((row[leaf], -1 - at[leaf]))
+            row, at = row[~leaf], at[~leaf]
+            p, cut = shadow[row, self.direction[at]], self.cut[at]
+            low, high = p < cut + self.spill, p >= cut - self.spill
+            row, at = np.r_[row[low], row[high]], np.r_[self.left[at[low]], self.right[at[high]]].astype(np.int64)
+        row, leaf = (np.concatenate(c) for c in zip(*done, strict=True))
         order = np.lexsort((leaf, row))
         return row[order], leaf[order]
 
@@ -165,11 +182,38 @@ def link_vectors(
     if width is None:
         return none
     dim = width.dim
-    own = materialize(sound.where(F.size(e) == dim).groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
+    each = sound.where(F.size(e) == dim).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    each = materialize(each)
+    total = each.count()
+    # Equal vectors are one from here on: the smallest id, and how many there are.
+    same = materialize(each.groupBy("embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight")))
+    own = same.select(F.col("first").alias("vec_id"), "embedding", "weight")
+    of = None
+    if own.count() < total:
+        of = materialize(join_frequent(each, same, "embedding", "weight", total).select("vec_id", "first"))
+    counts, edges = _linked(own, dim, threshold, trees, sample, leaf, block, seed)
+    counts = counts.groupBy("vec_id").agg(F.sum("n").alias("n"))
+    named = connected_components(edges)
+    found = own.select(F.col("vec_id").alias("first"), F.col("weight").alias("many")).join(
+        counts.withColumnRenamed("vec_id", "first"), "first", "left"
+    )
+    found = found.join(named.withColumnRenamed("node", "first"), "first", "left")
+    found = materialize(found.select("first", "many", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "first").alias("component")))
+    out = found.withColumnRenamed("first", "vec_id") if of is None else join_frequent(of, found, "first", "many", total)
+    out = out.select("vec_id", (F.col("n") + F.col("many") - 1).alias("n_links"), F.col("component").alias("component_id"))
+    return out.unionByName(none.join(each, "vec_id", "left_anti"))
+
+
+def _linked(
+    own: DataFrame, dim: int, threshold: float, trees: int, sample: int, leaf: int, block: int, seed: int
+) -> tuple[DataFrame, DataFrame]:
+    """Two tables for (vec_id, embedding, weight) with distinct vectors of ``dim`` components: (vec_id, n), whose sums are the
+    weights of the linked vectors, and edges (a, b) that connect what is linked."""
+    spark = own.sparkSession
     rows = own.count()
     some = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()
     some = _unit(some.column("embedding"), dim)
-    forest, cores = Forest(some, rows, threshold, trees, leaf, seed), find_cores(some, threshold)
+    cores = find_cores(some, threshold)
     half = np.sqrt((1 + threshold) / 2) + 1e-7
 
     def core_of(x: np.ndarray) -> np.ndarray:
@@ -179,108 +223,106 @@ def link_vectors(
         k = near.argmax(1)
         return np.where(near[np.arange(len(x)), k] >= half, k, -1)
 
+    loose = core_of(some) < 0
+    forest = Forest(some[loose], int(rows * loose.mean()), threshold, trees, leaf, seed)
+
     # Blocks of each leaf, from the sample's counts: first those of mixed rows, then those of each core that fills half a
     # block; (core or -1, first block, blocks).
     scale = rows / len(some)
     row, dealt = forest.deal(some)
     kind = core_of(some)[row]
+    order = np.lexsort((kind, dealt))
+    kind, starts = kind[order], np.searchsorted(dealt[order], np.arange(forest.leaves + 1))
     plan: list[list[tuple[int, int, int]]] = []
-    for k in range(forest.leaves):
-        kinds = kind[dealt == k]
-        sizes = {int(c): int((kinds == c).sum() * scale) for c in np.unique(kinds) if c >= 0}
-        large = {c: n for c, n in sizes.items() if n > block // 2}
-        mixed = max(1, -(-int((len(kinds) * scale) - sum(large.values())) // block))
-        parts, at = [(-1, 0, mixed)], mixed
-        for c, n in large.items():
-            parts.append((c, at, -(-n // block)))
-            at += -(-n // block)
+    for a, b in zip(starts, starts[1:], strict=False):
+        names, n = np.unique(kind[a:b], return_counts=True)
+        large = {int(c): int(k * scale) for c, k in zip(names, n, strict=True) if c >= 0 and k * scale > block // 2}
+        at = max(1, -(-int((b - a) * scale - sum(large.values())) // block))
+        parts = [(-1, 0, at)]
+        for c, k in large.items():
+            parts.append((c, at, -(-k // block)))
+            at += -(-k // block)
         plan.append(parts)
-    shared = spark.sparkContext.broadcast((forest, cores, plan))
+    shared = spark.sparkContext.broadcast((forest, plan))
     value = own.schema["embedding"].dataType.simpleString()
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, _, plan = shared.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
-                x = _unit(b.column("embedding"), dim)
-                core, ids = core_of(x), b.column("vec_id").to_numpy()
-                row, leaf = forest.deal(x)
-                first = np.searchsorted(row, np.arange(len(x) + 1))
-                out = []
-                for r, k in zip(row.tolist(), leaf.tolist(), strict=True):
-                    parts, c = plan[k], int(core[r])
-                    mine = next((p for p in parts if p[0] == c), parts[0])
-                    blk = mine[1] + int(ids[r] * 0x9E3779B1 & 0x7FFFFFFF) % mine[2]
-                    for kind, start, n in parts:
-                        if kind >= 0 and kind == mine[0]:
-                            continue
-                        out += [(r, k, min(blk, y), max(blk, y), blk) for y in range(start, start + n)]
-                if out:
-                    take, k, lo, hi, blk = (np.array(c) for c in zip(*out, strict=True))
-                    every = pa.array([leaf[first[r] : first[r + 1]].tolist() for r in take], pa.list_(pa.int32()))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            *(pa.array(c.astype(np.int32)) for c in (k, lo, hi, blk, core[take])),
-                            pa.array(ids[take]),
-                            b.column("embedding").take(pa.array(take)),
-                            every,
-                        ],
-                        ["leaf", "lo", "hi", "blk", "core", "vec_id", "embedding", "leaves"],
-                    )
+        forest, plan = shared.value
+        for b in slices(batches, 1024):
+            x = _unit(b.column("embedding"), dim)
+            core, ids = core_of(x), b.column("vec_id").to_numpy()
+            row, leaf = forest.deal(x)
+            first = np.searchsorted(row, np.arange(len(x) + 1))
+            out = []
+            for r, k in zip(row.tolist(), leaf.tolist(), strict=True):
+                parts, c = plan[k], int(core[r])
+                mine = next((p for p in parts if p[0] == c), parts[0])
+                blk = mine[1] + int(ids[r] * 0x9E3779B1 & 0x7FFFFFFF) % mine[2]
+                for kind, start, n in parts:
+                    if kind >= 0 and kind == mine[0]:
+                        continue
+                    out += [(r, k, min(blk, y), max(blk, y), blk) for y in range(start, start + n)]
+            if out:
+                take, k, lo, hi, blk = (np.array(c) for c in zip(*out, strict=True))
+                every = pa.array([leaf[first[r] : first[r + 1]].tolist() for r in take], pa.list_(pa.int32()))
+                at = pa.array(take)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(pa.array(c.astype(np.int32)) for c in (k, lo, hi, blk, core[take])),
+                        *(b.column(c).take(at) for c in ("vec_id", "embedding", "weight")),
+                        every,
+                    ],
+                    ["leaf", "lo", "hi", "blk", "core", "vec_id", "embedding", "weight", "leaves"],
+                )
 
     def compare(t: pa.Table) -> pa.Table:
-        x, ids = _unit(t.column("embedding"), dim), t.column("vec_id").to_numpy()
+        x, ids, weight = _unit(t.column("embedding"), dim), t.column("vec_id").to_numpy(), t.column("weight").to_numpy()
         core, blk = t.column("core").to_numpy(), t.column("blk").to_numpy()
         here, both = t.column("leaf")[0].as_py(), t.column("lo")[0].as_py() != t.column("hi")[0].as_py()
-        near = x @ x.T >= threshold
-        near &= ids[:, None] != ids
-        near &= (core[:, None] != core) | (core[:, None] < 0)
-        if both:
-            near &= blk[:, None] != blk
-        some = np.flatnonzero(near.any(1))
-        near, ids = near[np.ix_(some, some)], ids[some]
-        if len(some):
-            lists = t.column("leaves").combine_chunks().take(pa.array(some))
-            flat, sizes = np.asarray(lists.flatten()), np.diff(np.asarray(lists.offsets))
-            owner = np.repeat(np.arange(len(some)), sizes)
-            before = flat < here
-            names, place = np.unique(flat[before], return_inverse=True)
-            if len(names):
-                seat = np.zeros((len(some), len(names)), np.float32)
-                seat[owner[before], place] = 1
-                near &= seat @ seat.T < 0.5
+        lists = t.column("leaves").combine_chunks()
+        flat, owner = np.asarray(lists.flatten()), np.repeat(np.arange(len(x)), np.diff(np.asarray(lists.offsets)))
+        # Earlier leaves that two rows here share; of most there is one row only.
+        names, place, uses = np.unique(flat, return_inverse=True, return_counts=True)
+        useful = (uses > 1) & (names < here)
+        seat = np.zeros((len(x), int(useful.sum())), np.float32)
+        column = np.cumsum(useful) - 1
+        kept = useful[place]
+        seat[owner[kept], column[place[kept]]] = 1
+        near = np.zeros((len(x), len(x)), bool)
+        for at in range(0, len(x), STRIP):
+            i = slice(at, at + STRIP)
+            link = x[i] @ x.T >= threshold
+            link &= ids[i, None] != ids
+            link &= (core[i, None] != core) | (core[i, None] < 0)
+            if both:
+                link &= blk[i, None] != blk
+            r = np.flatnonzero(link.any(1))
+            if len(r) and seat.shape[1]:
+                link[r] &= seat[i][r] @ seat.T < 0.5
+            near[i] = link
         label = _spanning(near)
-        n = near.sum(1)
+        n = near @ weight
         keep = np.flatnonzero(n)
         return pa.table({"vec_id": pa.array(ids[keep]), "n": pa.array(n[keep].astype(np.int64)), "root": pa.array(ids[label[keep]])})
 
     dealt_rows = own.mapInArrow(
-        assign, f"leaf int, lo int, hi int, blk int, core int, vec_id long, embedding {value}, leaves array<int>"
+        assign, f"leaf int, lo int, hi int, blk int, core int, vec_id long, embedding {value}, weight long, leaves array<int>"
     )
     found = materialize(dealt_rows.groupBy("leaf", "lo", "hi").applyInArrow(compare, "vec_id long, n long, root long"))
     counts, edges = found.select("vec_id", "n"), found.select(F.col("vec_id").alias("a"), F.col("root").alias("b"))
     if len(cores):
 
         def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in slices(batches, 4096):
                 core = core_of(_unit(b.column("embedding"), dim))
-                k = np.flatnonzero(core >= 0)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("vec_id").take(pa.array(k)), pa.array(core[k].astype(np.int32))], ["vec_id", "core"]
-                )
+                k = pa.array(np.flatnonzero(core >= 0))
+                columns = [b.column("vec_id").take(k), b.column("weight").take(k), pa.array(core.astype(np.int32)).take(k)]
+                yield pa.RecordBatch.from_arrays(columns, ["vec_id", "weight", "core"])
 
-        members = materialize(own.mapInArrow(name, "vec_id long, core int"))
+        members = materialize(own.mapInArrow(name, "vec_id long, weight long, core int"))
         # One row for each core.
-        sizes = members.groupBy("core").agg(F.count("*").alias("size"), F.min("vec_id").alias("least"))
+        sizes = members.groupBy("core").agg(F.sum("weight").alias("size"), F.min("vec_id").alias("least"))
         members = members.join(F.broadcast(sizes), "core")
-        counts = counts.union(members.select("vec_id", (F.col("size") - 1).alias("n")))
+        counts = counts.union(members.select("vec_id", (F.col("size") - F.col("weight")).alias("n")))
         edges = edges.union(members.select(F.col("vec_id").alias("a"), F.col("least").alias("b")))
-    counts = counts.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
-    named = connected_components(edges)
-    out = ids.join(counts, "vec_id", "left").join(named, ids.vec_id == named.node, "left")
-    return out.select(
-        ids.vec_id,
-        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
-        F.coalesce("component", ids.vec_id).alias("component_id"),
-    )
+    return counts, edges
