@@ -221,15 +221,41 @@ def test_passages_of_later_documents_are_not_hidden_by_earlier_parts(spark):
     assert {(r.doc_id, r.start, r.end, r.source_id) for r in got} == wanted
 
 
-def test_nearest_places_are_those_of_brute_force(spark):
+def test_earlier_places_are_those_of_brute_force(spark):
     rnd = random.Random(7)
     rows = [(rnd.choice([0, 0, 0, 1, 2, rnd.randrange(50)]), rnd.randrange(300), rnd.randrange(9)) for _ in range(3000)]
-    got = chain_dedup._nearest(spark.createDataFrame(rows, "hash long, doc_id long, pos int")).collect()
-    by = {}
-    for h, d, p in sorted(set(rows)):
-        by.setdefault(h, []).append((d, p))
-    wanted = {(d, p, *max(x for x in own if x[0] < d)) for own in by.values() for d, p in own if d > own[0][0]}
-    assert {tuple(r) for r in got} == wanted
+    rows = sorted(set(rows))
+    by = defaultdict(list)
+    for h, d, p in rows:
+        by[h].append((d, p))
+    wanted = {(d, p, *own[0], *max(x for x in own if x[0] < d)) for own in by.values() for d, p in own if d > own[0][0]}
+    data = spark.createDataFrame(rows, "hash long, doc_id long, pos int")
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        # With many tasks the frequent hashes cross several borders.
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for n in ("1", "7", "60"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = chain_dedup._earlier(data).collect()
+            assert len(got) == len(wanted) and {tuple(r) for r in got} == wanted
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_common_words_are_a_longest_subsequence():
+    rnd = random.Random(11)
+    for _ in range(300):
+        a, b = ([rnd.randrange(6) for _ in range(rnd.randint(0, 40))] for _ in range(2))
+        found = chain_dedup._common(a, b)
+        assert all(a[i] == b[j] for i, j in found)
+        assert all(x < y and u < v for (x, u), (y, v) in zip(found, found[1:], strict=False))
+        rows = [[0] * (len(b) + 1)]
+        for x in a:
+            rows.append([0])
+            for k, y in enumerate(b):
+                rows[-1].append(rows[-2][k] + 1 if x == y else max(rows[-2][k + 1], rows[-1][k]))
+        assert len(found) == rows[-1][-1]
 
 
 def test_recall_of_edited_passages(spark):
