@@ -49,6 +49,17 @@ def discard(*stored: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """``names``, with underscores added until they are not among ``taken``, whatever their case."""
+    low, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in low:
+            name += "_"
+        low.add(name.lower())
+        out.append(name)
+    return out
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Smaller record batches, so that Python holds few texts at once."""
     for batch in batches:

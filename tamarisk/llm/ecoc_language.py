@@ -88,9 +88,8 @@ def fit(labelled: DataFrame, bits: int = BITS) -> Model | None:
             texts, langs = b.column("text").to_pylist(), b.column("lang").to_pylist()
             for text, lang in zip(texts, langs, strict=True):
                 total.setdefault(lang, np.zeros(1 << bits, np.int64))
-                # A long text doesn't outweigh many short ones.
-                x = ngram_counts(text.lower().encode(), bits)
-                total[lang] += x
+                # Every n-gram counts alike, so that a long text weighs as much as the short ones it could be cut into.
+                total[lang] += ngram_counts(text.lower().encode(), bits)
         if total:
             kind = pa.list_(pa.int64())
             rows = [pa.array(list(total)), pa.array([x.tolist() for x in total.values()], kind)]
@@ -109,13 +108,18 @@ def fit(labelled: DataFrame, bits: int = BITS) -> Model | None:
 
 
 def predict(
-    docs: DataFrame, model: Model | None, bits: int = BITS, clear: float = CLEAR, columns: list[str] | None = None
+    docs: DataFrame,
+    model: Model | None,
+    bits: int = BITS,
+    clear: float = CLEAR,
+    columns: list[str] | None = None,
+    names: tuple[str, str, str] = ("lang_pred", "score", "ambiguous"),
 ) -> DataFrame:
-    """``columns`` of ``docs`` (doc_id, if not given) with lang_pred, score and ambiguous. Null or letterless texts are
-    ``und`` with score 0 and ambiguous; so is everything without a model. Repeated rows stay, and no column but the text is
-    an input. Columns of the result's own names must not be among ``columns``."""
+    """``columns`` of ``docs`` (doc_id, if not given) with lang_pred, score and ambiguous, or what ``names`` calls them, for
+    documents whose columns have these names already. Null or letterless texts are ``und`` with score 0 and ambiguous; so is
+    everything without a model. Repeated rows stay, an empty table gives no rows, and no column but the text is an input."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = columns or ["doc_id"]
+    added, names = list(names), columns or ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -130,9 +134,10 @@ def predict(
                     lang[i] = m.languages[k]
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(n) for n in names), pa.array(lang, pa.string()), pa.array(score), pa.array(score < clear)],
-                [*names, "lang_pred", "score", "ambiguous"],
+                [*names, *added],
             )
 
     own = docs.select(*dict.fromkeys([*names, "text"]))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for n in names for f in [own.schema[n]])
-    return own.mapInArrow(run, f"{fields}, lang_pred string, score double, ambiguous boolean")
+    kinds = ", ".join(f"`{n}` {k}" for n, k in zip(added, ("string", "double", "boolean"), strict=True))
+    return own.mapInArrow(run, f"{fields}, {kinds}")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_frequent, materialize
+from .common import fresh, join_frequent, materialize
 
 #: Kinds in the order of the results: pattern, shortest value. A pattern's first group, if any, is the value.
 KINDS = {
@@ -140,7 +140,8 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", cop
 def redact(docs: DataFrame, mark: str = "[SECRET]", owner: str = "source", copied: int = COPIED) -> DataFrame:
     """``docs`` with the columns it has, where ``mark`` stands in place of every finding that isn't a copied example.
 
-    Only texts that match a pattern are shuffled. n_chars, if there, follows the text.
+    Only texts that match a pattern are shuffled. n_chars, if there, follows a text that changed. Null and empty texts stay as
+    they are, repeated rows stay, an empty table stays empty; further columns, whatever their names, go along.
     """
     _, judged = findings(docs, owner, copied=copied)
     # Overlapping findings become one.
@@ -154,24 +155,21 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", owner: str = "source", copie
     matches = F.lit(False)
     for pattern, _ in KINDS.values():
         matches |= text.rlike(pattern)
+    own = fresh(docs.columns, "hash", "of", "doc", "text_hash", "owner", "cuts")
     some = docs.where(matches).withColumns(
-        {
-            "_hash": F.xxhash64(text, F.length(text)),
-            "_owner": F.coalesce(F.col(owner).cast("string"), F.lit("")),
-        }
+        {own[0]: F.xxhash64(text, F.length(text)), own[1]: F.coalesce(F.col(owner).cast("string"), F.lit(""))}
     )
-    cuts = cuts.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_th"), F.col("owner").alias("_ow"), F.col("cuts").alias("_cuts"))
-    some = some.join(
-        cuts,
-        some.doc_id.eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_th")) & (F.col("_owner") == F.col("_ow")),
-        "left",
-    )
-    c, i = F.col("_cuts"), F.sequence(F.lit(0), F.size("_cuts"))
+    cuts = cuts.toDF(*own[2:])
+    same = F.col("doc_id").eqNullSafe(F.col(own[2])) & (F.col(own[0]) == F.col(own[3])) & (F.col(own[1]) == F.col(own[4]))
+    some = some.join(cuts, same, "left")
+    c, i = F.col(own[5]), F.sequence(F.lit(0), F.size(own[5]))
     begin = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.element_at(c, k)["end"]).cast("int")
     stop = lambda k: F.when(k == F.size(c), F.length("text")).otherwise(F.element_at(c, k + 1)["start"]).cast("int")
     kept = F.transform(i, lambda k: F.col("text").substr(begin(k) + 1, stop(k) - begin(k)))
-    some = some.withColumn("text", F.when(c.isNull(), F.col("text")).otherwise(F.array_join(kept, mark)))
-    out = docs.where(~matches).unionByName(some.select(*docs.columns))
+    new = F.when(c.isNull(), F.col("text")).otherwise(F.array_join(kept, mark))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        n = F.when(c.isNull(), F.col("n_chars")).otherwise(F.length("text"))
+        some = some.withColumn("text", new).withColumn("n_chars", n.cast(docs.schema["n_chars"].dataType))
+    else:
+        some = some.withColumn("text", new)
+    return docs.where(~matches).unionByName(some.select(*docs.columns)).select(*docs.columns)

@@ -4,6 +4,10 @@ A fingerprint's 64 bits are four segments on a ring. If two fingerprints differ
 segment on, one, two, three and four consecutive segments differ in at most 0, 1, 2 and 3 bits in sum (a quota of
 3/4 bit a segment). The first two steps are a join key: a segment, and the next one with up to one set bit cleared. The
 third step and the full distance are checked on what shares a key.
+
+Texts with 0.8 of their shingles in common differ in 10 of 64 bits on average, too many for segments that tell texts apart to
+agree. ``similar_documents`` therefore takes candidates from keys of the shingles (``shingle_bands``), prunes them by a ring of
+eight segments with a wide budget, and checks what is left on the whole sets.
 """
 
 from __future__ import annotations
@@ -14,14 +18,17 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, utf8
+from .common import discard, join_frequent, materialize, slices, utf8
 from .components import connected_components
+from .shingle_bands import SIMILAR, checked, signatures
 
 SEGMENTS, BITS = 4, 16
 DISTANCE = 3
+#: Differing bits up to which texts can be alike by 0.8: 3.6 standard deviations above the mean of 9.7.
+WIDE = 20
 #: A segment value that so many fingerprints hold, besides 64 times the mean, is hot; see ``_hot_links``.
 HOT = 4096
 #: Longest run of equal keys that is compared pair by pair at once; longer ones are searched breadth first.
@@ -187,13 +194,80 @@ def near_duplicates(docs: DataFrame, size: int = 3, seed: int = 42, hot: int = H
     class; repeated rows stay rows. An empty table gives an empty result. Extra columns of ``docs`` are not read.
     """
     fps = materialize(fingerprints(docs, size, seed))
-    first = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    distinct = materialize(first)
+    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     nodes = connected_components(ring_links(distinct.select("fp"), hot))
-    named = nodes.join(distinct, nodes.node == distinct.fp).select("fp", "component", "least")
-    ids = named.groupBy("component").agg(F.min("least").alias("lowest"))
-    moved = named.join(ids, "component").select("fp", F.col("lowest"))
-    roots = materialize(
-        distinct.join(moved, "fp", "left").select("fp", F.coalesce("lowest", "least").alias("component_id"))
+    named = materialize(nodes.join(distinct, nodes.node == distinct.fp).select("fp", "component", "least"))
+    ids = named.groupBy("component").agg(F.min("least").alias("lowest"), F.count("*").alias("many"))
+    moved = join_frequent(named, ids, "component", "many", named.count()).select("fp", "lowest")
+    roots = distinct.join(moved, "fp", "left").select("fp", F.coalesce("lowest", "least").alias("component_id"), "n")
+    out = join_frequent(fps, materialize(roots), "fp", "n", fps.count())
+    return out.select("doc_id", "fp", "component_id")
+
+
+def ring_within(x: Column, distance: int, segments: int = 8) -> Column:
+    """Whether the bits set in ``x`` are ``distance`` at most; first, whether from some segment on every run of segments has no
+    more than its share of them, which holds wherever the whole ring keeps within the budget."""
+    bits = 64 // segments
+    up = lambda n: F.call_function("shiftleft", x, n)
+    down = lambda n: F.call_function("shiftrightunsigned", x, n)
+    turned = [x if not i else up(F.lit(i * bits)).bitwiseOR(down(F.lit(64 - i * bits))) for i in range(segments)]
+    runs = [(F.lit((1 << n * bits) - 1).cast("long"), distance * n // segments) for n in range(1, segments)]
+    chain = F.lit(False)
+    for t in turned:
+        within = F.lit(True)
+        for mask, budget in runs:
+            within &= F.bit_count(t.bitwiseAND(mask)) <= budget
+        chain |= within
+    return chain & (F.bit_count(x) <= distance)
+
+
+def similar_documents(docs: DataFrame, size: int = 5, similar: float = SIMILAR, distance: int = WIDE) -> DataFrame:
+    """(doc_id, component_id): documents linked by a Jaccard similarity of ``similar`` or more, directly or through others.
+
+    Texts with equal sets of shingles are one class. Of the members of each key, those that differ from the first one's
+    fingerprint in ``distance`` bits at most are checked against it; then only those pairs are left that no links connect yet,
+    and all of them pass the same filter and check. Null or wordless texts are one class; repeated rows stay rows; null ids
+    are grouped like others; an empty table gives no rows; no column but doc_id and text is read.
+    """
+    signed = materialize(signatures(docs, size))
+    first = signed.groupBy("cls").agg(
+        F.min("doc_id").alias("doc_id"),
+        F.count("*").alias("copies"),
+        *(F.first(c).alias(c) for c in ("n", "fp", "bands")),
+    )
+    first = materialize(first)
+    keys = first.select("cls", "n", "fp", F.explode("bands").alias("key"))
+    root = keys.groupBy("key").agg(F.min(F.struct("cls", "n", "fp")).alias("root"), F.count("*").alias("m"))
+    root = materialize(root.where("m > 1"))
+    shared = materialize(join_frequent(keys, root, "key", "m", max(1, keys.count())))
+    discard(root)
+
+    def alike(a: str, b: str) -> Column:
+        n, m = F.col(f"{a}n"), F.col(f"{b}n")
+        near = ring_within(F.col(f"{a}fp").bitwiseXOR(F.col(f"{b}fp")), distance)
+        return (F.least(n, m) >= similar * F.greatest(n, m)) & near
+
+    stars = shared.where((F.col("cls") != F.col("root.cls")) & alike("", "root."))
+    links = checked(stars.select(F.col("cls").alias("a"), F.col("root.cls").alias("b")), docs, first, size, similar)
+    nodes = materialize(connected_components(links))
+    named = shared.join(nodes, shared.cls == nodes.node, "left").select(
+        "key", "cls", "n", "fp", F.coalesce("component", "cls").alias("part"), (F.col("cls") == F.col("root.cls")).alias("top")
     )
-    return fps.join(roots, "fp").select("doc_id", "fp", "component_id")
+    named = materialize(named)
+    discard(shared)
+    split = named.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("m"))
+    # The first of a key has met all others.
+    split = materialize(split.where("p <> q and m > 2").select("key"))
+    rest = named.where("not top").join(split, "key", "left_semi")
+    x, y = rest.alias("x"), rest.alias("y")
+    apart = (F.col("x.cls") > F.col("y.cls")) & (F.col("x.part") != F.col("y.part")) & alike("x.", "y.")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & apart).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+    links = links.union(checked(pairs, docs, first, size, similar))
+    nodes = connected_components(links)
+    joined = materialize(nodes.join(first.select(F.col("cls").alias("node"), "doc_id"), "node"))
+    lowest = joined.groupBy("component").agg(F.min("doc_id").alias("lowest"), F.count("*").alias("many"))
+    moved = join_frequent(joined, lowest, "component", "many", joined.count()).select(F.col("node").alias("cls"), "lowest")
+    roots = first.select("cls", F.col("doc_id").alias("least"), "copies").join(moved, "cls", "left")
+    roots = materialize(roots.select("cls", F.coalesce("lowest", "least").alias("component_id"), "copies"))
+    out = join_frequent(signed.select("doc_id", "cls"), roots, "cls", "copies", signed.count())
+    return out.select("doc_id", "component_id")

@@ -301,7 +301,7 @@ def test_top_k_is_exact(spark, sf):
     m = np.floor(256 * np.stack(pdf.embedding.to_numpy()).astype(float)).astype(np.int64)
     ids = pdf.vec_id.to_numpy()
     got = defaultdict(list)
-    for r in block_topk.top_k(block_topk.quantize(e), F.col("vec_id") % 50 == 0, group=130, chunk=4).collect():
+    for r in block_topk.top_k(block_topk.quantize(e), F.col("vec_id") % 50 == 0, group=3, chunk=4, block=20).collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
     assert set(got) == {i for i in ids if i % 50 == 0}
     for i in np.flatnonzero(ids % 50 == 0):
@@ -310,6 +310,32 @@ def test_top_k_is_exact(spark, sf):
         assert sorted(got[ids[i]]) == [(n + 1, ids[j], s[j]) for n, j in enumerate(best)]
 
 
+def test_blocks_that_cannot_matter_are_not_scored():
+    rng = np.random.default_rng(2)
+    tight = np.floor(256 * np.concatenate([c / 8 + rng.standard_normal((64, 64)) * 0.01 for c in rng.standard_normal((60, 64))])).astype(np.int64)
+    even = np.floor(256 * rng.standard_normal((60 * 64, 64)) / 8).astype(np.int64)
+    for x, least, most in ((tight, 0.0, 0.1), (even, 0.9, 1.0)):
+        ids = np.arange(len(x))
+        blocks = block_topk.Blocks(np.split(ids, 60), np.split(x, 60))
+        q, own = x[::50], ids[::50]
+        floor = block_topk._floors(own, q, ids[::7], x[::7], 5)
+        got = defaultdict(list)
+        for query, other, score in blocks.search(own, q, floor, 5):
+            got[query].append((-score, other))
+        for i, v in zip(own, q, strict=True):
+            score = x @ v
+            assert got[i] == [(-score[j], j) for j in np.lexsort((ids, -score)) if j != i][:5]
+        assert least <= blocks.scored / blocks.pairs <= most
+
+
+def test_scores_of_huge_components_are_exact(spark):
+    rows = [(i, [10**8 + 7 * i, -(10**8) + i]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    for r in block_topk.top_k(df, F.col("vec_id") == 3, k=2).collect():
+        score = {i: sum(a * b for a, b in zip(v, rows[3][1], strict=True)) for i, v in rows if i != 3}
+        assert r.score == score[r.vec_id] and r.vec_id == sorted(score, key=lambda i: (-score[i], i))[r.rank - 1]
+
+
 def test_long_texts_are_hashed_part_by_part(monkeypatch):
     from tamarisk.llm import features
 
