@@ -26,7 +26,7 @@ GRAIN = 8
 #: Column generation ends when the bound by the priced column is within this share of the optimum.
 GAP = 2e-3
 #: Chunks that a Python worker remembers.
-CACHE = 1_000_000
+CACHE = 600_000
 
 
 class WordTokenizer:
