@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from . import vocabulary as V
+from .similarity import ratio
 from .text import Name, column, fold_letters, normalize
 
 
@@ -23,6 +26,7 @@ def any_of(text: Column, words) -> Column:
 def size_ml(c: Name) -> Column:
     """The first volume in ounces, else in millilitres; 0 if there is none."""
     t = _text(c)
+    # The patterns of volumes.
     ounces = F.regexp_extract(t, r"(\d+(?:\.\d+)?)\s*(?:fl\.?\s*oz|oz|ounce|fluid\s*oz)", 1)
     ml = F.regexp_extract(t, r"(\d+(?:\.\d+)?)\s*(?:ml|مل|ملي|milliliter)", 1)
     return F.coalesce(ounces.try_cast("double") * V.OUNCE_ML, ml.try_cast("double"), F.lit(0.0))
@@ -79,9 +83,16 @@ def known_brand(c: Name, brands: list[str]) -> Column:
 
 
 def product_numbers(c: Name) -> Column:
-    """Numbers of two to four digits that name a product rather than a volume."""
-    t = F.regexp_replace(_text(c), r"\d+(?:\.\d+)?\s*(?:ml|مل|ملي|oz|g|جم)", " ")
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(r"(?<!\d)(\d{2,4})(?!\d)"), F.lit(1))))
+    """Numbers that name a product rather than a volume, sorted: after a word for number, as digits or in words; attached to a
+    letter, unless a size; alone, if among the numbers that names have and no volume."""
+    t = _text(c)
+    all_of = lambda pattern: F.regexp_extract_all(t, F.lit(pattern), F.lit(1))
+    words = [F.when(t.rlike(f"(?:نمبر|number|no|رقم) {w}"), F.lit(n)) for w, n in V.NUMBER_WORDS.items()]
+    told = all_of(r"(?:no|num|number|نمبر|رقم|№|#)\s*(\d+)")
+    named = F.array_compact(F.array(*words))
+    stuck = F.filter(all_of(r"[a-z\u0600-\u06FF](\d+)"), lambda n: ~n.isin(*V.SIZE_NUMBERS))
+    alone = F.filter(all_of(r"(?U)\b(\d{1,3})\b(?!\s{0,3}(?:ml|مل))"), lambda n: n.isin(*V.NAME_NUMBERS))
+    return F.array_sort(F.array_distinct(F.concat(told, named, stuck, alone)))
 
 
 def sizes_agree(a: Name, b: Name, tolerance: float = V.SIZE_TOLERANCE_ML) -> Column:
@@ -110,8 +121,61 @@ def variants_differ(a: Name, b: Name, groups: dict[str, tuple[str, ...]]) -> Col
     return has_words(a, groups) != has_words(b, groups)
 
 
-def product_line(name: Name, brand: Name, stop: tuple[str, ...] = V.LINE_STOP) -> Column:
-    """What is left of a name without brand, noise, sizes and common words: the line it belongs to."""
-    t = F.replace(_text(name), F.when(F.length(column(brand)) > 0, F.lower(column(brand))).otherwise(F.lit("\x00")), F.lit(" "))
-    words = F.split(normalize(F.regexp_replace(t, r"\d+(?:\.\d+)?\s*(?:ml|مل|ملي)?", " ")), " ")
-    return F.array_join(F.filter(words, lambda w: ~w.isin(*stop) & (w != "")), " ")
+def product_line(name: Name, brand: Name, synonyms: dict[str, str] | None = None) -> Column:
+    """What is left of a name without its brand (and the brand's synonyms), prepositions, common words, sizes and symbols: the line
+    it belongs to. Words are taken out one after another, the short ones only where they stand alone, so that the order
+    matters: a vectorised Python function. Give it distinct names."""
+    known: dict[str, list[str]] = {}
+    for word, meant in (synonyms or {}).items():
+        known.setdefault(meant, []).append(word)
+    stop, prepositions = V.LINE_STOP, V.PREPOSITIONS
+    fold = str.maketrans("أإآةىؤئ", "اااهيوي")
+
+    @pandas_udf("string")
+    def run(names: pd.Series, brands: pd.Series, folded: pd.Series) -> pd.Series:
+        out = []
+        for n, b, f in zip(names, brands, folded, strict=True):
+            for x in filter(None, (b, f, *known.get(b, ()), *(known.get(f, ()) if f != b else ()))):
+                n = n.replace(x, " ")
+            out.append(n)
+        t = pd.Series(out, dtype="object")
+        for x in prepositions:
+            t = t.str.replace(rf"\b{x}\b", " ", regex=True)
+        for x in stop:
+            t = t.str.replace(rf"(?:^|\s){x}(?:\s|$)", " ", regex=True) if len(x) <= 3 else t.str.replace(x, " ", regex=False)
+        t = t.str.replace(r"\d+(?:\.\d+)?\s*(?:ml|مل|ملي)?", " ", regex=True)
+        t = t.str.replace(r"[^\w\s\u0600-\u06FF]", " ", regex=True).str.translate(fold)
+        return t.str.replace(r"\s+", " ", regex=True).str.strip()
+
+    b = F.lower(F.coalesce(column(brand).cast("string"), F.lit("")))
+    return run(_text(name), b, normalize(b, synonyms))
+
+
+def category(c: Name) -> Column:
+    """The shop's category of a name: the first whose words it has."""
+    t, kind = _text(c), None
+    for name, words in V.CATEGORIES:
+        kind = F.when(any_of(t, words), name) if kind is None else kind.when(any_of(t, words), name)
+    return kind.otherwise(V.OTHER_CATEGORY)
+
+
+def repaired_brand(c: Name, brands: list[str], least: float = 85.0, tried: int = 12) -> Column:
+    """``known_brand``, and where the name holds none literally, the brand most like one of its first ``tried`` runs of three, two
+    or one words, from ``least`` on. The list is a constant."""
+    known = {b.lower(): b for b in brands}
+
+    @pandas_udf("string")
+    def run(names: pd.Series) -> pd.Series:
+        def one(name: str) -> str:
+            words = name.split()
+            runs = (" ".join(words[i : i + n]) for n in (3, 2, 1) for i in range(len(words) - n + 1))
+            for _, text in zip(range(tried), (x for x in runs if len(x) >= 4), strict=False):
+                score, best = max(((ratio(text, low), low) for low in known), default=(0.0, ""))
+                if score >= least:
+                    return known[best]
+            return ""
+
+        return names.map(one)
+
+    exact = known_brand(c, brands)
+    return F.when(exact != "", exact).otherwise(run(F.when(exact == "", normalize(c)).otherwise("")))

@@ -98,3 +98,10 @@ def product(html: Name, currency: str = "SAR") -> Column:
         F.coalesce(ld["brand"], meta(html, "product:brand")).alias("brand"),
         F.when(known & (price > 0), price).alias("price"),
     )
+
+
+def lenient_json(c: Name) -> Column:
+    """The first JSON object or array in a text, up to the last closing bracket, as a string; null if that is no JSON. Code fences
+    and what stands around it don't matter."""
+    inner = F.regexp_extract(F.coalesce(column(c), F.lit("")), r"(?s)(\{.*\}|\[.*\])", 1)
+    return F.when((inner != "") & F.try_parse_json(inner).isNotNull(), inner)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.pricing import cents
+
 
 def compare_stores(offers: DataFrame, as_of: str, days: int = 7) -> DataFrame:
     """Per store: products, prices, discounted ones and those first seen within ``days`` before ``as_of``."""
@@ -32,6 +34,12 @@ def statistics(offers: DataFrame, exact: bool = True) -> DataFrame:
     )
 
 
+def tenths(total: Column, n: Column) -> Column:
+    """The mean to one decimal, half up, from an exact sum with four decimals: sums of doubles would depend on their order."""
+    whole = (total * 10000).cast("long")
+    return F.when(n > 0, F.floor((2 * whole + 1000 * n) / (2000 * n).cast("decimal(20,0)")).cast("double") / 10)
+
+
 def merge_offers(offers: DataFrame, keys: list[str], stores: int | None = None) -> DataFrame:
     """One row per product: price range over positive prices, the cheapest store's details first, distinct stores.
 
@@ -45,14 +53,14 @@ def merge_offers(offers: DataFrame, keys: list[str], stores: int | None = None)
         F.sum("n").alias("offer_count"),
         F.min("price").alias("min_price"),
         F.max("price").alias("max_price"),
-        F.round(F.avg("price"), 1).alias("avg_price"),
+        tenths(F.sum(F.col("price").cast("decimal(18,4)")), F.count("price")).alias("avg_price"),
         F.array_sort(F.collect_list(detail)).alias("details"),
     )
     some = F.col("details") if stores is None else F.slice("details", 1, stores)
     return merged.withColumns(
         {
             "stores": F.array_join(F.transform("details", lambda d: d["store"]), "، "),
-            "suggested": F.greatest(F.lit(0.0), F.round(F.col("min_price") - 1, 2)),
+            "suggested": F.greatest(F.lit(0.0), cents(F.col("min_price") - 1)),
             "details": some,
         }
     )

@@ -102,3 +102,14 @@ def soft_deleted(df: DataFrame, hidden: DataFrame, name: str, prefix: str = "sof
 def is_product_url(url: Name) -> Column:
     u = F.lower(F.coalesce(column(url), F.lit("")))
     return u.rlike(r"/(p|product|products|item)/|/[a-z]?\d{3,}(/|$)|\.html?$") & ~u.rlike(r"/(blog|category|categories|tag|cart|login|page)/")
+
+
+def push_ready(decisions: DataFrame, least: float) -> DataFrame:
+    """Decisions (product_id, score, action) that may be sent without review: sure, and with something to change."""
+    named = F.coalesce(F.trim(F.col("product_id").cast("string")), F.lit("")) != ""
+    return decisions.where((F.col("score") >= least) & F.col("action").isin("lower", "raise") & named)
+
+
+def stuck(ledger: DataFrame, n: int = 20, order: str = "ingested_at") -> DataFrame:
+    """The first ``n`` entries that are still INGESTED: a report."""
+    return ledger.where("state = 'INGESTED'").orderBy(order).limit(n)

@@ -88,3 +88,10 @@ def ordering(kind: str) -> list[Column]:
         "price_desc": [F.col("price").desc(), F.col("id").asc()],
         "newest": [F.coalesce("first_seen", "added").desc(), F.col("id").desc()],
     }.get(kind, [F.col("id").desc()])
+
+
+def last_prices(sent: DataFrame, order: list[str]) -> DataFrame:
+    """(product_id, new_price): the last price that was sent for each product; blank ids are left out, null prices are 0."""
+    named = sent.where(~F.lower(F.trim("product_id")).isin("", "nan", "none"))
+    last = F.max_by(F.coalesce("new_price", F.lit(0.0)), F.struct(*order))
+    return named.groupBy(F.trim("product_id").alias("product_id")).agg(last.alias("new_price"))

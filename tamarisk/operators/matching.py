@@ -88,37 +88,6 @@ def resolve(offers: DataFrame, ours: DataFrame) -> DataFrame:
     return found.withColumn("_v", verdict).select(*offers.columns, F.coalesce("score", F.lit(0.0)).alias("score"), "our_id", "_v.*")
 
 
-def guarded_score(pairs: DataFrame) -> DataFrame:
-    """The core matcher over pairs of one brand: base score of the names, guards that reject, bonuses and penalties, 0 to 100.
-
-    Columns: name, our_name (normalised); line, our_line; size_ml, our_size; gender_key, our_gender; kind, our_kind
-    (concentration); class, our_class; price, our_price. A rejected pair scores 0.
-    """
-    size, ours = F.col("size_ml"), F.col("our_size")
-    apart = F.abs(size - ours)
-    one_size = (size > 0) != (ours > 0)
-    kinds = (F.col("kind") != "") & (F.col("our_kind") != "") & (F.col("kind") != F.col("our_kind"))
-    reject = one_size | (apart > 2) | kinds | X.genders_clash("gender_key", "our_gender") | (F.col("class") != F.col("our_class"))
-    lines = pairs.withColumns(
-        {"_base": similarity("name", "our_name", "blended"), "_line": similarity("line", "our_line", "token_sort")}
-    )
-    no_line = (F.col("line") == "") | (F.col("our_line") == "")
-    times = F.greatest("price", "our_price") / F.least("price", "our_price")
-    far = (F.col("our_price") > 50) & (F.col("price") > 0) & (times > 4)
-    one_gender = (F.col("gender_key") != "") != (F.col("our_gender") != "")
-    total = (
-        F.col("_base")
-        + 10
-        - F.when(no_line, 20).when(F.col("_line") < 75, 35).when(F.col("_line") < 88, 15).otherwise(0)
-        + F.when((size > 0) & (ours > 0), F.when(apart == 0, 10).otherwise(-5)).otherwise(0)
-        - F.when(far, 45).otherwise(0)
-        - F.when(one_gender, 15).otherwise(0)
-    )
-    reject |= ~no_line & (F.col("_line") < 60)
-    score = F.when(reject, 0.0).otherwise(F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), total)), 1))
-    return lines.withColumn("score", score).drop("_base", "_line")
-
-
 def waterfall(offers: DataFrame, ours: DataFrame, layers: dict[str, tuple[str, str]]) -> DataFrame:
     """Match by one key after another: {layer: (offer column, catalogue column)}. Blank keys match nothing; an offer takes the first
     layer that finds it, with the lowest our_id; the rest has null in our_id and layer. Each layer sees only what is left."""
@@ -186,3 +155,29 @@ def adjudicate(pairs: DataFrame, judge=None, least: float = 82.0) -> DataFrame:
 
     asked = pairs.select("a", "b").distinct().withColumn("_said", ask("a", "b"))
     return pairs.join(asked, ["a", "b"]).withColumn("verdict", F.coalesce("_said", by_score)).drop("_said")
+
+
+def resolve_ids(df: DataFrame, given: str, name: str, dictionary: DataFrame) -> DataFrame:
+    """Add resolved_id: the number in ``given`` unless 0, else the dictionary's id (key, id) of the name, case and spaces ignored, else
+    null."""
+    number = F.col(given).try_cast("double").cast("long")
+    known = dictionary.groupBy(key_text("key").alias("_k")).agg(F.min("id").cast("long").alias("_id"))
+    rows = df.join(known, key_text(name) == F.col("_k"), "left")
+    return rows.withColumn("resolved_id", F.coalesce(F.when(number != 0, number), "_id")).drop("_k", "_id")
+
+
+def reverse_match(offers: DataFrame, ours: DataFrame, least: float = 62.0) -> DataFrame:
+    """Each offer with the catalogue row whose name is most similar by the weighted ratio, from ``least`` on; offers of a stream's
+    batch against the static catalogue. ``offers`` and ``ours`` are ``featured``."""
+    return best_match(offers, ours, "weighted", least)
+
+
+def reanalysed(products: DataFrame, ours: DataFrame, certain: float = 85.0, maybe: float = 70.0) -> DataFrame:
+    """``products`` (offer_id, name, old_decision, features) with score, our_id, decision (match, review, missing; invalid without a
+    name) and whether it changed."""
+    found = best_match(products, ours)
+    s = F.coalesce("score", F.lit(0.0))
+    decision = F.when(F.trim(F.coalesce("name", F.lit(""))) == "", "invalid").when(s >= certain, "match").when(s >= maybe, "review").otherwise("missing")
+    return found.withColumn("decision", decision).withColumn("changed", ~F.col("decision").eqNullSafe(F.col("old_decision"))).select(
+        *products.columns, s.alias("score"), "our_id", "decision", "changed"
+    )

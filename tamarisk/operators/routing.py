@@ -40,6 +40,13 @@ def balance(df: DataFrame, decision: str = "decision") -> DataFrame:
     return out.withColumn("gap", F.col("n_in") - F.col("n_out"))
 
 
+def balanced(df: DataFrame, decision: str = "decision") -> DataFrame:
+    """``df`` as it is; a row with several sections fails the job that reads it, so that nothing has to be counted before."""
+    found = matched_sections(decision)
+    fails = F.raise_error(F.concat(F.lit("DataLossError: one row in several sections: "), F.col(decision)))
+    return df.where(F.when(F.size(found) == 1, True).otherwise(fails.cast("boolean")))
+
+
 def assert_balanced(df: DataFrame, decision: str = "decision") -> DataFrame:
     """``df`` as it is, or DataLossError."""
     row = balance(df, decision).first()
@@ -77,3 +84,9 @@ def ledger_state(status: Name, source: Name) -> Column:
     return (
         F.when(priced & by_model, "MATCHED_AI").when(priced, "MATCHED_AUTO").when(review, "REVIEW").otherwise("REJECTED_LOW_CONFIDENCE")
     )
+
+
+def merged_audit(stats: Column, report: Column) -> Column:
+    """An audit map with a reconciliation's counters (map of names to numbers) put in; counters of both are the report's."""
+    kept = F.map_filter(F.coalesce(stats, F.create_map().cast("map<string,long>")), lambda k, _: ~F.array_contains(F.map_keys(report), k))
+    return F.map_concat(kept, report)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import features as X
 from ..functions.pricing import decision, risk, undercut
-from ..operators import aggregates, filters, matching, routing
+from ..operators import aggregates, brand_matching, filters, matching, routing
 
 
 def priced(catalogue: DataFrame, offers: DataFrame) -> DataFrame:
@@ -27,10 +27,21 @@ def priced(catalogue: DataFrame, offers: DataFrame) -> DataFrame:
     )
 
 
+def matched_pricing(ours: DataFrame, theirs: DataFrame, n: int = 3, auto: float = 85.0) -> DataFrame:
+    """Each catalogue row matched by name (``brand_matching.matched``) with the decision on its price and its section: decisions count for
+    matched rows, the others are reviewed or excluded. Both sides are ``brand_matching.indexed``."""
+    rows = brand_matching.matched(ours, theirs, n, auto).withColumn("d", decision("our_price", "comp_price"))
+    section = F.when(F.col("route") != "matched", F.col("route")).otherwise(
+        F.when(F.col("d.action") == "raise", "price_raise").when(F.col("d.action") == "lower", "price_lower").when(F.col("d.action") == "approve", "approved").otherwise("review")
+    )
+    percent = F.when(F.col("comp_price") > 0, F.round(F.col("d.diff_ours_minus_comp") / F.col("comp_price") * 100, 2)).otherwise(0.0)
+    columns = [c for c in rows.columns if c != "d"]
+    return rows.select(*columns, "d.decision", "d.diff_ours_minus_comp", section.alias("section"), percent.alias("diff_pct"), risk(percent, "score").alias("risk"))
+
+
 def pricing_analysis(catalogue: DataFrame, offers: DataFrame) -> DataFrame:
-    """Priced rows routed to sections; a row that would be lost or counted twice raises DataLossError."""
-    rows = priced(catalogue, offers)
-    return routing.route(routing.assert_balanced(rows))
+    """Priced rows routed to sections; a row that would be lost or counted twice fails the job, in the same pass."""
+    return routing.route(routing.balanced(priced(catalogue, offers)))
 
 
 def missing_analysis(catalogue: DataFrame, offers: DataFrame) -> DataFrame:

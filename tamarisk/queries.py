@@ -17,6 +17,7 @@ from .functions import text as T
 from .functions.html import product, tag_text
 from .functions.similarity import jaccard, similarity
 from .operators import aggregates as A
+from .operators import brand_matching as B
 from .operators import export as E
 from .operators import filters as Fl
 from .operators import history as H
@@ -153,8 +154,8 @@ def offer_statistics(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"""WITH {OFFERS}, e AS (SELECT product_id, store, min(price) FILTER (price > 0) AS price, count(*) AS n FROM offers GROUP BY 1, 2)
     SELECT product_id, count(*) AS store_count, sum(n)::BIGINT AS offer_count, min(price) AS min_price, max(price) AS max_price,
-    round(avg(price), 1) AS avg_price, string_agg(store, '، ' ORDER BY price, store) AS stores,
-    greatest(0.0, round(min(price) - 1, 2)) AS suggested FROM e GROUP BY 1"""
+    ((2 * CAST(sum(price::DECIMAL(18, 4)) * 10000 AS HUGEINT) + 1000 * count(price)) // (2000 * count(price)))::DOUBLE / 10 AS avg_price, string_agg(store, '، ' ORDER BY price, store) AS stores,
+    greatest(0.0, round((min(price) - 1)::DECIMAL(18, 4), 2)::DOUBLE) AS suggested FROM e GROUP BY 1"""
 )
 def merged_offers(spark: SparkSession, d: str) -> DataFrame:
     return A.merge_offers(offers(spark, d), ["product_id"]).drop("details")
@@ -409,37 +410,129 @@ def audit_overlap(spark: SparkSession, d: str) -> DataFrame:
     """WITH ours AS (SELECT min(p_partkey) AS our_id, p_name, p_brand FROM part WHERE p_partkey % 2 = 0 GROUP BY 2, 3)
     SELECT p.p_partkey AS offer_id, CASE WHEN p.p_partkey % 10 = 1 THEN p.p_partkey - 1 ELSE o.our_id END AS our_id,
     CASE WHEN p.p_partkey % 10 = 1 THEN 'sku' WHEN o.our_id IS NOT NULL THEN 'name' END AS layer FROM part p
-    LEFT JOIN ours o ON o.p_name = p.p_name AND o.p_brand = p.p_brand WHERE p.p_partkey % 2 = 1 AND p.p_partkey > 1"""
+    LEFT JOIN ours o ON o.p_name = p.p_name AND o.p_brand = p.p_brand WHERE p.p_partkey % 2 = 1"""
 )
 def match_waterfall(spark: SparkSession, d: str) -> DataFrame:
     c = catalogue(spark, d).withColumn("name_key", T.key_text(F.concat_ws(" ", "brand", "name")))
     ours = c.where("our_id % 2 = 0").withColumn("sku_key", F.col("our_id").cast("string"))
     sku = F.when(F.col("our_id") % 10 == 1, (F.col("our_id") - 1).cast("string"))
-    theirs = c.where("our_id % 2 = 1 and our_id > 1").select(F.col("our_id").alias("offer_id"), sku.alias("sku_key"), "name_key")
+    theirs = c.where("our_id % 2 = 1").select(F.col("our_id").alias("offer_id"), sku.alias("sku_key"), "name_key")
     return M.waterfall(theirs, ours, {"sku": ("sku_key", "sku_key"), "name": ("name_key", "name_key")}).select("offer_id", "our_id", "layer")
 
 
-@query()
+#: Store offers with the sold quantity as their size, against the catalogue with its own sizes.
+LABELLED = """ours AS (SELECT p_name, p_brand, min(p_partkey) AS our_id FROM part GROUP BY 1, 2), labelled AS (
+  SELECT l_orderkey * 10 + l_linenumber AS offer_id, l_partkey, CAST(l_quantity AS BIGINT) AS ml, s_name AS store, o.our_id, m.p_size, p.p_brand AS brand,
+  l_extendedprice / l_quantity AS price, p.p_name AS name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
+  JOIN part p ON p.p_partkey = l_partkey JOIN ours o ON o.p_name = p.p_name AND o.p_brand = p.p_brand JOIN part m ON m.p_partkey = o.our_id)"""
+
+
+def _labelled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The catalogue and every store offer, names with their sizes."""
+    lines, parts = table(spark, d, "lineitem"), table(spark, d, "part")
+    stores = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("store"))
+    sized = lambda name, size: F.concat_ws(" ", name, F.concat(F.col(size).cast("long").cast("string"), F.lit("ml"))).alias("name")
+    names = parts.select(F.col("p_partkey").alias("l_partkey"), "p_name", F.col("p_brand").alias("brand"))
+    theirs = lines.join(stores, "l_suppkey").join(names, "l_partkey").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("offer_id"),
+        sized("p_name", "l_quantity"),
+        "brand",
+        "store",
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
+    )
+    ours = parts.select(F.col("p_partkey").alias("our_id"), sized("p_name", "p_size"), F.col("p_brand").alias("brand"), F.col("p_retailprice").alias("price"))
+    return ours, theirs
+
+
+@query(
+    f"""WITH {LABELLED} SELECT offer_id, 100.0 AS score, our_id, CASE WHEN abs(ml - p_size) <= 8 THEN 'owned' ELSE 'review' END AS ownership,
+    CASE WHEN abs(ml - p_size) <= 8 THEN '' ELSE 'size' END AS reason FROM labelled"""
+)
 def resolved_offers(spark: SparkSession, d: str) -> DataFrame:
-    c = catalogue(spark, d)
-    ours = M.featured(c.where("our_id % 2 = 0"), "name", brand="brand")
-    theirs = M.featured(c.where("our_id % 2 = 1").select(F.col("our_id").alias("offer_id"), "name", "brand"), "name", brand="brand")
-    return M.resolve(theirs, ours).select("offer_id", "score", "our_id", "ownership", "reason")
+    ours, theirs = _labelled(spark, d)
+    found = M.resolve(M.featured(theirs, "name", brand="brand"), M.featured(ours, "name", brand="brand"))
+    return found.select("offer_id", "score", "our_id", "ownership", "reason")
 
 
-@query()
+@query(
+    f"""WITH {LABELLED}, k AS (SELECT lower(trim(p_name)) || ' ' || p_size || 'ml' AS key, min(p_partkey) AS id FROM part GROUP BY 1), names AS (
+    SELECT p_name, min(p_partkey) AS id FROM part GROUP BY 1), r AS (SELECT offer_id, k.id AS named, n.id AS other, ml, m.p_size FROM labelled l
+    LEFT JOIN k ON k.key = lower(trim(l.name)) || ' ' || ml || 'ml' JOIN names n ON n.p_name = l.name JOIN part m ON m.p_partkey = n.id)
+    SELECT offer_id, coalesce(named, other) AS our_id, 100.0 AS score, CASE WHEN named IS NOT NULL OR abs(ml - p_size) <= 2 THEN 'matched' ELSE 'review' END AS status,
+    CASE WHEN named IS NOT NULL THEN 'name' ELSE 'fuzzy' END AS layer FROM r"""
+)
 def closed_loop(spark: SparkSession, d: str) -> DataFrame:
-    c = M.keyed(catalogue(spark, d).withColumns({"sku": F.col("our_id").cast("string"), "url": F.lit("")}), "sku", "url", "name")
-    theirs = c.where("our_id % 2 = 1").withColumn("sku_key", F.lit("")).withColumn("name_key", F.concat("name_key", F.lit(" new")))
-    return analysis.closed_loop(c.where("our_id % 2 = 0"), theirs.withColumnRenamed("our_id", "offer_id"))
+    ours, theirs = (M.keyed(x.withColumns({"sku": F.lit(""), "url": F.lit("")}), "sku", "url", "name") for x in _labelled(spark, d))
+    return analysis.closed_loop(ours, theirs)
 
 
-@query()
+@query(
+    f"""WITH {LABELLED}, t AS (SELECT CASE WHEN price > 0 AND (price < 20 OR price > 15000) THEN 'price' WHEN length(name || ' ' || ml || 'ml') < 8 THEN 'short'
+    WHEN ml = 0 THEN 'nosize' WHEN ml < 10 THEN 'mini' WHEN abs(ml - p_size) <= 8 THEN 'owned' ELSE 'review' END AS outcome FROM labelled)
+    SELECT outcome, count(*) AS n FROM t GROUP BY 1"""
+)
 def missing_accounting(spark: SparkSession, d: str) -> DataFrame:
-    c = catalogue(spark, d)
-    sized = F.concat_ws(" ", "name", F.concat(F.col("size").cast("string"), F.lit("ml"))).alias("name")
-    theirs = c.select(F.col("our_id").alias("offer_id"), sized, "brand", F.col("our_price").alias("price"), F.lit("s").alias("store"))
-    return analysis.accounting(c.where("our_id % 2 = 0"), theirs)
+    return analysis.accounting(*_labelled(spark, d))
+
+
+@query(
+    f"""WITH {LABELLED}, t AS (SELECT * FROM labelled WHERE NOT (price > 0 AND (price < 20 OR price > 15000)) AND length(name || ' ' || ml || 'ml') >= 8
+    AND ml >= 10 AND abs(ml - p_size) > 8), e AS (SELECT lower(brand) AS brand_key, name AS bare, store, min(price) AS price, count(*) AS n FROM t GROUP BY ALL)
+    SELECT brand_key, bare, 'review' AS confidence, count(*) AS store_count, sum(n)::BIGINT AS offer_count, min(price) AS min_price, max(price) AS max_price FROM e GROUP BY 1, 2"""
+)
+def missing_products(spark: SparkSession, d: str) -> DataFrame:
+    found = analysis.missing_analysis(*_labelled(spark, d))
+    return found.select("brand_key", "bare", "confidence", "store_count", "offer_count", "min_price", "max_price")
+
+
+def _indexed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return tuple(B.indexed(x) for x in _labelled(spark, d))
+
+
+@query()
+def matched_pricing(spark: SparkSession, d: str) -> DataFrame:
+    """The core matcher over the whole catalogue and all offers, with the decision on each price."""
+    return analysis.matched_pricing(*_indexed(spark, d)).drop("offers")
+
+
+@query()
+def challenged_offers(spark: SparkSession, d: str) -> DataFrame:
+    return B.challenged(*_indexed(spark, d))
+
+
+@query("SELECT p_partkey AS our_id, CASE WHEN p_type = 'x' THEN '' ELSE '🌸 عطور' END AS category FROM part")
+def shop_categories(spark: SparkSession, d: str) -> DataFrame:
+    label = F.concat_ws(" ", "kind", F.lit("Body Mist 100ml"))
+    return catalogue(spark, d).select("our_id", X.category(label).alias("category"))
+
+
+@query(
+    """WITH d AS (SELECT event_id, user_id, value, CASE WHEN event_type = 'click' THEN 'lower' WHEN event_type = 'purchase' THEN 'raise' ELSE 'keep' END AS action FROM events)
+    SELECT event_id FROM d WHERE value >= 92 AND action IN ('lower', 'raise') AND user_id IS NOT NULL AND CAST(user_id AS VARCHAR) <> ''"""
+)
+def pushed_decisions(spark: SparkSession, d: str) -> DataFrame:
+    action = F.when(F.col("status") == "click", "lower").when(F.col("status") == "purchase", "raise").otherwise("keep")
+    rows = events(spark, d).select("event_id", F.col("user_id").cast("string").alias("product_id"), F.col("value").alias("score"), action.alias("action"))
+    return Fl.push_ready(rows, 92.0).select("event_id")
+
+
+@query(
+    """SELECT CAST(user_id AS VARCHAR) AS product_id, arg_max(value, struct_pack(t := ts, e := event_id)) AS new_price FROM events GROUP BY 1"""
+)
+def last_sent_prices(spark: SparkSession, d: str) -> DataFrame:
+    rows = events(spark, d).select(F.col("user_id").cast("string").alias("product_id"), F.col("value").alias("new_price"), "ts", "event_id")
+    return H.last_prices(rows, ["ts", "event_id"])
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_type = 'view' THEN 7 ELSE n_nationkey END AS resolved_id FROM events LEFT JOIN nation ON n_nationkey = user_id % 30"""
+)
+def resolved_ids(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation").select(F.col("n_name").alias("key"), F.col("n_nationkey").alias("id"))
+    names = table(spark, d, "nation").select("n_nationkey", "n_name")
+    rows = events(spark, d).join(F.broadcast(names), F.col("user_id") % 30 == F.col("n_nationkey"), "left")
+    rows = rows.withColumn("given", F.when(F.col("status") == "view", "7.0"))
+    return M.resolve_ids(rows, "given", "n_name", n).select("event_id", "resolved_id")
 
 
 @query(

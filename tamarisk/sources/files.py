@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.pricing import price_or_null, price_or_zero
 
@@ -17,23 +20,58 @@ ROLES = {
     "url": ("رابط", "url", "product_url", "link"),
 }
 META_ROW = "بيانات المنتج"
+ARABIC_PAGE = "windows-1256"
 
 
 def _filled(names: list[str]) -> Column:
     return F.coalesce(*(F.col(f"`{n}`") for n in names)).isNotNull()
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", header: bool = True) -> DataFrame:
-    """All columns as text, rows of nothing but nulls dropped, malformed lines skipped. Export files that start with a meta line
-    are read with the second line as header."""
-    lines = spark.read.option("encoding", encoding).text(path)
-    first = lines.limit(1).first()
-    if first is not None and first[0].lstrip("﻿").startswith(META_ROW):
-        raw = spark.read.csv(path, header=False, encoding=encoding, mode="DROPMALFORMED")
-        names = [c.strip() if c else f"_c{i}" for i, c in enumerate(raw.where(F.trim("_c0") != META_ROW).limit(1).first())]
-        return raw.toDF(*names).where(~F.col(f"`{names[0]}`").isin(META_ROW, names[0])).where(_filled(names))
-    raw = spark.read.csv(path, header=header, encoding=encoding, mode="DROPMALFORMED")
-    return raw.where(_filled(raw.columns))
+def encoding_of(spark: SparkSession, path: str, lines: int = 200) -> str:
+    """UTF-8 if the first lines of a file are valid, else the Arabic code page, which reads any bytes."""
+    head = spark.read.text(path).limit(lines)
+    return "UTF-8" if head.where(~F.is_valid_utf8("value")).isEmpty() else ARABIC_PAGE
+
+
+def read_csv(spark: SparkSession, path: str, encoding: str | None = "UTF-8", header: bool = True, bad: str | None = None) -> DataFrame:
+    """All columns as text; rows of nothing but nulls are dropped, no others. Lines with too many or too few cells keep those that
+    have a column; ``bad`` names a column for the whole text of such lines, so that they can be counted. Export files that
+    start with a meta line are read with the second line as header. Without an encoding, it is found out."""
+    page = (encoding or encoding_of(spark, path)) == ARABIC_PAGE
+    encoding = "ISO-8859-1" if page else encoding or "UTF-8"
+    recode = (lambda x: x and x.encode("latin-1").decode(ARABIC_PAGE)) if page else (lambda x: x)
+    options = {"path": path, "encoding": encoding}
+    top = spark.read.csv(**options, header=False, schema="c string").limit(1).first()
+    meta = top is not None and (recode(top[0]) or "").lstrip("\ufeff").startswith(META_ROW)
+    if meta:
+        head = spark.read.csv(**options, header=False, enforceSchema=True).limit(2).collect()[-1]
+        names = [recode(c).strip() if c else f"_c{i}" for i, c in enumerate(head)]
+    else:
+        names = [recode(c) for c in spark.read.csv(**options, header=header).columns]
+    line = bad or "_line"
+    schema = StructType([StructField(n, StringType()) for n in [*names, line]])
+    rows = spark.read.csv(**options, schema=schema, header=header and not meta, mode="PERMISSIVE", columnNameOfCorruptRecord=line)
+    if page:
+        # Its upper half, read as Latin-1, one character for each byte.
+        high = bytes(range(128, 256))
+        table = (high.decode("latin-1"), high.decode(ARABIC_PAGE))
+        rows = rows.select(*(F.translate(f"`{n}`", *table).alias(n) for n in [*names, line]))
+    if meta:
+        rows = rows.where(~F.coalesce(F.trim(f"`{names[0]}`"), F.lit("")).isin(META_ROW, names[0]))
+    rows = rows.where(_filled(names))
+    return rows if bad else rows.select(*(F.col(f"`{n}`") for n in names))
+
+
+def promoted(df: DataFrame, least: int = 2) -> DataFrame:
+    """``df`` with its first row as header, if that holds the header names of ``least`` roles or more and its own header doesn't."""
+    row = df.limit(1).first()
+    known = {n.lower() for names in ROLES.values() for n in names}
+    count = lambda names: sum((x or "").strip().lower() in known for x in names)
+    if row is None or count(row) < least or count(df.columns) >= least:
+        return df
+    names = [(x or "").strip() or c for x, c in zip(row, df.columns, strict=True)]
+    same = reduce(lambda a, b: a & b, (F.col(f"`{c}`").eqNullSafe(F.lit(x)) for c, x in zip(df.columns, row, strict=True)))
+    return df.where(~same).toDF(*names)
 
 
 def column_for(columns: list[str], role: str) -> str | None:

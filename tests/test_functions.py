@@ -26,7 +26,7 @@ def test_sizes_genders_and_classes(spark):
     assert values(spark, names, X.product_class) == want
     assert values(spark, ["x eau de parfum intense", "cologne", "x"], X.concentration) == ["EDP+INT", "EDC", ""]
     assert values(spark, ["dior sauvage 100ml", "x"], lambda c: X.known_brand(c, ["Chanel", "Dior"])) == ["Dior", ""]
-    assert values(spark, ["212 vip 100ml 9"], X.product_numbers) == [["212"]]
+    assert values(spark, ["212 vip 100ml 9", "no 5 x", "x 75"], X.product_numbers) == [["212", "9"], ["5"], []]
 
 
 def test_normalising(spark):

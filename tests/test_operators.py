@@ -77,14 +77,6 @@ def test_matching_keeps_every_offer(spark):
     ]
 
 
-def test_guards_reject(spark):
-    base = ("sauvage", "sauvage", "sauvage", "sauvage", 100.0, 100.0, "", "", "EDP", "EDP", "retail", "retail", 90.0, 95.0)
-    names = "name our_name line our_line size_ml our_size gender_key our_gender kind our_kind class our_class price our_price".split()
-    other = (*base[:8], "EDT", *base[9:])
-    df = spark.createDataFrame([base, other, (*base[:4], 50.0, *base[5:])], names)
-    assert [r.score for r in matching.guarded_score(df).select("score").collect()] == [100.0, 0.0, 0.0]
-
-
 def test_payloads_and_posting(spark):
     rows_ = [("100.0", "oud", 120.0, 99.0, "s"), ("0", "x", 1.0, 1.0, "s"), ("5", "", 1.0, 1.0, "s"), ("6", "rose", 10.0, 0.0, "")]
     df = spark.createDataFrame(rows_, "product_id string, name string, our_price double, comp_price double, store string")
@@ -101,6 +93,15 @@ def test_files(spark, tmp_path):
     (tmp_path / "meta.csv").write_text("بيانات المنتج,,\nNo.,أسم المنتج,سعر المنتج\n1,oud,12.5\n2,,3\n3,rose,x\n", encoding="utf-8")
     got = files.load_catalogue(files.read_csv(spark, str(tmp_path / "meta.csv")))
     assert rows(got.select("product_id", "name", "price"), "product_id") == [("1", "oud", 12.5), ("3", "rose", 0.0)]
+    # Lines that are too long or short, and blank first cells, are rows like others.
+    (tmp_path / "odd.csv").write_text("بيانات المنتج,,\nNo.,أسم المنتج,سعر المنتج\n4,d,8,9,10\n,b,6\n7\n", encoding="utf-8")
+    odd = files.read_csv(spark, str(tmp_path / "odd.csv"), bad="line")
+    assert sorted(((r["No."], r["أسم المنتج"], r["line"] is not None) for r in odd.collect()), key=str) == [("4", "d", True), ("7", None, True), (None, "b", False)]
+    (tmp_path / "old.csv").write_bytes("المنتج,السعر\nعطر,5\n".encode("windows-1256"))
+    assert files.encoding_of(spark, str(tmp_path / "old.csv")) == "windows-1256" and files.encoding_of(spark, str(tmp_path / "odd.csv")) == "UTF-8"
+    assert files.read_csv(spark, str(tmp_path / "old.csv"), encoding=None).first()["المنتج"] == "عطر"
+    (tmp_path / "twice.csv").write_text("a,b\nproduct_name,price\noud,5\n", encoding="utf-8")
+    assert rows(files.promoted(files.read_csv(spark, str(tmp_path / "twice.csv"))).select("product_name", "price"), "price") == [("oud", "5")]
     (tmp_path / "shop.csv").write_text('name,price,link\noud,"1,200",https://x.com/p/1\n', encoding="utf-8")
     raw = files.read_csv(spark, str(tmp_path / "shop.csv"))
     assert rows(files.load_competitor(raw).select("store", "name", "price"), "name") == [("shop", "oud", 1200.0)]
@@ -138,13 +139,122 @@ def test_projections(spark):
 
 
 def test_lines_and_variants(spark):
-    from tamarisk.functions import features, vocabulary
+    from tamarisk.functions import features
 
     df = spark.createDataFrame([("Dior Sauvage Elixir 100ml for men", "Dior", "dior sauvage")], "a string, brand string, b string")
-    row = df.select(features.product_line("a", "brand").alias("line"), features.variants_differ("a", "b", vocabulary.VARIANTS).alias("apart")).first()
+    variants = {"elixir": ("elixir", "اكسير"), "sport": ("sport",)}
+    row = df.select(features.product_line("a", "brand").alias("line"), features.variants_differ("a", "b", variants).alias("apart")).first()
     assert row.line == "sauvage elixir" and row.apart
 
 
+def test_features_of_names(spark):
+    from tamarisk.functions import features as X
+
+    cases = [
+        ("Carolina Herrera 212 VIP number two 100ml", "212,2"), ("no 5 l'eau", "5"), ("Bleu 50ml", ""), ("p19x 75", "19"), (None, ""), ("رقم 9 عطر", "9"),
+    ]
+    df = spark.createDataFrame(cases, "name string, want string")
+    for r in df.select("want", X.product_numbers("name").alias("n")).collect():
+        assert set(r.n) == set(filter(None, r.want.split(","))), r
+    kinds = spark.createDataFrame([("استشوار شعر", "other"), ("عطر ديور تستر", "tester"), ("hand cream", "other"), ("oud 50ml", "retail"), ("بخاخ شعر", "hair_mist")], "name string, want string")
+    assert all(r.want == r.c for r in kinds.select("want", X.product_class("name").alias("c")).collect())
+    shop = spark.createDataFrame([("Lipstick red", "💄 تجميل"), ("عود ملكي", "🌸 عطور"), ("شامبو", "🧴 عناية"), ("box", "📦 أخرى"), (None, "📦 أخرى")], "name string, want string")
+    assert all(r.want == r.c for r in shop.select("want", X.category("name").alias("c")).collect())
+    brands = spark.createDataFrame([("diorr sauvage 100ml", "Dior"), ("eau by Creed", "Creed"), ("xx yy", ""), ("", "")], "name string, want string")
+    assert all(r.want == r.b for r in brands.select("want", X.repaired_brand("name", ["Dior", "Creed"]).alias("b")).collect())
+
+
+def _plain_match(o, t):
+    """One pair by the rules, without Spark: None if refused, else the score."""
+    from tamarisk.functions import similarity as S
+
+    if o["brand_key"] != t["brand_key"] or o["variant_key"] != t["variant_key"] or o["in_set"] != t["in_set"] or t["sample"]:
+        return None
+    if (o["size_ml"] > 0) != (t["size_ml"] > 0) or abs(o["size_ml"] - t["size_ml"]) > 2:
+        return None
+    if any(o[c] and t[c] and o[c] != t[c] for c in ("kind", "gender_key")) or o["numbers"] and t["numbers"] and o["numbers"] != t["numbers"]:
+        return None
+    if S.token_set(o["agg"], t["agg"]) < 45 or set(o["required"]) - set(t["required"]):
+        return None
+    base = S.blended(o["agg"], t["agg"]) + 10
+    if o["line"] and t["line"]:
+        line, n, m = S.token_sort(o["line"], t["line"]), len(o["line"].split()), len(t["line"].split())
+        if line < 60 or line < 70 and min(n, m) < 0.5 * max(n, m):
+            return None
+        base -= 35 if line < 75 else 15 if line < 88 else 0
+    else:
+        base -= 20
+    if o["size_ml"] > 0:
+        base += 10 if o["size_ml"] == t["size_ml"] else -5
+    if o["amount"] > 50 and t["amount"] > 0 and max(o["amount"] / t["amount"], t["amount"] / o["amount"]) > 4:
+        base -= 45
+    base -= 15 if o["gender_key"] != t["gender_key"] else 0
+    score = round(max(0.0, min(100.0, base)), 1)
+    return score if score >= 60 else None
+
+
+def test_brand_matching_is_that_of_brute_force(spark):
+    import random
+
+    from tamarisk.operators import brand_matching as B
+    from tamarisk.plans import analysis
+
+    rnd = random.Random(3)
+    lines, kinds, genders = ["sauvage", "hero", "london", "bloom night", "oud wood", "noir"], ["edp", "edt", "", "elixir"], ["for men", "for women", ""]
+    name = lambda: " ".join(filter(None, (rnd.choice(lines), rnd.choice(["sport", "", "", "intense"]), rnd.choice(kinds), rnd.choice(["50ml", "100ml", "101ml", ""]), rnd.choice(genders))))
+    ours = [(i, name(), rnd.choice(["Dior", "Gucci", ""]), rnd.choice([60.0, 300.0])) for i in range(60)]
+    theirs = [(i, name(), rnd.choice(["Dior", "Gucci", ""]), rnd.choice(["a", "b"]), rnd.choice([50.0, 70.0, 0.0, 290.0])) for i in range(600)]
+    variants = [("sport", "سبورت"), ("night",)]
+    x = B.indexed(spark.createDataFrame(ours, "our_id int, name string, brand string, price double"), variants=variants)
+    y = B.indexed(spark.createDataFrame(theirs, "offer_id int, name string, brand string, store string, price double"), variants=variants)
+    got = {r.our_id: r for r in B.matched(x, y).collect()}
+    assert len(got) == len(ours)
+    left, right = x.collect(), y.collect()
+    some = 0
+    for o in left:
+        scores = [s for t in right if t.brand_key and (s := _plain_match(o.asDict(), t.asDict())) is not None and _same_class(o, t)]
+        row = got[o.our_id]
+        if row.reason is None:
+            assert row.score == pytest.approx(max(scores, default=0.0), abs=0.11), (o.name, row.score, max(scores, default=0.0))
+            some += bool(scores)
+    assert some > 10
+    priced = analysis.matched_pricing(x, y).toPandas()
+    assert sorted(priced.our_id) == list(range(60)) and set(priced.section) <= {"price_raise", "price_lower", "approved", "review", "excluded"}
+    challenged = B.challenged(x, y).toPandas()
+    assert sorted(challenged.offer_id) == list(range(600)) and set(challenged.verdict) <= {"confirmed", "review", "none"}
+
+
+def _same_class(o, t):
+    from tamarisk.functions import vocabulary as V
+
+    if o["class"] != t["class"] and (o["class"] in V.NOT_PERFUME or t["class"] in V.NOT_PERFUME or (o["class"] == "tester") != (t["class"] == "tester")):
+        return False
+    return not (t.care and o["class"] in ("retail", "tester"))
+
+
+def test_reanalysis_and_reverse_match(spark):
+    ours = matching.featured(spark.createDataFrame([(1, "Dior Sauvage 100ml", "Dior"), (2, "Creed Aventus 50ml", "Creed")], "our_id int, name string, brand string"), "name", brand="brand")
+    rows_ = [(1, "dior sauvage 100ml", "match"), (2, "creed avantus", "match"), (3, "", "missing"), (4, "nothing alike", "missing")]
+    new = matching.featured(spark.createDataFrame(rows_, "offer_id int, name string, old_decision string"), "name")
+    got = {r.offer_id: (r.decision, r.changed) for r in matching.reanalysed(new, ours).collect()}
+    assert got[1] == ("match", False) and got[3] == ("invalid", True) and got[4] == ("missing", False)
+    back = {r.offer_id: r.our_id for r in matching.reverse_match(new, ours).collect()}
+    assert back[1] == 1 and back[4] is None
+
+
+def test_audits_json_and_gates(spark):
+    from tamarisk.functions.html import lenient_json
+    from tamarisk.operators import routing
+
+    df = spark.createDataFrame([({"a": 1, "b": 2}, {"b": 5, "c": 7})], "s map<string,long>, r map<string,long>")
+    assert df.select(routing.merged_audit(F.col("s"), F.col("r")).alias("m")).first().m == {"a": 1, "b": 5, "c": 7}
+    texts = ['```json\n{"a": 1}\n```', 'so: [1, 2] ok', "none", None, '{"x": {"y": 1}} tail']
+    got = [r.j for r in spark.createDataFrame([(x,) for x in texts], "t string").select(lenient_json("t").alias("j")).collect()]
+    assert got == ['{"a": 1}', "[1, 2]", None, None, '{"x": {"y": 1}}']
+    log = spark.createDataFrame([(i, "INGESTED" if i % 2 else "MATCHED", i) for i in range(60)], "id int, state string, ingested_at int")
+    assert [r.id for r in filters.stuck(log).collect()] == list(range(1, 41, 2))
+
+
 def test_doubtful_pairs(spark):
     df = spark.createDataFrame([("a", "b", 90.0), ("c", "d", 90.0), ("e", "f", 10.0)], "a string, b string, score double")
     said = lambda x, y: {"a": False, "e": True}.get(x)

@@ -36,12 +36,12 @@ def test_same_as_sql(spark, sf, duck, name):
 
 
 def test_every_offer_has_one_outcome(spark, sf):
-    assert sum(r.n for r in own.queries()["missing_accounting"](spark, sf).collect()) == 200
-    found = own.queries()["resolved_offers"](spark, sf).toPandas()
-    assert len(found) == found.offer_id.nunique() == 100
-    assert set(found.ownership) <= {"owned", "review", "missing"}
-    loop = own.queries()["closed_loop"](spark, sf).toPandas()
-    assert len(loop) == loop.offer_id.nunique() == 100
+    n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert sum(r.n for r in own.queries()["missing_accounting"](spark, sf).collect()) == n
+    assert own.queries()["resolved_offers"](spark, sf).count() == own.queries()["closed_loop"](spark, sf).count() == n
+    assert own.queries()["challenged_offers"](spark, sf).count() == n
+    priced = own.queries()["matched_pricing"](spark, sf).toPandas()
+    assert len(priced) == priced.our_id.nunique() == 200 and (priced.route == "matched").any()
 
 
 def test_entry_runs(spark):
