@@ -57,23 +57,42 @@ def hilbert_cell(dims: list[Column], bits: int = BITS) -> Column:
     return F.element_at(F.split(F.lit(",".join(map(str, order))), ",").cast("array<int>"), code + 1)
 
 
-def describe(docs: DataFrame, bits: int = BITS) -> DataFrame:
+def _ordinal(name: str, shared: int) -> Column:
+    """A number in the order of a text column: seven bytes behind the ``shared`` first ones; null comes first."""
+    raw = F.substring(F.col(name).cast("string").cast("binary"), shared + 1, 7)
+    return F.coalesce(F.conv(F.rpad(F.hex(raw), 14, "0"), 16, 10).cast("long"), F.lit(-1).cast("long"))
+
+
+def describe(docs: DataFrame, bits: int = BITS, by: tuple[str, str] = ("source", "lang")) -> DataFrame:
     """(doc_id, size, text_crc32, d0, d1, d2): what sharding needs of each document, and its grid coordinates.
 
-    The dimensions are the size on a log2 scale with a half step, a bucket of the source and a bucket of the language.
-    Null text counts as empty with 0 bytes; null source or language is a value of its own.
+    The dimensions are the size on a log2 scale in whole steps, and the place of the source and of the language among the
+    quantiles of their values in order, so that ranges of each stay together. Null text counts as empty with 0 bytes; null
+    source or language comes before all others. Values that agree in the seven bytes behind what all have in common share
+    a coordinate.
     """
     top = (1 << bits) - 1
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     size = F.octet_length(raw).cast("long") + 8
-    bucket = lambda c: F.pmod(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit("\x00"))), F.lit(top + 1))
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        size.alias("size"),
-        F.crc32(raw).alias("text_crc32"),
-        bucket("source").alias("d1"),
-        bucket("lang").alias("d2"),
-    ).withColumn("d0", F.least(F.lit(top), F.greatest(F.lit(0), F.floor(F.log2("size") - 4))))
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(raw).alias("text_crc32"), *(F.col(c).cast("string").alias(c) for c in by)
+    )
+    # Two rows of aggregates, whatever the table: what all values begin with, and the quantiles.
+    ends = docs.agg(*(f(F.col(c).cast("string")).alias(f"{f.__name__}_{c}") for c in by for f in (F.min, F.max))).first()
+    numbers = {}
+    for c in by:
+        pair = [(ends[f"{f}_{c}"] or "").encode() for f in ("min", "max")]
+        numbers[c] = _ordinal(c, next((i for i, (x, y) in enumerate(zip(*pair, strict=False)) if x != y), min(map(len, pair))))
+    cuts = [k / (top + 1) for k in range(1, top + 1)]
+    found = docs.select(*(numbers[c].alias(c) for c in by)).agg(*(F.percentile_approx(c, cuts, 10_000).alias(c) for c in by)).first()
+    place = {}
+    for c in by:
+        bounds = sorted(set(found[c] or ()))
+        nth = sum((F.when(numbers[c] > x, 1).otherwise(0) for x in bounds), F.lit(0))
+        # Few distinct values spread over the whole axis, else they would differ in the curve's last bits only.
+        place[c] = F.floor(nth * top / max(1, len(bounds)))
+    d0 = F.least(F.lit(top), F.greatest(F.lit(0), F.floor(F.log2("size") - 4)))
+    return rows.select("doc_id", "size", "text_crc32", d0.alias("d0"), place[by[0]].alias("d1"), place[by[1]].alias("d2"))
 
 
 def hilbert_shards(docs: DataFrame, shards: int = 24, bits: int = BITS, part_rows: int = PART_ROWS) -> DataFrame:

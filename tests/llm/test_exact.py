@@ -148,6 +148,18 @@ def test_shards_are_even_and_close(spark, sf):
     assert all(r.size == len(docs[r.doc_id].encode()) + 8 and r.text_crc32 == zlib.crc32(docs[r.doc_id].encode()) for r in got.itertuples())
 
 
+def test_shards_can_be_pruned_by_every_dimension(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = table(spark, sf, "documents")
+    got = queries.queries()["op6_hilbert_shards"](spark, sf).join(docs.select("doc_id", "source", "lang"), "doc_id").toPandas()
+    got["small"] = got["size"] < 600
+    share = {c: got.groupby(c).shard.nunique().mean() / 24 for c in ("source", "lang")}
+    share["small"] = got[got.small].shard.nunique() / 24
+    print(share)
+    # Dealt at random, every one of these would be in all shards.
+    assert share["source"] < 0.4 and share["lang"] < 0.7 and share["small"] < 0.8
+
+
 def test_languages_of_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.queries()["op7_ecoc_language"](spark, sf).join(table(spark, sf, "documents"), "doc_id")
