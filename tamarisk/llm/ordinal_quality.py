@@ -36,9 +36,10 @@ def features(texts: list[bytes], bits: int = BITS) -> tuple[np.ndarray, np.ndarr
         pair = np.unique((d.astype(np.int64) << bits) | (h >> np.uint64(64 - bits)).astype(np.int64))
         n, distinct = np.bincount(d, minlength=len(own)), np.bincount(pair >> bits, minlength=len(own))
         raw = np.frombuffer(b"\n".join(own) + b"\n", np.uint8)
-        place = np.repeat(np.arange(len(own)), [len(x) + 1 for x in own])
-        size = np.maximum(np.bincount(place, minlength=len(own)) - 1, 1)
-        share = lambda of: np.bincount(place[of], minlength=len(own)) / size  # noqa: E731, B023
+        length = np.array([len(x) + 1 for x in own])
+        first, size = np.cumsum(length) - length, np.maximum(length - 1, 1)
+        # Sums over bytes, without wider arrays: a text can be long.
+        share = lambda of: np.add.reduceat(of.view(np.uint8), first, dtype=np.int64) / size  # noqa: E731, B023
         upper, digit = (raw >= 65) & (raw <= 90), (raw >= 48) & (raw <= 57)
         odd = NOT_WORD[raw] & (raw != 32) & (raw != 10) & (raw != 44) & (raw != 46)
         line = raw == 10

@@ -29,7 +29,7 @@ SEGMENTS, BITS = 4, 16
 DISTANCE = 3
 #: Differing bits up to which texts can be alike by 0.8: 3.6 standard deviations above the mean of 9.7.
 WIDE = 20
-#: A segment value that so many fingerprints hold, besides 64 times the mean, is hot; see ``_hot_links``.
+#: A segment value that so many fingerprints hold, besides 64 times the mean, is hot; see ``_hot_keys``.
 HOT = 4096
 #: Longest run of equal keys that is compared pair by pair at once; longer ones are searched breadth first.
 SHORT = 32
@@ -131,25 +131,17 @@ def _keyed_links(keys: DataFrame) -> DataFrame:
     return keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long")
 
 
-def _hot_links(fps: DataFrame) -> DataFrame:
-    """Links among fingerprints with a hot segment, without comparing them: each stands for its 4,096 neighbours that
-    lack one bit and differ in one other at most. Two that share a neighbour lacking the same bit differ in three bits at
-    most, and two that differ so do share one. At most 128 fingerprints share a neighbour."""
-    one = F.lit(1).cast("long")
-    bits = F.sequence(F.lit(0), F.lit(63))
-    shift = lambda n: F.call_function("shiftleft", one, n)
-    lacking = fps.select("fp", F.explode(bits).alias("bit")).withColumn(
-        "rest", F.col("fp").bitwiseAND(F.bitwise_not(shift(F.col("bit"))))
+def _hot_keys(hot: DataFrame) -> DataFrame:
+    """(key, fp) for fingerprints with a hot segment (i, s): the other 48 bits are four parts, of which one at least is equal if they
+    differ in three bits at most."""
+    rest = F.call_function("shiftrightunsigned", F.col("fp"), (F.col("i") * BITS).cast("int")).bitwiseOR(
+        F.call_function("shiftleft", F.col("fp"), (64 - F.col("i") * BITS).cast("int"))
     )
-    near = lacking.select("fp", "bit", "rest", F.explode(bits).alias("flip")).select(
-        "fp",
-        "bit",
-        F.when(F.col("bit") == F.col("flip"), F.col("rest"))
-        .otherwise(F.col("rest").bitwiseXOR(shift(F.col("flip"))))
-        .alias("point"),
+    part = lambda j: F.call_function("shiftrightunsigned", rest, F.lit(BITS + 12 * j)).bitwiseAND(F.lit(0xFFF).cast("long"))
+    parts = F.explode(F.array(*(F.lit(j << 12).cast("long").bitwiseOR(part(j)) for j in range(4))))
+    return hot.select("fp", "i", "s", parts.alias("v")).select(
+        (F.col("i") * (1 << 32) + F.col("s") * (1 << 14) + F.col("v")).alias("key"), "fp"
     )
-    root = near.groupBy("bit", "point").agg(F.min("fp").alias("b"))
-    return near.join(root, ["bit", "point"]).where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
 
 def ring_links(fps: DataFrame, hot: int = HOT) -> DataFrame:
@@ -183,7 +175,7 @@ def ring_links(fps: DataFrame, hot: int = HOT) -> DataFrame:
     )
     links = _keyed_links(keys)
     if some_hot:
-        links = links.union(_hot_links(split.join(F.broadcast(busy), ["i", "s"], "left_semi").select("fp").distinct()))
+        links = links.union(_keyed_links(_hot_keys(split.join(F.broadcast(busy), ["i", "s"], "left_semi"))))
     return links
 
 
