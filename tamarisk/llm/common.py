@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -60,11 +60,25 @@ def fresh(taken: list[str], *names: str) -> list[str]:
     return out
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Smaller record batches, so that Python holds few texts at once."""
+_caches: dict[str, object] = {}
+
+
+def worker_cache(owner: str, make: Callable[[], object]) -> object:
+    """One object for each Python worker, kept from task to task until tasks of another owner come; see ``slices``."""
+    if owner not in _caches:
+        _caches[owner] = make()
+    return _caches[owner]
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, owner: str = "") -> Iterator[pa.RecordBatch]:
+    """Smaller record batches, so that Python holds few texts at once. What other operators' tasks have left in this worker is
+    dropped first, and unused memory goes back at the end."""
+    for other in [x for x in _caches if x != owner]:
+        del _caches[other]
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def utf8(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:

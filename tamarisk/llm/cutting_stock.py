@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import ChunkCache
-from .common import materialize, slices
+from .common import materialize, slices, worker_cache
 
 LIMIT = 1024
 #: Tokens of a unit of length: patterns leave up to this less one of padding for each piece.
@@ -61,9 +61,6 @@ class WordTokenizer:
         return next(self.encode_all(pa.array([text]))).tobytes()
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
 def pieces(
     docs: DataFrame,
     tokenizer_path: str,
@@ -71,6 +68,7 @@ def pieces(
     end_id: int = 0,
     grain: int = GRAIN,
     digest: bool = False,
+    cache: int = CACHE,
 ) -> DataFrame:
     """(doc_id, start, length, ids binary, doc_tokens, units, task, nth): every document's ids and the end id, cut after
     every ``limit`` ids. ``units`` is the length in grains, rounded up; ``nth`` counts a task's earlier pieces with as
@@ -84,11 +82,10 @@ def pieces(
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer_path not in _tokenizers:
-            _tokenizers[tokenizer_path] = WordTokenizer(tokenizer_path)
-        tok, task = _tokenizers[tokenizer_path], TaskContext.get().partitionId()
+        tok = worker_cache(tokenizer_path, lambda: WordTokenizer(tokenizer_path, cache))
+        task = TaskContext.get().partitionId()
         seen = [0] * (-(-limit // grain) + 1)
-        for b in slices(batches, 2048):
+        for b in slices(batches, 2048, tokenizer_path):
             rows = []
             for doc, ids in zip(b.column("doc_id").to_pylist(), tok.encode_all(b.column("text")), strict=True):
                 raw = ids.tobytes() + end
@@ -274,8 +271,8 @@ def pack(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end_id: int =
 
 
 def pack_digests(
-    docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end_id: int = 0, grain: int = GRAIN
+    docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end_id: int = 0, grain: int = GRAIN, cache: int = CACHE
 ) -> DataFrame:
     """As ``pack``, with ids_crc32 (CRC-32 of the little-endian unsigned 32-bit ids) in place of the ids, so that
     only narrow rows are written and joined."""
-    return assign(materialize(pieces(docs, tokenizer_path, limit, end_id, grain, digest=True)), limit, grain)
+    return assign(materialize(pieces(docs, tokenizer_path, limit, end_id, grain, True, cache)), limit, grain)

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .chunks import ChunkCache
-from .common import slices
+from .common import slices, worker_cache
 
 #: Entries of each cache of a Python worker.
 CACHE = 600_000
@@ -272,15 +272,9 @@ class GrowingText:
         self.pieces, self.tables = new, tables[:head] + mid + (tables[len(old) - tail :] if tail else [])
 
 
-_encoders: dict[tuple[str, str], TextEncoder] = {}
-
-
 def encoder(ranks_path: str, pattern: str) -> TextEncoder:
     """One encoder for each vocabulary and Python worker."""
-    key = (ranks_path, pattern)
-    if key not in _encoders:
-        _encoders[key] = TextEncoder(read_ranks(ranks_path), pattern)
-    return _encoders[key]
+    return worker_cache(f"{ranks_path} {pattern}", lambda: TextEncoder(read_ranks(ranks_path), pattern))
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -288,7 +282,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path, pattern)
-        for b in slices(batches, 2048):
+        for b in slices(batches, 2048, f"{ranks_path} {pattern}"):
             ids = [x.astype("<i4") for x in enc.encode_all(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -300,7 +294,7 @@ def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path, pattern)
-        for b in slices(batches, 2048):
+        for b in slices(batches, 2048, f"{ranks_path} {pattern}"):
             raw = [enc.bpe.decode(x or ()) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(raw, pa.binary())], ["doc_id", "decoded"])
 
@@ -319,7 +313,7 @@ def digest_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
 
         enc = encoder(ranks_path, pattern)
         digits = list(map(str, range(len(enc.bpe.token))))
-        for b in slices(batches, 2048):
+        for b in slices(batches, 2048, f"{ranks_path} {pattern}"):
             n, first, second = [], [], []
             for found in enc.encode_all(b.column("text")):
                 ids = found.tolist()
