@@ -445,7 +445,7 @@ def _labelled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 @query(
-    f"""WITH {LABELLED} SELECT offer_id, 100.0 AS score, our_id, CASE WHEN abs(ml - p_size) <= 8 THEN 'owned' ELSE 'review' END AS ownership,
+    f"""WITH {LABELLED} SELECT offer_id, 100.0::DOUBLE AS score, our_id, CASE WHEN abs(ml - p_size) <= 8 THEN 'owned' ELSE 'review' END AS ownership,
     CASE WHEN abs(ml - p_size) <= 8 THEN '' ELSE 'size' END AS reason FROM labelled"""
 )
 def resolved_offers(spark: SparkSession, d: str) -> DataFrame:
@@ -458,7 +458,7 @@ def resolved_offers(spark: SparkSession, d: str) -> DataFrame:
     f"""WITH {LABELLED}, k AS (SELECT lower(trim(p_name)) || ' ' || p_size || 'ml' AS key, min(p_partkey) AS id FROM part GROUP BY 1), names AS (
     SELECT p_name, min(p_partkey) AS id FROM part GROUP BY 1), r AS (SELECT offer_id, k.id AS named, n.id AS other, ml, m.p_size FROM labelled l
     LEFT JOIN k ON k.key = lower(trim(l.name)) || ' ' || ml || 'ml' JOIN names n ON n.p_name = l.name JOIN part m ON m.p_partkey = n.id)
-    SELECT offer_id, coalesce(named, other) AS our_id, 100.0 AS score, CASE WHEN named IS NOT NULL OR abs(ml - p_size) <= 2 THEN 'matched' ELSE 'review' END AS status,
+    SELECT offer_id, coalesce(named, other) AS our_id, 100.0::DOUBLE AS score, CASE WHEN named IS NOT NULL OR abs(ml - p_size) <= 2 THEN 'matched' ELSE 'review' END AS status,
     CASE WHEN named IS NOT NULL THEN 'name' ELSE 'fuzzy' END AS layer FROM r"""
 )
 def closed_loop(spark: SparkSession, d: str) -> DataFrame:
@@ -525,7 +525,7 @@ def last_sent_prices(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT event_id, CASE WHEN event_type = 'view' THEN 7 ELSE n_nationkey END AS resolved_id FROM events LEFT JOIN nation ON n_nationkey = user_id % 30"""
+    """SELECT event_id, CAST(CASE WHEN event_type = 'view' THEN 7 ELSE n_nationkey END AS BIGINT) AS resolved_id FROM events LEFT JOIN nation ON n_nationkey = user_id % 30"""
 )
 def resolved_ids(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation").select(F.col("n_name").alias("key"), F.col("n_nationkey").alias("id"))
@@ -640,6 +640,93 @@ def product_features(spark: SparkSession, d: str) -> DataFrame:
     return catalogue(spark, d).select("our_id", X.size_ml(label).alias("size_ml"), X.item_type(label).alias("item_type"))
 
 
+#: What each kind of product adds to its name, and what must be found in it: size, item type, class, set, gender, concentration.
+WORDED = {
+    "ECONOMY": (" sample 5ml for men", 5.0, "sample", "rejected", False, "رجالي", ""),
+    "SMALL": (" eau de parfum intense 1ml for women", 1.0, "sample", "retail", False, "نسائي", "EDP+INT"),
+    "MEDIUM": (" cologne 2 oz", 59.147, "retail", "retail", False, "", "EDC"),
+    "PROMO": (" tester edt 100ml", 100.0, "tester", "tester", False, "", "EDT"),
+    "LARGE": (" gift set elixir 50ml", 50.0, "retail", "set", True, "", "ELIXIR"),
+    "STANDARD": (" body mist 250ml", 250.0, "retail", "body_mist", False, "", ""),
+}
+
+
+def _case(n: int, quote: str = "'") -> str:
+    return "CASE p_type " + " ".join(f"WHEN '{k}' THEN {quote}{str(v[n]).lower() if isinstance(v[n], bool) else v[n]}{quote}" for k, v in WORDED.items()) + " END"
+
+
+def _worded(spark: SparkSession, d: str) -> DataFrame:
+    words = F.create_map(*(F.lit(x) for k, v in WORDED.items() for x in (k, v[0])))
+    return catalogue(spark, d).withColumn("label", F.concat("name", words[F.col("kind")]))
+
+
+@query(
+    f"""SELECT p_partkey AS our_id, CAST({_case(1, '')} AS DOUBLE) AS size_ml, {_case(2)} AS item_type, {_case(3)} AS product_class, {_case(4, '')} AS is_set,
+    {_case(5)} AS gender, {_case(6)} AS concentration FROM part"""
+)
+def worded_features(spark: SparkSession, d: str) -> DataFrame:
+    found = {
+        "size_ml": F.round(X.size_ml("label"), 3), "item_type": X.item_type("label"), "product_class": X.product_class("label"),
+        "is_set": X.is_set("label"), "gender": X.gender("label"), "concentration": X.concentration("label"),
+    }
+    return _worded(spark, d).select("our_id", *(c.alias(n) for n, c in found.items()))
+
+
+@query(
+    """SELECT p_partkey AS our_id, CASE p_type WHEN 'ECONOMY' THEN 'sample' WHEN 'SMALL' THEN 'tiny' END AS reason FROM part"""
+)
+def upload_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return _worded(spark, d).select("our_id", Fl.strict_reason("label").alias("reason"))
+
+
+@query(
+    """SELECT p_partkey AS our_id, CASE WHEN p_type IN ('ECONOMY', 'STANDARD') THEN 'class' WHEN p_type = 'LARGE' THEN 'set'
+    WHEN p_retailprice > 0 AND (p_retailprice < 20 OR p_retailprice > 15000) THEN 'price' WHEN p_type = 'SMALL' THEN 'mini' END AS reason FROM part"""
+)
+def missing_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return _worded(spark, d).select("our_id", Fl.missing_reason("label", "our_price").alias("reason"))
+
+
+@query(
+    """WITH t AS (SELECT p_partkey, CASE WHEN p_type = 'ECONOMY' THEN 'no image' ELSE 'https://x/' || p_partkey END AS image, trim(repeat(p_name || ' ', p_size)) AS text FROM part)
+    SELECT p_partkey AS our_id, CASE WHEN image = 'no image' THEN 'image' WHEN length(text) < 60 THEN 'short_description' WHEN NOT contains(text, 'gear') THEN 'marker' END AS reason FROM t"""
+)
+def publishing_gates(spark: SparkSession, d: str) -> DataFrame:
+    image = F.when(F.col("kind") == "ECONOMY", "no image").otherwise(F.concat(F.lit("https://x/"), "our_id"))
+    text = F.repeat(F.concat(F.lit("<b>"), "name", F.lit("</b> ")), F.col("size"))
+    return catalogue(spark, d).select("our_id", Fl.gate_reason(image, text, "gear").alias("reason"))
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_type = 'click' OR value >= 95 THEN 'DUPLICATE' WHEN value >= 70 THEN 'REVIEW' ELSE 'NEW' END AS verdict FROM events"""
+)
+def duplicate_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return events(spark, d).select("event_id", M.duplicate_verdict(F.col("value"), F.col("status") == "click").alias("verdict"))
+
+
+@query(
+    f"""WITH {PRICED} SELECT our_id, CASE WHEN action = 'review' THEN 'REVIEW' WHEN our_price > 1500 THEN 'MATCHED_AI' ELSE 'MATCHED_AUTO' END AS state FROM priced"""
+)
+def ledger_states(spark: SparkSession, d: str) -> DataFrame:
+    rows = analysis.priced(catalogue(spark, d), offers(spark, d))
+    return rows.select("our_id", R.ledger_state("decision", F.when(F.col("our_price") > 1500, "ai")).alias("state"))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'view' THEN 0.0::DOUBLE ELSE value END AS price, CASE WHEN event_type = 'view' THEN NULL ELSE value END AS value FROM events")
+def json_rows(spark: SparkSession, d: str) -> DataFrame:
+    value = F.when(F.col("status") == "view", F.lit(float("nan"))).otherwise(F.col("value"))
+    return E.json_safe(events(spark, d).select("event_id", value.alias("price"), value.alias("value")), ["price"])
+
+
+@query(
+    """SELECT p_partkey AS our_id, p_type IN ('ECONOMY', 'SMALL') AND p_size < 20 AS phantom FROM part"""
+)
+def phantom_rows(spark: SparkSession, d: str) -> DataFrame:
+    name = F.when(F.col("kind") == "ECONOMY", F.concat(F.lit("P"), "our_id", F.lit("_x"))).when(F.col("kind") == "SMALL", F.lit("  ")).otherwise(F.col("name"))
+    price = F.when(F.col("size") < 20, F.lit("x")).otherwise(F.col("our_price").cast("string"))
+    return catalogue(spark, d).select("our_id", Fl.is_phantom(name, price).alias("phantom"))
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def event_properties(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).select("event_id", "k")
