@@ -39,13 +39,15 @@ class ChunkCache:
 
     def _known(self, chunks: list[str]) -> list[bytes]:
         ids = list(map(self._young.get, chunks))
-        gaps, i = [], -1
-        for _ in range(ids.count(None)):
-            i = ids.index(None, i + 1)
-            gaps.append(i)
+        gaps = [i for i, known in enumerate(ids) if known is None]
         if gaps:
-            new = {chunks[i]: self._old.get(chunks[i]) for i in gaps}
-            new |= self.learn([x for x, known in new.items() if known is None])
+            missing = [chunks[i] for i in gaps]
+            if self._old:
+                new = {x: known for x, known in zip(missing, map(self._old.get, missing), strict=True) if known is not None}
+                missing = [x for x in missing if x not in new]
+                new |= self.learn(missing)
+            else:
+                new = self.learn(missing)
             if len(self._young) + len(new) > self.size:
                 self._young, self._old = {}, self._young
             self._young |= new

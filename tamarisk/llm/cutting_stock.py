@@ -50,8 +50,10 @@ class WordTokenizer:
         found = {}
         for at in range(0, len(chunks), 4096):
             part = chunks[at : at + 4096]
-            ids = self._ids(" " + " ".join(part))
-            ends = np.cumsum([len(x) + 1 if x.isascii() else len(x.encode()) + 1 for x in part])
+            text = " " + " ".join(part)
+            ids = self._ids(text)
+            size = map(len, part) if text.isascii() else (len(x.encode()) for x in part)
+            ends = np.cumsum(np.fromiter(size, np.int64, len(part)) + 1)
             cut = (4 * (np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1)).tolist()
             raw = ids.tobytes()
             found.update(zip(part, [raw[i:j] for i, j in zip([0, *cut], cut, strict=False)], strict=True))
