@@ -12,9 +12,17 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+#: Rows of an Arrow batch: with texts of some thousand bytes, Spark's 10,000 would take tens of megabytes several times over
+#: for each task, on both sides.
+BATCH_ROWS = 2500
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Make this package importable in the executors' Python workers; does its work once for each application."""
+    """Make this package importable in the executors' Python workers; does its work once for each application. Arrow batches
+    of the session have ``BATCH_ROWS`` rows at most from here on."""
     context = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if context.applicationId not in _shipped:
         top = Path(__file__).resolve().parent
         fd, path = tempfile.mkstemp(prefix=f"{top.name}-", suffix=".zip")
