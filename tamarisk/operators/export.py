@@ -109,3 +109,27 @@ def cached(spark, folder: str, signature: str, make: Callable[[], DataFrame]) ->
     except AnalysisException:
         make().write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
+
+
+def upload_file(products: DataFrame, marker: str, least: int = 60) -> tuple[DataFrame, DataFrame]:
+    """Two tables of (name, category, image, description, price, sku, brand) products: the upload file with all columns as text, of those
+    that may be published, and the rest as it came with the reason. The reduced price is one below the price; a missing sku is
+    made from brand and name."""
+    from ..functions import vocabulary as V
+    from ..functions.keys import sku
+    from .filters import gate_reason, split_by
+
+    good, refused = split_by(products, gate_reason("image", "description", marker, least))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    own = {
+        "أسم المنتج": text("name"),
+        "تصنيف المنتج": text("category"),
+        "صورة المنتج": text("image"),
+        "وصف صورة المنتج": F.trim(F.regexp_replace(text("name"), r"(?U)[^\w\s]", " ")),
+        "سعر المنتج": text("price"),
+        "الوصف": text("description"),
+        "رمز المنتج sku": F.coalesce(F.nullif(F.trim(text("sku")), F.lit("")), sku("brand", "name", F.lit(""))),
+        "السعر المخفض": F.when(F.col("price") > 1, cents(F.col("price") - 1).cast("string")).otherwise(""),
+        "الماركة": text("brand"),
+    }
+    return template(good, {c: own.get(c, V.UPLOAD_CONSTANTS.get(c, "")) for c in V.UPLOAD_COLUMNS}), refused

@@ -727,6 +727,22 @@ def phantom_rows(spark: SparkSession, d: str) -> DataFrame:
     return catalogue(spark, d).select("our_id", Fl.is_phantom(name, price).alias("phantom"))
 
 
+@query(
+    """WITH t AS (SELECT *, trim(repeat(p_name || ' ', p_size)) AS text FROM part) SELECT p_name AS "أسم المنتج", p_brand AS "الماركة", 'kg' AS "وحدة الوزن",
+    CASE WHEN p_retailprice > 1 THEN round((p_retailprice - 1)::DECIMAL(18, 4), 2)::DOUBLE END AS reduced, 'S' || p_partkey AS "رمز المنتج sku", 40 AS n_columns
+    FROM t WHERE p_type <> 'ECONOMY' AND length(text) >= 60 AND contains(text, 'gear')"""
+)
+def upload_file(spark: SparkSession, d: str) -> DataFrame:
+    c = catalogue(spark, d)
+    rows = c.select(
+        "name", "brand", F.col("kind").alias("category"), F.col("our_price").alias("price"), F.concat(F.lit("S"), "our_id").alias("sku"),
+        F.when(F.col("kind") != "ECONOMY", F.concat(F.lit("https://x/"), "our_id")).alias("image"),
+        F.repeat(F.concat(F.lit("<p>"), "name", F.lit("</p> ")), F.col("size")).alias("description"),
+    )
+    out, _ = E.upload_file(rows, "gear")
+    return out.select("أسم المنتج", "الماركة", "وحدة الوزن", F.col("السعر المخفض").cast("double").alias("reduced"), "رمز المنتج sku", F.lit(len(out.columns)).alias("n_columns"))
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def event_properties(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).select("event_id", "k")
