@@ -743,6 +743,15 @@ def upload_file(spark: SparkSession, d: str) -> DataFrame:
     return out.select("أسم المنتج", "الماركة", "وحدة الوزن", F.col("السعر المخفض").cast("double").alias("reduced"), "رمز المنتج sku", F.lit(len(out.columns)).alias("n_columns"))
 
 
+@query(
+    """SELECT p_partkey AS our_id, 'عطر ورد ' || p_partkey || CASE WHEN p_type = 'SMALL' THEN '' ELSE ' ' || p_size || ' مل' END AS title FROM part"""
+)
+def arabic_titles(spark: SparkSession, d: str) -> DataFrame:
+    name = F.concat(F.lit("ورد "), "our_id", F.lit(" "), "name")
+    size = F.when(F.col("kind") != "SMALL", F.col("size").cast("string"))
+    return catalogue(spark, d).select("our_id", T.title(F.lit("عطر"), name, F.lit("Brand's"), F.lit(None), size, F.lit(" ")).alias("title"))
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def event_properties(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).select("event_id", "k")
