@@ -2,36 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: list[str] = []
-
+from ..session import shared_dir
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
-
-    Where the setting is missing, a single-machine session gets a temporary folder; a cluster is refused.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="spark-"))
-        base = _own[0]
-    return f"{base}/{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once and read it back: cuts the lineage and survives the loss of executors."""
     path = shared_dir(df.sparkSession)
