@@ -14,7 +14,8 @@ from ..functions.pricing import cents, price_or_zero, product_id
 def flat(df: DataFrame) -> DataFrame:
     """Nested columns as JSON text, so that CSV can hold them."""
     nested = ("array", "map", "struct")
-    return df.select(*(F.to_json(c).alias(c) if kind.startswith(nested) else F.col(c) for c, kind in df.dtypes))
+    own = {c: F.col(f"`{c}`") for c in df.columns}
+    return df.select(*(F.to_json(own[c]).alias(c) if kind.startswith(nested) else own[c] for c, kind in df.dtypes))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -52,11 +53,12 @@ def payloads(df: DataFrame, section: str) -> DataFrame:
     return rows.select(F.col("_id").alias("product_id"), F.to_json(body).alias("payload"))
 
 
-def batches(payload: DataFrame, size: int = 20) -> DataFrame:
-    """(batch, products): payloads in groups of up to ``size``, numbered within hash buckets so that no single task orders all."""
+def batches(payload: DataFrame, size: int = 20, bucket_rows: int = 5000) -> DataFrame:
+    """(batch, products): payloads in groups of up to ``size``, numbered within hash buckets of about ``bucket_rows`` rows, so that no
+    task orders more, however many rows there are."""
     from pyspark.sql import Window
 
-    bucket = F.pmod(F.xxhash64("product_id"), F.lit(64))
+    bucket = F.pmod(F.xxhash64("product_id", "payload"), F.lit(max(1, payload.count() // bucket_rows)))
     nth = F.row_number().over(Window.partitionBy("bucket").orderBy("product_id", "payload")) - 1
     numbered = payload.withColumn("bucket", bucket).withColumn("nth", F.floor(nth / size))
     grouped = numbered.groupBy("bucket", "nth").agg(F.sort_array(F.collect_list("payload")).alias("products"))

@@ -26,7 +26,8 @@ from .operators import merge as U
 from .operators import projections as J
 from .operators import routing as R
 from .plans import analysis
-from .session import ship
+from .session import shared_dir, ship
+from .sources import files as S
 from .sources.tables import catalogue, events, offers, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -752,6 +753,71 @@ def arabic_titles(spark: SparkSession, d: str) -> DataFrame:
     return catalogue(spark, d).select("our_id", T.title(F.lit("عطر"), name, F.lit("Brand's"), F.lit(None), size, F.lit(" ")).alias("title"))
 
 
+# Files: what is written is read again by the file sources.
+
+
+def _written(df: DataFrame) -> str:
+    path = shared_dir(df.sparkSession)
+    E.write_csv(df, path)
+    return path
+
+
+@query(
+    """SELECT CAST(p_partkey AS VARCHAR) AS product_id, p_name AS name, CASE WHEN p_type = 'SMALL' THEN 0.0 ELSE p_retailprice END AS price, p_brand AS brand FROM part
+    WHERE p_type <> 'PROMO'"""
+)
+def catalogue_file(spark: SparkSession, d: str) -> DataFrame:
+    """Nameless rows are dropped, unreadable prices are 0."""
+    price = F.when(F.col("kind") == "SMALL", "n/a").otherwise(F.col("our_price").cast("string"))
+    rows = catalogue(spark, d).select(
+        F.col("our_id").alias("No."), F.when(F.col("kind") != "PROMO", F.col("name")).alias("أسم المنتج"), price.alias("سعر المنتج"), F.col("brand").alias("الماركة")
+    )
+    return S.load_catalogue(S.read_csv(spark, _written(rows)))
+
+
+@query(
+    f"""WITH {OFFERS} SELECT 'shop' AS store, name, CASE WHEN discount > 0.05 THEN NULL ELSE price END AS price, 'https://shop/p/' || product_id AS url FROM offers"""
+)
+def competitor_file(spark: SparkSession, d: str) -> DataFrame:
+    price = F.when(F.col("discount") > 0.05, "").otherwise(F.col("price").cast("string"))
+    rows = offers(spark, d).select(F.col("name").alias("product_name"), price.alias("price"), F.concat(F.lit("https://shop/p/"), "product_id").alias("link"))
+    return S.load_competitor(S.read_csv(spark, _written(rows)), "shop").select("store", "name", "price", "url")
+
+
+@query(
+    """SELECT p_brand AS brand, count(*) AS n, max(CASE WHEN p_brand IN (SELECT max(p_brand) FROM part) THEN 1.0::DOUBLE ELSE p_retailprice END) AS top FROM part GROUP BY 1"""
+)
+def replaced_brands(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of one brand are replaced in a partitioned table, the others stay."""
+    c, path = catalogue(spark, d).select("our_id", "brand", "our_price"), shared_dir(spark)
+    E.replace_partitions(c, path, "brand")
+    last = c.agg(F.max("brand").alias("brand"))
+    E.replace_partitions(c.join(F.broadcast(last), "brand").select("our_id", "brand", F.lit(1.0).alias("our_price")), path, "brand")
+    back = spark.read.schema("our_id long, our_price double, brand string").parquet(path)
+    return back.groupBy("brand").agg(F.count("*").alias("n"), F.max("our_price").alias("top"))
+
+
+@query(
+    f"""WITH {PRICED}, r AS (SELECT our_id FROM priced WHERE action = 'raise' AND our_id <> 0) SELECT count(*) AS n, true AS sent, 1 AS attempts FROM r"""
+)
+def posted_prices(spark: SparkSession, d: str) -> DataFrame:
+    """Every payload is posted once, in batches."""
+    rows = analysis.priced(catalogue(spark, d), offers(spark, d)).where("action = 'raise'")
+    log = E.send(E.batches(E.payloads(rows.withColumn("product_id", F.col("our_id")), "raise")), lambda products: len(products) <= 20)
+    return log.agg(F.sum("n").alias("n"), F.bool_and("sent").alias("sent"), F.max("attempts").alias("attempts"))
+
+
+@query(
+    """SELECT conv_id, turn, n - 1 AS row, trim(cell) AS first FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n,
+    CASE WHEN contains(text, '|') THEN '|' WHEN contains(text, chr(9)) THEN chr(9) ELSE ',' END AS sep FROM conversations), LATERAL (SELECT split_part(line, sep, 1) AS cell)
+    WHERE trim(line) <> ''"""
+)
+def pasted_cells(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    lines = S.parse_pasted(rows, keep=("conv_id", "turn"))
+    return lines.select("conv_id", "turn", F.col("row").cast("long").alias("row"), F.col("cells")[0].alias("first"))
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def event_properties(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).select("event_id", "k")

@@ -148,12 +148,12 @@ def read_sitemap(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(keep).select(F.trim("loc").alias("url"), "lastmod").dropDuplicates(["url"])
 
 
-def parse_pasted(df: DataFrame, text: str = "text") -> DataFrame:
-    """(row, cells) of pasted tables: each non-blank line is split at bars, tabs or commas, whichever its text has first."""
+def parse_pasted(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(``keep``, row, cells) of pasted tables: each non-blank line is split at bars, tabs or commas, whichever its text has first."""
     sep = F.when(F.col(text).contains("|"), r"\|").when(F.col(text).contains("\t"), "\t").otherwise(",")
-    lines = df.select(F.posexplode(F.split(text, "\n")).alias("row", "line"), sep.alias("sep"))
+    lines = df.select(*keep, F.posexplode(F.split(text, "\n")).alias("row", "line"), sep.alias("sep"))
     cells = F.transform(F.split("line", F.col("sep")), lambda c: F.trim(c))
-    return lines.where("trim(line) <> ''").select("row", cells.alias("cells"))
+    return lines.where("trim(line) <> ''").select(*keep, "row", cells.alias("cells"))
 
 
 def read_table(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
