@@ -216,7 +216,7 @@ def ring_within(x: Column, distance: int, segments: int = 8) -> Column:
 def similar_documents(docs: DataFrame, size: int = 5, similar: float = SIMILAR, distance: int = WIDE) -> DataFrame:
     """(doc_id, component_id): documents linked by a Jaccard similarity of ``similar`` or more, directly or through others.
 
-    Texts with equal sets of shingles are one class. Of the members of each key, those that differ from the first one's
+    Texts with equal sets of shingles are one class. Of the members of each key, those that differ from the most typical one's
     fingerprint in ``distance`` bits at most are checked against it; then only those pairs are left that no links connect yet,
     and all of them pass the same filter and check. Null or wordless texts are one class; repeated rows stay rows; null ids
     are grouped like others; an empty table gives no rows; no column but doc_id and text is read.
@@ -229,10 +229,15 @@ def similar_documents(docs: DataFrame, size: int = 5, similar: float = SIMILAR,
     )
     first = materialize(first)
     keys = first.select("cls", "n", "fp", F.explode("bands").alias("key"))
-    root = keys.groupBy("key").agg(F.min(F.struct("cls", "n", "fp")).alias("root"), F.count("*").alias("m"))
-    root = materialize(root.where("m > 1"))
-    shared = materialize(join_frequent(keys, root, "key", "m", max(1, keys.count())))
-    discard(root)
+    sizes = materialize(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
+    total = max(1, keys.count())
+    shared = materialize(join_frequent(keys, sizes, "key", "m", total))
+    # A text that many others were made from shares most of its keys with most of them: such a one is put first.
+    typical = shared.groupBy("cls").agg(F.sum("m").alias("weight"))
+    ranked = shared.join(typical, "cls")
+    root = ranked.groupBy("key").agg(F.max_by(F.struct("cls", "n", "fp"), F.struct("weight", "cls")).alias("root"), F.max("m").alias("size"))
+    shared, before = materialize(join_frequent(shared, materialize(root), "key", "size", total).drop("size")), shared
+    discard(sizes, before)
 
     def alike(a: str, b: str) -> Column:
         n, m = F.col(f"{a}n"), F.col(f"{b}n")
