@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, join_frequent, materialize, slices, utf8
 from .components import connected_components
-from .shingle_bands import SIMILAR, checked, signatures
+from .shingle_bands import SIMILAR, checked, linked_within, signatures
 
 SEGMENTS, BITS = 4, 16
 DISTANCE = 3
@@ -217,8 +217,8 @@ def similar_documents(docs: DataFrame, size: int = 5, similar: float = SIMILAR,
     """(doc_id, component_id): documents linked by a Jaccard similarity of ``similar`` or more, directly or through others.
 
     Texts with equal sets of shingles are one class. Of the members of each key, those that differ from the most typical one's
-    fingerprint in ``distance`` bits at most are checked against it; then only those pairs are left that no links connect yet,
-    and all of them pass the same filter and check. Null or wordless texts are one class; repeated rows stay rows; null ids
+    fingerprint in ``distance`` bits at most are checked against it; then members of a key that no links connect yet are compared
+    with each other, block by block. Null or wordless texts are one class; repeated rows stay rows; null ids
     are grouped like others; an empty table gives no rows; no column but doc_id and text is read.
     """
     signed = materialize(signatures(docs, size))
@@ -255,11 +255,8 @@ def similar_documents(docs: DataFrame, size: int = 5, similar: float = SIMILAR,
     split = named.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("m"))
     # The first of a key has met all others.
     split = materialize(split.where("p <> q and m > 2").select("key"))
-    rest = named.where("not top").join(split, "key", "left_semi")
-    x, y = rest.alias("x"), rest.alias("y")
-    apart = (F.col("x.cls") > F.col("y.cls")) & (F.col("x.part") != F.col("y.part")) & alike("x.", "y.")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & apart).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-    links = links.union(checked(pairs, docs, first, size, similar))
+    rest = named.where("not top").join(split, "key", "left_semi").select("key", "cls", "part")
+    links = links.union(materialize(linked_within(rest, docs, first, size, similar)))
     nodes = connected_components(links)
     joined = materialize(nodes.join(first.select(F.col("cls").alias("node"), "doc_id"), "node"))
     lowest = joined.groupBy("component").agg(F.min("doc_id").alias("lowest"), F.count("*").alias("many"))
