@@ -48,6 +48,31 @@ def test_components_of_fingerprints(spark, sf):
     assert near and {r.doc_id: r.component_id for r in got} == lowest(ids, near)
 
 
+def test_blocks_of_one_key_find_every_link(spark, monkeypatch):
+    from tamarisk.llm import shingle_bands
+
+    rnd = random.Random(12)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        own = list(base)
+        for k in rnd.sample(range(120), rnd.choice([0, 1, 2, 3, 12])):
+            own[k] = f"x{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    first = shingle_bands.signatures(docs, 5).groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    known = {r.doc_id: r.cls for r in first.collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(116)} for i, t in rows if i in known for w in [t.split()]}
+    members = first.select(F.lit(1).cast("long").alias("key"), "cls", F.col("cls").alias("part"))
+    wanted = lowest(sets, [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    back = {c: i for i, c in known.items()}
+    for block in (512, 20):
+        monkeypatch.setattr(shingle_bands, "BLOCK", block)
+        found = shingle_bands.linked_within(members, docs, first, 5, 0.8).collect()
+        assert lowest(sets, [(back[r.a], back[r.b]) for r in found]) == wanted
+    assert len(set(wanted.values())) < len(wanted)
+
+
 def test_grades_are_those_of_the_fitted_weights(spark, sf):
     docs = table(spark, sf, "documents")
     labels = table(spark, sf, "labels")
