@@ -48,16 +48,26 @@ def concentration(c: Name) -> Column:
     return F.when((kind != "") & any_of(t, V.INTENSE_WORDS), F.concat(kind, F.lit("+INT"))).otherwise(kind)
 
 
-def product_class(c: Name) -> Column:
-    """The first class whose words occur in the raw or normalised name; ``retail`` otherwise."""
-    t = F.trim(F.concat_ws(" ", _text(c), normalize(c)))
+def class_text(c: Name) -> Column:
+    """What classes are told from: the raw and the normalised name."""
+    return F.trim(F.concat_ws(" ", _text(c), normalize(c)))
+
+
+def class_of(text: Name) -> Column:
+    """The first class whose words occur in a ``class_text``; ``retail`` otherwise. Give it a column rather than an expression, which
+    every class would evaluate again."""
     kind = None
     for name, pattern in V.CLASSES:
-        hit = t.rlike("(?U)" + pattern)
+        hit = column(text).rlike("(?U)" + pattern)
         kind = F.when(hit, name) if kind is None else kind.when(hit, name)
     return kind.otherwise("retail")
 
 
+def product_class(c: Name) -> Column:
+    """The class of a name; for large tables see ``class_of``."""
+    return class_of(class_text(c))
+
+
 def is_sample(c: Name) -> Column:
     return any_of(_text(c), V.SAMPLE_WORDS)
 

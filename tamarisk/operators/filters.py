@@ -38,10 +38,14 @@ def search(df: DataFrame, text: str = "", columns: tuple[str, ...] = (), regex:
 
 def missing_reason(name: Name, price: Name) -> Column:
     """Why an offer is no candidate for the missing list, or null: class, set, price, short name, no size, miniature."""
-    p, size, kind = price_or_zero(price), X.size_ml(name), X.product_class(name)
+    return _missing_reason(name, price, X.product_class(name), X.is_set(name), X.size_ml(name))
+
+
+def _missing_reason(name: Name, price: Name, kind: Column, in_set: Column, size: Column) -> Column:
+    p = price_or_zero(price)
     return (
         F.when(kind.isin("rejected", "other", "body_lotion", "shower_gel", "hair_mist", "body_mist", "deodorant", "soap", "after_shave"), "class")
-        .when((kind == "set") | X.is_set(name), "set")
+        .when((kind == "set") | in_set, "set")
         .when((p > 0) & ((p < V.MISSING_MIN_PRICE) | (p > V.MISSING_MAX_PRICE)), "price")
         .when(F.length(F.trim(F.coalesce(column(name), F.lit("")))) < V.MISSING_MIN_NAME, "short")
         .when(size == 0, "nosize")
@@ -49,6 +53,15 @@ def missing_reason(name: Name, price: Name) -> Column:
     )
 
 
+def with_missing_reason(df: DataFrame, name: str = "name", price: str = "price") -> DataFrame:
+    """Add ``reason`` (``missing_reason``); names are looked at once, however many rows have them."""
+    names = df.select(F.col(name).alias("_n")).distinct().withColumn("_t", X.class_text("_n"))
+    names = names.select("_n", X.class_of("_t").alias("_kind"), X.is_set("_n").alias("_in_set"), X.size_ml("_n").alias("_size"))
+    rows = df.join(names, df[name].eqNullSafe(names["_n"]), "left")
+    reason = _missing_reason(name, price, F.col("_kind"), F.col("_in_set"), F.col("_size"))
+    return rows.withColumn("reason", reason).drop("_n", "_kind", "_in_set", "_size")
+
+
 def strict_reason(name: Name, min_ml: float = 2.0) -> Column:
     """Why an offer is refused on upload, or null: empty, banned sample word, rejected class, tiny size."""
     n = F.trim(F.coalesce(column(name).cast("string"), F.lit("")))

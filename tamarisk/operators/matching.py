@@ -19,14 +19,21 @@ from ..functions.text import bare_tokens, block_skeletons, block_tokens, key_tex
 
 
 def featured(df: DataFrame, name: str, brands: list[str] | None = None, brand: str | None = None) -> DataFrame:
-    """Add the columns that matching reads: bare, tokens, skeletons, brand_key, size_ml, gender_key."""
-    b = X.known_brand(name, brands) if brands else F.lit("")
+    """Add the columns that matching reads: bare, tokens, skeletons, brand_key, size_ml, gender_key. Names are looked at once, however
+    many rows have them."""
+    own = F.col(brand).cast("string") if brand else F.lit(None).cast("string")
+    names = df.select(F.col(name).alias("_n"), own.alias("_own")).distinct()
+    b = X.known_brand("_n", brands) if brands else F.lit("")
     if brand:
-        b = F.when(b == "", F.coalesce(F.col(brand), F.lit(""))).otherwise(b)
-    out = df.withColumn("_words", bare_tokens(name)).withColumns(
-        {"bare": F.array_join("_words", " "), "brand_key": key_text(b), "size_ml": X.size_ml(name), "gender_key": X.gender(name)}
+        b = F.when(b == "", F.coalesce("_own", F.lit(""))).otherwise(b)
+    names = names.withColumn("_words", bare_tokens("_n")).withColumns(
+        {"bare": F.array_join("_words", " "), "brand_key": key_text(b), "size_ml": X.size_ml("_n"), "gender_key": X.gender("_n")}
     )
-    return out.withColumns({"tokens": block_tokens("_words"), "skeletons": block_skeletons("_words")}).drop("_words")
+    names = names.withColumns({"tokens": block_tokens("_words"), "skeletons": block_skeletons("_words")}).drop("_words")
+    same = df[name].eqNullSafe(names["_n"])
+    if brand:
+        same &= df[brand].cast("string").eqNullSafe(names["_own"])
+    return df.join(names, same, "left").drop("_n", "_own")
 
 
 def _block_keys(df: DataFrame) -> DataFrame:

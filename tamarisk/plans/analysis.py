@@ -50,7 +50,7 @@ def missing_analysis(catalogue: DataFrame, offers: DataFrame) -> DataFrame:
     ``catalogue``: (our_id, name, brand); ``offers``: (offer_id, name, brand, price, store). Rows that are no candidates keep their
     reason; every name gets one of reason, owned, review or missing.
     """
-    tagged = offers.withColumn("reason", filters.missing_reason("name", "price"))
+    tagged = filters.with_missing_reason(offers)
     keep = matching.featured(tagged.where("reason is null").drop("reason"), "name", brand="brand")
     ours = matching.featured(catalogue, "name", brand="brand")
     verdict = matching.resolve(keep, ours)
@@ -61,8 +61,7 @@ def missing_analysis(catalogue: DataFrame, offers: DataFrame) -> DataFrame:
 
 def accounting(catalogue: DataFrame, offers: DataFrame) -> DataFrame:
     """(outcome, n): every offer once, by reason or ownership; the counts sum up to the offers."""
-    reason = filters.missing_reason("name", "price")
-    tagged = offers.withColumn("outcome", reason)
+    tagged = filters.with_missing_reason(offers).withColumnRenamed("reason", "outcome")
     ours = matching.featured(catalogue, "name", brand="brand")
     verdict = matching.resolve(matching.featured(tagged.where("outcome is null"), "name", brand="brand"), ours)
     done = tagged.where("outcome is not null").select("outcome").unionAll(verdict.select(F.col("ownership")))
