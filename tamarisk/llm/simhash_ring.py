@@ -230,8 +230,9 @@ def similar_documents(docs: DataFrame, size: int = 5, similar: float = SIMILAR,
     first = materialize(first)
     keys = first.select("cls", "n", "fp", F.explode("bands").alias("key"))
     sizes = materialize(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
-    total = max(1, keys.count())
-    shared = materialize(join_frequent(keys, sizes, "key", "m", total))
+    # Most keys have one member and go here; what is left of frequent ones is small enough for adaptive skew joins.
+    shared = materialize(keys.join(sizes, "key"))
+    total = max(1, shared.count())
     # A text that many others were made from shares most of its keys with most of them: such a one is put first.
     typical = shared.groupBy("cls").agg(F.sum("m").alias("weight"))
     ranked = shared.join(typical, "cls")
