@@ -7,7 +7,7 @@ from tamarisk.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_same_as_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "labels", "conversations"):
         con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     want = con.sql(queries.oracle_sql()[name])
     got = queries.queries()[name](spark, sf).select(*want.columns).collect()
