@@ -223,7 +223,7 @@ def _rows(batches: Iterator[pa.RecordBatch], *names: str, rows: int = 1024) -> I
         yield from zip(*(b.column(c).to_pylist() for c in names), strict=True)
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _segments(batches: Iterator[pa.RecordBatch], segment: int) -> Iterator[pa.RecordBatch]:
     """The sorted rows of a task -> conversations and segments of those that may reach beyond the task."""
     part = TaskContext.get().partitionId()
 
@@ -238,7 +238,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     nth += 1
                 now, before, cut = Segment(conv_id), None, now is None
             for _ in range(times):
-                if len(now.turns) == SEGMENT or now.bytes >= SEGMENT_BYTES:
+                if len(now.turns) == segment or now.bytes >= SEGMENT_BYTES:
                     yield now.record((part, nth), False)
                     now, nth, cut = Segment(conv_id), nth + 1, True
                 me = (turn, role, text)
@@ -376,14 +376,14 @@ def _joined(cut: DataFrame) -> DataFrame:
     )
 
 
-def repair(conversations: DataFrame) -> DataFrame:
+def repair(conversations: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """One row for each conv_id: (conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, sha256).
 
     ``conversations`` has (conv_id, turn, role, text, times), see ``damaged``; a row stands ``times`` times. Rows go by turn, nulls
     first, ties by role and text. Each row's first fault counts: blank, duplicate (role and text stand before in the
     conversation), truncated (no ``[.!?]`` at the end). Rows without a conv_id are one conversation; one all of whose rows are
     dropped has zeros, an empty audit and the hash of the empty string; an empty table gives no rows. Texts of any length are
-    read whole, within a segment's bytes at a time; a label string must fit in one value, 2 GB."""
+    read whole, within a segment's bytes at a time; a label string must fit in one value, 2 GB. ``segment`` is the most rows of one."""
     last = F.substring(F.rtrim("text", F.lit(" \t\n\x0b\x0c\r")), -1, 1)
     place = F.struct(F.col("turn").isNotNull().alias("known"), "turn")
     rows = conversations.select(
@@ -405,7 +405,7 @@ def repair(conversations: DataFrame) -> DataFrame:
     order = [F.asc_nulls_first("conv_id"), F.asc_nulls_first("turn"), F.asc("role")]
     # The last key deals out equal rows of one place.
     dealt = rows.repartitionByRange(*order, F.asc(F.substring("text", 1, 32)), F.asc(F.rand(7)))
-    found = materialize(dealt.sortWithinPartitions(*order, "text").mapInArrow(_segments, _ddl(_FOUND)))
+    found = materialize(dealt.sortWithinPartitions(*order, "text").mapInArrow(lambda b: _segments(b, segment), _ddl(_FOUND)))
     gaps = F.coalesce(F.col("high") - F.col("low") + 1 - F.col("turns"), F.lit(0)).alias("gaps")
     whole = found.where("whole").select("conv_id", gaps, *_COUNTS, "cost", "audit", "sha256")
     return whole.unionByName(_joined(found.where("not whole")))

@@ -355,3 +355,16 @@ def test_long_texts_are_hashed_part_by_part(monkeypatch):
     whole = features.words([text])
     monkeypatch.setattr(features, "PART", 1000)
     assert all((x == y).all() for x, y in zip(whole, features.words([text]), strict=True))
+
+
+def test_passages_whole_in_a_middle_document_only(spark):
+    """The first and the nearest documents hold halves, the one between them the whole passage."""
+    rnd = random.Random(1)
+    fill = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for g in range(40):
+        whole = fill(60)
+        for doc, part in ((5, whole[:30]), (7, whole[30:]), (200, whole[:30]), (210, whole[30:]), (100, whole), (300, whole)):
+            rows.append((1000 * g + doc, " ".join(fill(20) + part + fill(20))))
+    got = chain_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.source_id, r.n_words) for r in got) == [(1000 * g + 300, 1000 * g + 100, 60) for g in range(40)]
