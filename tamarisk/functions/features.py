@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from . import vocabulary as V
-from .similarity import ratio
 from .text import Name, column, fold_letters, normalize
 
 
@@ -167,25 +166,3 @@ def category(c: Name) -> Column:
     for name, words in V.CATEGORIES:
         kind = F.when(any_of(t, words), name) if kind is None else kind.when(any_of(t, words), name)
     return kind.otherwise(V.OTHER_CATEGORY)
-
-
-def repaired_brand(c: Name, brands: list[str], least: float = 85.0, tried: int = 12) -> Column:
-    """``known_brand``, and where the name holds none literally, the brand most like one of its first ``tried`` runs of three, two
-    or one words, from ``least`` on. The list is a constant."""
-    known = {b.lower(): b for b in brands}
-
-    @pandas_udf("string")
-    def run(names: pd.Series) -> pd.Series:
-        def one(name: str) -> str:
-            words = name.split()
-            runs = (" ".join(words[i : i + n]) for n in (3, 2, 1) for i in range(len(words) - n + 1))
-            for _, text in zip(range(tried), (x for x in runs if len(x) >= 4), strict=False):
-                score, best = max(((ratio(text, low), low) for low in known), default=(0.0, ""))
-                if score >= least:
-                    return known[best]
-            return ""
-
-        return names.map(one)
-
-    exact = known_brand(c, brands)
-    return F.when(exact != "", exact).otherwise(run(F.when(exact == "", normalize(c)).otherwise("")))

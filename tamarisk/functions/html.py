@@ -13,7 +13,21 @@ from pyspark.sql.functions import pandas_udf
 from .pricing import first_price
 from .text import Name, column, strip_tags
 
-PRODUCT = "struct<name:string,image:string,brand:string,sku:string,price:double,currency:string>"
+FIELDS = ("name", "image", "description", "brand", "sku", "price", "currency")
+PRODUCT = "struct<" + ",".join(f"{f}:{'double' if f == 'price' else 'string'}" for f in FIELDS) + ">"
+#: The lengths that fields are cut to, where a number is looked for, and currencies whose prices don't count.
+CUT = {"name": 250, "description": 1200, "brand": 80, "sku": 120}
+SKU_FIELDS = ("sku", "mpn", "productID", "gtin13", "gtin")
+FOREIGN = ("USD", "EUR", "GBP", "AED", "KWD", "BHD", "QAR", "OMR")
+META = {
+    "name": ("og:title", "twitter:title"),
+    "image": ("og:image", "twitter:image"),
+    "description": ("og:description", "twitter:description", "description"),
+    "brand": ("product:brand", "og:brand"),
+    "sku": ("product:retailer_item_id", "product:sku", "og:sku"),
+    "price": ("product:sale_price:amount", "product:price:amount", "og:price:amount"),
+    "currency": ("product:sale_price:currency", "product:price:currency", "og:price:currency"),
+}
 
 
 def meta(html: Name, name: str) -> Column:
@@ -33,75 +47,113 @@ def links(html: Name) -> Column:
     return F.array_distinct(F.regexp_extract_all(column(html), F.lit(r"""(?i)href=["']([^"'#]+)["']"""), F.lit(1)))
 
 
-def _products(node):
-    """Every object of type Product in a parsed JSON-LD block, at any depth."""
+def _objects(node):
+    """Every object of a parsed JSON-LD block, the outer before the inner."""
+    if isinstance(node, dict):
+        yield node
+        node = list(node.values())
     if isinstance(node, list):
         for x in node:
-            yield from _products(x)
-    elif isinstance(node, dict):
-        kind = node.get("@type")
-        if kind == "Product" or isinstance(kind, list) and "Product" in kind:
-            yield node
-        for x in node.values():
-            yield from _products(x)
+            yield from _objects(x)
 
 
 def _first(x):
     return x[0] if isinstance(x, list) and x else x
 
 
-def _fields(product: dict) -> tuple:
-    offer, image, brand = _first(product.get("offers")) or {}, _first(product.get("image")), product.get("brand")
-    image = image.get("url") if isinstance(image, dict) else image
-    brand = brand.get("name") if isinstance(brand, dict) else brand
+def _number(x) -> float | None:
+    """The first number in a value, if a price can be it."""
+    found = re.search(r"\d+\.?\d*", str(x).replace(",", "")) if x is not None else None
+    value = float(found[0]) if found else 0.0
+    return value if 0 < value < 1_000_000 else None
+
+
+def _offered(product: dict) -> tuple | None:
+    """Fields of an object that is a product with a price in a currency that counts."""
+    offer = _first(product.get("offers"))
     offer = offer if isinstance(offer, dict) else {}
-    try:
-        price = float(str(offer.get("price", offer.get("lowPrice", ""))).replace(",", ""))
-    except ValueError:
-        price = None
-    cut = lambda x, n: str(x)[:n] if x not in (None, "") else None
-    return cut(product.get("name"), 250), cut(image, 1200), cut(brand, 120), cut(product.get("sku"), 80), price, offer.get("priceCurrency")
+    currency = str(offer.get("priceCurrency") or "").upper()
+    price = _number(offer.get("price")) or _number(offer.get("lowPrice"))
+    if "Product" not in str(product.get("@type", "")) or price is None or currency in FOREIGN:
+        return None
+    image, brand = _first(product.get("image")), product.get("brand")
+    found = {
+        "name": product.get("name"),
+        "image": image.get("url") if isinstance(image, dict) else image,
+        "description": product.get("description"),
+        "brand": brand.get("name") if isinstance(brand, dict) else brand,
+        "sku": next((product[k] for k in SKU_FIELDS if product.get(k)), None),
+    }
+    texts = (str(v or "").strip()[: CUT.get(k)] or None for k, v in found.items())
+    return (*texts, price, currency or None)
 
 
 def json_ld(html: Name) -> Column:
-    """The first JSON-LD product of a page, as a struct; nulls where it says nothing."""
-    names = ["name", "image", "brand", "sku", "price", "currency"]
+    """The first priced product of a page's JSON-LD blocks, at any depth, as a struct of ``FIELDS``; nulls where it says nothing."""
 
     @pandas_udf(PRODUCT)
     def run(s: pd.Series) -> pd.DataFrame:
         block = re.compile(r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>""")
         rows = []
         for page in s:
-            row = (None,) * len(names)
+            row = None
             for text in block.findall(page or ""):
                 try:
-                    found = next(_products(json.loads(text)), None)
+                    parsed = json.loads(text)
                 except ValueError:
                     continue
-                if found is not None:
-                    row = _fields(found)
+                row = next(filter(None, map(_offered, _objects(parsed))), None)
+                if row is not None:
                     break
-            rows.append(row)
-        return pd.DataFrame(rows, columns=names)
+            rows.append(row or (None,) * len(FIELDS))
+        return pd.DataFrame(rows, columns=FIELDS)
 
     return run(column(html))
 
 
-def product(html: Name, currency: str = "SAR") -> Column:
-    """Name, image, brand and price from JSON-LD, else meta tags, else title and text. Prices of other currencies are null."""
-    ld = json_ld(html)
-    known = F.upper(F.coalesce(ld["currency"], meta(html, "product:price:currency"), F.lit(currency))) == currency
-    price = F.coalesce(ld["price"], first_price(meta(html, "product:price:amount")))
+def meta_product(html: Name) -> Column:
+    """What a page's meta tags say of a product, as ``json_ld``; of several tags for a field the first in ``META`` that isn't empty,
+    and no price in a foreign currency."""
+    found = {k: F.coalesce(*(meta(html, tag) for tag in tags)) for k, tags in META.items()}
+    currency = F.upper(found["currency"])
+    amounts = [first_price(meta(html, tag)) for tag in META["price"]]
+    price = F.coalesce(*(F.when((a > 0) & (a < 1_000_000), a) for a in amounts))
+    texts = [F.nullif(F.trim(found[k] if k not in CUT else F.substring(found[k], 1, CUT[k])), F.lit("")).alias(k) for k in FIELDS[:5]]
+    return F.struct(*texts, F.when(~F.coalesce(currency.isin(*FOREIGN), F.lit(False)), price).alias("price"), currency.alias("currency"))
+
+
+def product(html: Name) -> Column:
+    """Fields of a page's product from JSON-LD if it has a price there, else from meta tags; name and image also without a price, the
+    name at last from headings. ``currency`` is SAR where a price has none."""
+    ld, tags = json_ld(html), meta_product(html)
+    fields = [F.coalesce(ld[k], F.when(ld["price"].isNull(), tags[k])).alias(k) for k in FIELDS[2:5]]
+    price = F.coalesce(ld["price"], tags["price"])
+    currency = F.when(ld["price"].isNotNull(), F.coalesce(ld["currency"], F.lit("SAR"))).otherwise(F.coalesce(tags["currency"], F.lit("SAR")))
     return F.struct(
-        F.coalesce(ld["name"], meta(html, "og:title"), tag_text(html, "h1"), tag_text(html, "title")).alias("name"),
-        F.coalesce(ld["image"], meta(html, "og:image")).alias("image"),
-        F.coalesce(ld["brand"], meta(html, "product:brand")).alias("brand"),
-        F.when(known & (price > 0), price).alias("price"),
+        F.coalesce(ld["name"], tags["name"], tag_text(html, "h1"), tag_text(html, "title")).alias("name"),
+        F.coalesce(ld["image"], tags["image"]).alias("image"),
+        *fields,
+        price.alias("price"),
+        F.when(price.isNotNull(), currency).alias("currency"),
     )
 
 
 def lenient_json(c: Name) -> Column:
-    """The first JSON object or array in a text, up to the last closing bracket, as a string; null if that is no JSON. Code fences
-    and what stands around it don't matter."""
-    inner = F.regexp_extract(F.coalesce(column(c), F.lit("")), r"(?s)(\{.*\}|\[.*\])", 1)
-    return F.when((inner != "") & F.try_parse_json(inner).isNotNull(), inner)
+    """The first JSON object or array in a text, as it stands there, up to the bracket that closes it; null if there is none. Code
+    fences and what stands around it, further objects and brackets included, don't matter."""
+
+    @pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        read = json.JSONDecoder().raw_decode
+
+        def one(text: str | None) -> str | None:
+            for m in re.finditer(r"[\[{]", text or ""):
+                try:
+                    return text[m.start() : read(text, m.start())[1]]
+                except ValueError:
+                    continue
+            return None
+
+        return s.map(one)
+
+    return run(column(c))

@@ -16,6 +16,9 @@ from ..functions import features as X
 from ..functions import vocabulary as V
 from ..functions.similarity import similarity
 from ..functions.text import normalize, normalize_name
+from ..session import written
+from .brand_index import with_brand
+from .name_search import most_similar
 
 #: Parts into which the offers of every brand are dealt; our products go to each.
 SALT = 16
@@ -26,40 +29,44 @@ def indexed(
     name: str = "name",
     price: str = "price",
     brand: str | None = "brand",
-    brands: Sequence[str] = (),
+    brands: DataFrame | None = None,
     synonyms: dict[str, str] | None = None,
     variants: Sequence[tuple[str, ...]] = (),
 ) -> DataFrame:
     """Add what matching reads of a product: agg, brand_key, size_ml, kind, gender_key, class, line, numbers, variant_key, required,
-    in_set, care, sample, amount, product. The brand is that of the column, else the one that the name holds (``brands``)."""
+    in_set, care, sample, amount, product. The brand is that of the column, else the one that the name holds or comes near to, of
+    ``brands`` (ordinal, brand). Names are looked at once for each brand that they have, however many rows have them."""
     own = F.coalesce(F.trim(F.col(brand)), F.lit("")) if brand else F.lit("")
-    found = F.when(own != "", own).otherwise(X.repaired_brand(name, list(brands)) if brands else F.lit(""))
-    t = F.lower(F.coalesce(F.col(name), F.lit("")))
-    has = [X.any_of(t, words) for words in variants]
-    needs = [F.when(X.any_of(t, words), F.lit(i)) for i, words in enumerate(V.REQUIRED_WORDS)]
-    # Lines are made by a Python function, once for each distinct name and brand.
-    lines = df.select(F.col(name).alias("_n"), found.alias("_b")).distinct()
-    lines = lines.select("_n", "_b", X.product_line("_n", "_b", synonyms).alias("line"), normalize_name("_n", synonyms).alias("agg"))
-    lines = lines.withColumn("brand_key", F.lower(normalize("_b", synonyms)))
-    out = df.withColumns(
+    names = df.select(F.col(name).alias("_n"), own.alias("_own")).distinct()
+    names = with_brand(names, "_n", brands) if brands is not None else names.withColumn("found_brand", F.lit(""))
+    names = names.withColumn("_b", F.when(F.col("_own") != "", F.col("_own")).otherwise(F.col("found_brand")))
+    # Classes look at a text many times, so it is made once, in a step of its own.
+    names = names.withColumns({"_t": F.lower(F.coalesce(F.col("_n"), F.lit(""))), "_class": X.class_text("_n")})
+    has = [X.any_of(F.col("_t"), words) for words in variants]
+    needs = [F.when(X.any_of(F.col("_t"), words), F.lit(i)) for i, words in enumerate(V.REQUIRED_WORDS)]
+    names = names.withColumns(
         {
-            "_b": found,
-            "size_ml": X.size_ml(name),
-            "kind": X.concentration(name),
-            "gender_key": X.gender(name),
-            "class": X.product_class(name),
-            "numbers": X.product_numbers(name),
+            "agg": normalize_name("_n", synonyms),
+            "brand_key": F.lower(normalize("_b", synonyms)),
+            "size_ml": X.size_ml("_n"),
+            "kind": X.concentration("_n"),
+            "gender_key": X.gender("_n"),
+            "class": X.class_of("_class"),
+            "line": X.product_line("_n", "_b", synonyms),
+            "numbers": X.product_numbers("_n"),
             "variant_key": F.concat_ws("", *(F.when(h, "1").otherwise("0") for h in has)) if has else F.lit(""),
             "required": F.array_compact(F.array(*needs)),
-            "in_set": X.any_of(t, V.SET_NAMES),
-            "care": X.any_of(t, V.CARE_NAMES),
-            "sample": X.is_sample(name),
-            "amount": F.coalesce(F.col(price).cast("double"), F.lit(0.0)),
+            "in_set": X.any_of(F.col("_t"), V.SET_NAMES),
+            "care": X.any_of(F.col("_t"), V.CARE_NAMES),
+            "sample": X.is_sample("_n"),
         }
     )
-    out = out.alias("o").join(lines.alias("l"), F.col(f"o.{name}").eqNullSafe(F.col("l._n")) & (F.col("o._b") == F.col("l._b")), "left")
-    out = out.select(*(F.col(f"o.{c}") for c in df.columns), *(c for c in (*FEATURES, "amount")))
-    return out.withColumn("product", F.md5(F.to_json(F.struct(*FEATURES))))
+    # Written once: both the matching and its guards read them several times.
+    names = written(names.select("_n", "_own", *FEATURES, F.md5(F.to_json(F.struct(*FEATURES))).alias("product")))
+    amount = F.coalesce(F.col(price).cast("double"), F.lit(0.0))
+    rows = df.withColumns({"_of": own, "amount": amount}).alias("o")
+    rows = rows.join(names.alias("l"), F.col(f"o.{name}").eqNullSafe(F.col("l._n")) & (F.col("o._of") == F.col("l._own")), "left")
+    return rows.select(*(F.col(f"o.{c}") for c in df.columns), *(F.col(f"l.{c}") for c in FEATURES), "o.amount", "l.product")
 
 
 #: What ``indexed`` adds besides the price (amount) and a key of all of it (product).
@@ -195,34 +202,53 @@ def critical_difference(a: str, b: str) -> Column:
     )
 
 
+#: Shares of the search score, of the whole names and of the lines in a challenge's score.
+CHALLENGE = (0.3, 0.45, 0.25)
+
+
 def challenged(ours: DataFrame, theirs: DataFrame, n: int = 5, confirm: float = 88.0, review: float = 65.0) -> DataFrame:
-    """Every row of ``theirs`` (offer_id) once: of its ``n`` most similar products of the same brand, the first that has no critical
-    difference; composite score, verdict (confirmed, review, none) and, where all were refused, the first one's reason."""
+    """Every row of ``theirs`` (offer_id) once: of its ``n`` most similar products of the same brand by the weighted ratio (40 or
+    more), the first that has no critical difference and a composite score of ``review`` or more, else the first of all, with the
+    reason it is refused for; verdict: confirmed, review or none. Genders that differ keep a match from being confirmed.
+
+    The ``n`` products are among those of the ``n`` most similar names, of each the first ``n``: only names are searched."""
     columns = (*FEATURES, "product")
     left = theirs.where("brand_key <> ''").select(*(F.col(c).alias(f"their_{c}") for c in columns)).distinct()
     # Of equal products of ours the first stands for all.
-    right = ours.groupBy(*columns).agg(F.min("our_id").alias("our_id"))
+    right = ours.where("brand_key <> ''").groupBy(*columns).agg(F.min("our_id").alias("our_id"))
+    nth = F.row_number().over(Window.partitionBy("brand_key", "agg").orderBy("our_id"))
+    right = right.withColumn("of_name", nth).where(F.col("of_name") <= n)
+    names = right.where("of_name = 1").select("brand_key", F.col("agg").alias("our_name"), F.col("our_id").alias("first_id"))
+    asking = left.select(F.col("their_brand_key").alias("brand_key"), F.col("their_agg").alias("name")).distinct()
+    near = most_similar(asking, names, n).select("brand_key", "name", "our_name", F.col("score").alias("base"))
+    near = near.join(right.withColumnsRenamed({"agg": "our_name"}).select("brand_key", "our_name", "our_id"), ["brand_key", "our_name"])
+    order = Window.partitionBy("brand_key", "name").orderBy(F.desc("base"), "our_id")
+    near = near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= n)
     right = right.select("our_id", *(F.col(c).alias(f"our_{c}") for c in columns))
-    pairs = left.join(right, F.col("their_brand_key") == F.col("our_brand_key"))
-    pairs = pairs.withColumn("base", similarity("our_agg", "their_agg", "weighted"))
-    order = Window.partitionBy("their_product").orderBy(F.desc("base"), "our_id")
-    top = pairs.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= n)
-    top = top.withColumns(
-        {
-            "why": critical_difference("our_", "their_"),
-            "bare": similarity("our_agg", "their_agg", "token_sort"),
-            "line": similarity("our_line", "their_line", "token_sort"),
-        }
-    )
-    score = F.round(0.3 * F.col("base") + 0.45 * F.col("bare") + 0.25 * F.col("line"), 2)
-    best = top.groupBy(F.col("their_product").alias("product")).agg(
-        F.min(F.when(F.col("why").isNull(), F.struct("nth", score.alias("score"), "our_id"))).alias("b"),
-        F.min(F.struct("nth", "why")).alias("first"),
-    )
+    top = left.join(near, (F.col("their_brand_key") == F.col("brand_key")) & (F.col("their_agg") == F.col("name"))).drop("brand_key", "name", "our_name")
+    top = top.join(right, "our_id").withColumn("why", critical_difference("our_", "their_"))
+    # Names and lines are scored once for each distinct pair.
+    agg, line = ["our_agg", "their_agg"], ["our_line", "their_line"]
+    whole = top.select(*agg).distinct().withColumn("bare", similarity(*agg, "score_names"))
+    lines = top.where("our_line <> '' and their_line <> ''").select(*line).distinct().withColumn("inner", similarity(*line, "score_names"))
+    top = top.join(whole, agg).join(lines, line, "left")
+    score = F.round(CHALLENGE[0] * F.col("base") + CHALLENGE[1] * F.col("bare") + CHALLENGE[2] * F.coalesce("inner", "base"), 2)
+    clash = (F.col("our_gender_key") != "") & (F.col("their_gender_key") != "") & (F.col("our_gender_key") != F.col("their_gender_key"))
+    item = F.struct("nth", "our_id", score.alias("score"), clash.alias("clash"))
+    taken = F.col("why").isNull() & (score >= review)
+    # What the first of all comes to where none is taken: refused, it keeps its search score.
+    lone = F.struct("nth", "our_id", F.when(F.col("why").isNull(), score).otherwise(F.col("base")).alias("score"), "why")
+    best = top.groupBy(F.col("their_product").alias("product")).agg(F.min(F.when(taken, item)).alias("b"), F.min(lone).alias("first"))
     rows = theirs.select("offer_id", "product").join(best, "product", "left")
-    s = F.coalesce("b.score", F.lit(0.0))
-    verdict = F.when(s >= confirm, "confirmed").when(s >= review, "review").otherwise("none")
-    return rows.select("offer_id", F.col("b.our_id").alias("our_id"), s.alias("score"), verdict.alias("verdict"), F.when(F.col("b").isNull(), F.col("first.why")).alias("reason"))
+    s = F.coalesce("b.score", "first.score", F.lit(0.0))
+    verdict = F.when((s >= confirm) & F.col("b").isNotNull() & ~F.col("b.clash"), "confirmed").when(s >= review, "review").otherwise("none")
+    return rows.select(
+        "offer_id",
+        F.when(s >= review, F.coalesce("b.our_id", "first.our_id")).alias("our_id"),
+        s.alias("score"),
+        verdict.alias("verdict"),
+        F.when(F.col("b").isNull(), F.col("first.why")).alias("reason"),
+    )
 
 
 def structural(found: DataFrame, certain: float = 85.0, maybe: float = 70.0) -> DataFrame:

@@ -54,10 +54,41 @@ def price_pairs(history: DataFrame, as_of: str, days: int) -> DataFrame:
     )
 
 
+#: Ids of a product and store that share a bucket.
+BUCKET = 100_000
+
+
+def _earlier_extremes(history: DataFrame) -> DataFrame:
+    """``history`` with the lowest and highest price (lo, hi) of smaller ids of the same product and store. A long history is looked at
+    in buckets of ids: extremes within each, and those of the buckets before from one row a bucket."""
+    keys = ["product_id", "store"]
+    rows = history.withColumn("bucket", F.floor(F.col("id") / BUCKET))
+    before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    whole = rows.groupBy(*keys, "bucket").agg(F.min("price").alias("l"), F.max("price").alias("h"))
+    whole = whole.select(*keys, "bucket", F.min("l").over(before).alias("lo_"), F.max("h").over(before).alias("hi_"))
+    inner = Window.partitionBy(*keys, "bucket").orderBy("id").rangeBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"lo": F.min("price").over(inner), "hi": F.max("price").over(inner)}).join(whole, [*keys, "bucket"])
+    return rows.withColumns({"lo": F.least("lo", "lo_"), "hi": F.greatest("hi", "hi_")}).drop("lo_", "hi_", "bucket")
+
+
 def price_changes(history: DataFrame, as_of: str, days: int, limit: int = 100) -> DataFrame:
-    """The ``limit`` largest of ``price_pairs``."""
-    found = price_pairs(history, as_of, days)
-    return found.orderBy(F.abs("change").desc(), "new_id", "old_id").limit(limit)
+    """The ``limit`` largest of ``price_pairs``, without making all pairs; ties go to the smaller new_id, old_id, product and store.
+
+    A recent record's largest change is that to an extreme of the records before it. A pair among the ``limit`` largest belongs to one
+    of the ``limit`` recent records with the largest changes, so only these meet the records of their product and store."""
+    size = lambda a, b: F.abs(F.round(F.col(a) - F.col(b), 2))
+    differs = lambda a, b: F.abs(F.col(a) - F.col(b)) > 0.01
+    recent = F.col("day") >= F.date_sub(F.lit(as_of).cast("date"), days)
+    most = F.greatest(*(F.when(differs("price", c), size("price", c)) for c in ("lo", "hi")))
+    ends = _earlier_extremes(history).where(recent).withColumn("most", most).where("most is not null")
+    order = (F.desc("most"), F.asc("id"), F.asc("product_id"), F.asc("store"))
+    tops = ends.select("product_id", "store", F.col("id").alias("new_id"), F.col("price").alias("new_price"), "most", "id")
+    tops = tops.orderBy(*order).limit(limit).drop("most", "id")
+    pairs = history.join(F.broadcast(tops), ["product_id", "store"]).where((F.col("new_id") > F.col("id")) & differs("new_price", "price"))
+    change = F.round(F.col("new_price") - F.col("price"), 2).alias("change")
+    found = pairs.select("product_id", "store", "new_id", F.col("id").alias("old_id"), change)
+    return found.orderBy(F.abs("change").desc(), "new_id", "old_id", "product_id", "store").limit(limit)
+
 
 
 def failure_runs(events: DataFrame, keys: list[str], order: list[str], failed: Column, trip: int) -> DataFrame:

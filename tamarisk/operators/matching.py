@@ -1,7 +1,6 @@
 """Entity resolution: which offers are which catalogue product.
 
-Names become features once; blocking is an equi-join on tokens, skeletons and names; only distinct pairs of names are scored;
-guards are plain expressions; the best candidate is an aggregate. Every input row gets exactly one outcome.
+Names become features once; candidates share near words (``name_join``); only distinct pairs of names are scored; guards are plain expressions; the best candidate is an aggregate. Every input row gets exactly one outcome.
 """
 
 from __future__ import annotations
@@ -15,49 +14,31 @@ from ..functions import features as X
 from ..functions import vocabulary as V
 from ..functions.keys import canonical_url
 from ..functions.similarity import similarity
-from ..functions.text import bare_tokens, block_skeletons, block_tokens, key_text
+from ..functions.text import bare_tokens, key_text
+from .name_join import candidates
 
 
 def featured(df: DataFrame, name: str, brands: list[str] | None = None, brand: str | None = None) -> DataFrame:
-    """Add the columns that matching reads: bare, tokens, skeletons, brand_key, size_ml, gender_key. Names are looked at once, however
-    many rows have them."""
+    """Add the columns that matching reads: bare, brand_key, size_ml, gender_key. Names are looked at once, however many rows have
+    them."""
     own = F.col(brand).cast("string") if brand else F.lit(None).cast("string")
     names = df.select(F.col(name).alias("_n"), own.alias("_own")).distinct()
     b = X.known_brand("_n", brands) if brands else F.lit("")
     if brand:
         b = F.when(b == "", F.coalesce("_own", F.lit(""))).otherwise(b)
-    names = names.withColumn("_words", bare_tokens("_n")).withColumns(
-        {"bare": F.array_join("_words", " "), "brand_key": key_text(b), "size_ml": X.size_ml("_n"), "gender_key": X.gender("_n")}
+    names = names.withColumns(
+        {"bare": F.array_join(bare_tokens("_n"), " "), "brand_key": key_text(b), "size_ml": X.size_ml("_n"), "gender_key": X.gender("_n")}
     )
-    names = names.withColumns({"tokens": block_tokens("_words"), "skeletons": block_skeletons("_words")}).drop("_words")
     same = df[name].eqNullSafe(names["_n"])
     if brand:
         same &= df[brand].cast("string").eqNullSafe(names["_own"])
     return df.join(names, same, "left").drop("_n", "_own")
 
 
-def _block_keys(df: DataFrame) -> DataFrame:
-    keys = F.concat(
-        F.transform("tokens", lambda t: F.concat(F.lit("t:"), t)),
-        F.transform("skeletons", lambda t: F.concat(F.lit("s:"), t)),
-        F.array(F.concat(F.lit("n:"), F.col("bare"))),
-    )
-    return df.select("bare", "brand_key", F.explode(F.array_distinct(keys)).alias("block")).distinct()
-
-
-def candidate_names(offers: DataFrame, ours: DataFrame) -> DataFrame:
-    """Distinct (bare, our_bare) pairs of names that share a blocking key and whose brands don't differ."""
-    left, right = _block_keys(offers), _block_keys(ours)
-    right = right.select("block", F.col("bare").alias("our_bare"), F.col("brand_key").alias("our_brand"))
-    pair = left.join(right, "block")
-    same = (F.col("brand_key") == "") | (F.col("our_brand") == "") | (F.col("brand_key") == F.col("our_brand"))
-    return pair.where(same).select("bare", "brand_key", "our_bare", "our_brand").distinct()
-
-
 def best_match(offers: DataFrame, ours: DataFrame, kernel: str = "token_set", least: float = 0.0) -> DataFrame:
     """``offers`` (offer_id, features) with score and the best catalogue row (our_id and its features): the highest score, then
     the lowest our_id. Rows without a candidate keep nulls."""
-    pairs = candidate_names(offers, ours)
+    pairs = candidates(offers, ours, least)
     scored = pairs.withColumn("score", F.round(similarity("bare", "our_bare", kernel), 4)).where(F.col("score") >= least)
     item = F.struct("our_id", F.col("size_ml").alias("our_size"), F.col("gender_key").alias("our_gender"))
     # Of catalogue rows with one name and brand, the first stands for all.

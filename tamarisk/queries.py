@@ -14,9 +14,11 @@ from .functions import features as X
 from .functions import keys as K
 from .functions import pricing as P
 from .functions import text as T
-from .functions.html import product, tag_text
+from .functions.html import lenient_json, product, tag_text
 from .functions.similarity import jaccard, similarity
+from .functions.synonyms import replaced, term_table
 from .operators import aggregates as A
+from .operators import brand_index
 from .operators import brand_matching as B
 from .operators import export as E
 from .operators import filters as Fl
@@ -236,6 +238,15 @@ def price_change_sizes(spark: SparkSession, d: str) -> DataFrame:
     return pairs.groupBy(F.abs("change").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("size")).limit(20)
 
 
+@query(
+    f"""WITH {OFFERS} SELECT n.product_id, n.store, n.id AS new_id, o.id AS old_id, round(n.price - o.price, 2) AS change
+    FROM offers n JOIN offers o ON n.product_id = o.product_id AND n.store = o.store AND n.id > o.id AND abs(n.price - o.price) > 0.01
+    WHERE n.seen >= DATE '{AS_OF}' - 200 ORDER BY abs(change) DESC, 3, 4, 1, 2 LIMIT 100"""
+)
+def largest_price_changes(spark: SparkSession, d: str) -> DataFrame:
+    return H.price_changes(offers(spark, d).withColumn("day", F.col("seen")), AS_OF, 200)
+
+
 @query(
     f"""WITH {OFFERS}, t AS (SELECT product_id, store, seen AS day, max(price) AS price FROM offers GROUP BY 1, 2, 3), c AS (
     SELECT *, lag(price) OVER (PARTITION BY product_id, store ORDER BY day) AS previous FROM t)
@@ -421,11 +432,44 @@ def match_waterfall(spark: SparkSession, d: str) -> DataFrame:
     return M.waterfall(theirs, ours, {"sku": ("sku_key", "sku_key"), "name": ("name_key", "name_key")}).select("offer_id", "our_id", "layer")
 
 
-#: Store offers with the sold quantity as their size, against the catalogue with its own sizes.
-LABELLED = """ours AS (SELECT p_name, p_brand, min(p_partkey) AS our_id FROM part GROUP BY 1, 2), labelled AS (
-  SELECT l_orderkey * 10 + l_linenumber AS offer_id, l_partkey, CAST(l_quantity AS BIGINT) AS ml, s_name AS store, o.our_id, m.p_size, p.p_brand AS brand,
-  l_extendedprice / l_quantity AS price, p.p_name AS name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
-  JOIN part p ON p.p_partkey = l_partkey JOIN ours o ON o.p_name = p.p_name AND o.p_brand = p.p_brand JOIN part m ON m.p_partkey = o.our_id)"""
+#: Store offers with the sold quantity as their size; by the order, some names are misspelt, shortened, unknown or of another first
+#: word.
+LABELLED = """labelled AS (
+  SELECT l_orderkey * 10 + l_linenumber AS offer_id, l_partkey, CAST(l_quantity AS BIGINT) AS ml, s_name AS store, p_brand AS brand,
+  l_extendedprice / l_quantity AS price, CASE l_orderkey % 8 WHEN 3 THEN substr(p_name, 1, 2) || substr(p_name, 4)
+  WHEN 4 THEN split_part(p_name, ' ', 1) WHEN 5 THEN reverse(p_name) WHEN 6 THEN 'violet ' || split_part(p_name, ' ', 2) ELSE p_name END AS name
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON p_partkey = l_partkey)"""
+
+#: The token set ratio of all pairs of names with near words: equal ones, or such that lose one letter each. The longest common
+#: subsequence goes row by row through a list.
+LCS = """list_last(list_reduce(q, lambda acc, ch: list_transform(range(0, len(p) + 1), lambda j: CASE WHEN j = 0 THEN 0 ELSE
+  list_max(list_transform(range(1, j + 1), lambda i: greatest(acc[i + 1], CASE WHEN p[i] = ch[1] THEN acc[i] + 1 ELSE 0 END))) END),
+  list_transform(range(0, len(p) + 1), lambda _: CAST(0 AS BIGINT))))"""
+SCORED = """lists AS (SELECT n AS name, string_split(n, ' ') AS ws, flatten(list_transform(string_split(n, ' '), lambda w: list_concat(['w:' || w],
+  CASE WHEN length(w) >= 3 THEN list_concat(['d:' || w], list_transform(range(1, length(w) + 1), lambda i: 'd:' || substr(w, 1, i - 1) || substr(w, i + 1)))
+  ELSE [] END))) AS forms FROM (SELECT name AS n FROM labelled UNION SELECT p_name FROM part)),
+  near AS (SELECT a.name, b.name AS our_name, list_sort(list_intersect(a.ws, b.ws)) AS c, list_sort(list_filter(a.ws, lambda w: NOT list_contains(b.ws, w))) AS x,
+  list_sort(list_filter(b.ws, lambda w: NOT list_contains(a.ws, w))) AS y FROM lists a JOIN lists b ON list_has_any(a.forms, b.forms)
+  WHERE a.name IN (SELECT name FROM labelled) AND b.name IN (SELECT p_name FROM part)),
+  sides AS (SELECT *, array_to_string(c, ' ') AS b, array_to_string(list_concat(c, x), ' ') AS l, array_to_string(list_concat(c, y), ' ') AS r FROM near),
+  spelt AS (SELECT *, list_transform(range(1, length(l) + 1), lambda i: CAST(ascii(substr(l, i, 1)) AS BIGINT)) AS p,
+  list_transform(range(1, length(r) + 1), lambda i: [CAST(ascii(substr(r, i, 1)) AS BIGINT)]) AS q FROM sides),
+  measured AS (SELECT *, """ + LCS + """ AS lcs FROM spelt),
+  scored AS (SELECT name, our_name, round(CASE WHEN len(c) > 0 AND (len(x) = 0 OR len(y) = 0) THEN 100.0 ELSE greatest(200.0 * lcs / (length(l) + length(r)),
+  CASE WHEN len(c) > 0 THEN 200.0 * length(b) / (length(b) + least(length(l), length(r))) ELSE 0.0 END) END, 4)::DOUBLE AS score FROM measured)"""
+
+
+def _best_sql(key: str, given: str) -> str:
+    """For every name (and brand) the best score, then the smallest id of ours."""
+    return f"""best AS (SELECT {given}, score, our_id, p_size AS our_size FROM (SELECT DISTINCT {given} FROM labelled) g JOIN scored USING (name)
+  JOIN (SELECT {key}, min(p_partkey) AS our_id FROM part GROUP BY ALL) o ON o.p_name = our_name {"AND o.p_brand = brand" if "brand" in given else ""}
+  JOIN part ON p_partkey = our_id QUALIFY row_number() OVER (PARTITION BY {given} ORDER BY score DESC, our_id) = 1)"""
+
+
+RESOLVED = f"""{LABELLED}, {SCORED}, {_best_sql("p_name, p_brand", "name, brand")}, resolved AS (SELECT l.*, coalesce(score, 0.0) AS score, our_id,
+  CASE WHEN score >= 82 AND abs(ml - our_size) <= 8 THEN 'owned' WHEN score >= 65 THEN 'review' ELSE 'missing' END AS ownership,
+  CASE WHEN score >= 82 AND abs(ml - our_size) <= 8 THEN '' WHEN score >= 82 THEN 'size' WHEN score >= 65 THEN 'unverified' ELSE '' END AS reason
+  FROM labelled l LEFT JOIN best b USING (name, brand))"""
 
 
 def _labelled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -434,9 +478,18 @@ def _labelled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     stores = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("store"))
     sized = lambda name, size: F.concat_ws(" ", name, F.concat(F.col(size).cast("long").cast("string"), F.lit("ml"))).alias("name")
     names = parts.select(F.col("p_partkey").alias("l_partkey"), "p_name", F.col("p_brand").alias("brand"))
-    theirs = lines.join(stores, "l_suppkey").join(names, "l_partkey").select(
+    theirs = lines.join(stores, "l_suppkey").join(names, "l_partkey")
+    kind, first, second = F.col("l_orderkey") % 8, F.split("p_name", " ")[0], F.split("p_name", " ")[1]
+    written = (
+        F.when(kind == 3, F.concat(F.substring("p_name", 1, 2), F.substring("p_name", 4, 1000)))
+        .when(kind == 4, first)
+        .when(kind == 5, F.reverse("p_name"))
+        .when(kind == 6, F.concat(F.lit("violet "), second))
+        .otherwise(F.col("p_name"))
+    )
+    theirs = theirs.withColumn("written", written).select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("offer_id"),
-        sized("p_name", "l_quantity"),
+        sized("written", "l_quantity"),
         "brand",
         "store",
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
@@ -445,10 +498,7 @@ def _labelled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return ours, theirs
 
 
-@query(
-    f"""WITH {LABELLED} SELECT offer_id, 100.0::DOUBLE AS score, our_id, CASE WHEN abs(ml - p_size) <= 8 THEN 'owned' ELSE 'review' END AS ownership,
-    CASE WHEN abs(ml - p_size) <= 8 THEN '' ELSE 'size' END AS reason FROM labelled"""
-)
+@query(f"WITH {RESOLVED} SELECT offer_id, score, our_id, ownership, reason FROM resolved")
 def resolved_offers(spark: SparkSession, d: str) -> DataFrame:
     ours, theirs = _labelled(spark, d)
     found = M.resolve(M.featured(theirs, "name", brand="brand"), M.featured(ours, "name", brand="brand"))
@@ -456,11 +506,10 @@ def resolved_offers(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {LABELLED}, k AS (SELECT lower(trim(p_name)) || ' ' || p_size || 'ml' AS key, min(p_partkey) AS id FROM part GROUP BY 1), names AS (
-    SELECT p_name, min(p_partkey) AS id FROM part GROUP BY 1), r AS (SELECT offer_id, k.id AS named, n.id AS other, ml, m.p_size FROM labelled l
-    LEFT JOIN k ON k.key = lower(trim(l.name)) || ' ' || ml || 'ml' JOIN names n ON n.p_name = l.name JOIN part m ON m.p_partkey = n.id)
-    SELECT offer_id, coalesce(named, other) AS our_id, 100.0::DOUBLE AS score, CASE WHEN named IS NOT NULL OR abs(ml - p_size) <= 2 THEN 'matched' ELSE 'review' END AS status,
-    CASE WHEN named IS NOT NULL THEN 'name' ELSE 'fuzzy' END AS layer FROM r"""
+    f"""WITH {LABELLED}, {SCORED}, {_best_sql("p_name", "name")}, k AS (SELECT p_name || ' ' || p_size || 'ml' AS key, min(p_partkey) AS id FROM part GROUP BY 1)
+    SELECT offer_id, coalesce(id, our_id) AS our_id, CASE WHEN id IS NOT NULL THEN 100.0 ELSE coalesce(score, 0.0) END AS score,
+    CASE WHEN id IS NOT NULL OR (score >= 90 AND abs(ml - our_size) <= 2) THEN 'matched' WHEN score >= 65 THEN 'review' ELSE 'missing' END AS status,
+    CASE WHEN id IS NOT NULL THEN 'name' ELSE 'fuzzy' END AS layer FROM labelled l LEFT JOIN k ON key = name || ' ' || ml || 'ml' LEFT JOIN best USING (name)"""
 )
 def closed_loop(spark: SparkSession, d: str) -> DataFrame:
     ours, theirs = (M.keyed(x.withColumns({"sku": F.lit(""), "url": F.lit("")}), "sku", "url", "name") for x in _labelled(spark, d))
@@ -468,8 +517,8 @@ def closed_loop(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {LABELLED}, t AS (SELECT CASE WHEN price > 0 AND (price < 20 OR price > 15000) THEN 'price' WHEN length(name || ' ' || ml || 'ml') < 8 THEN 'short'
-    WHEN ml = 0 THEN 'nosize' WHEN ml < 10 THEN 'mini' WHEN abs(ml - p_size) <= 8 THEN 'owned' ELSE 'review' END AS outcome FROM labelled)
+    f"""WITH {RESOLVED}, t AS (SELECT CASE WHEN price > 0 AND (price < 20 OR price > 15000) THEN 'price' WHEN length(name || ' ' || ml || 'ml') < 8 THEN 'short'
+    WHEN ml = 0 THEN 'nosize' WHEN ml < 10 THEN 'mini' ELSE ownership END AS outcome FROM resolved)
     SELECT outcome, count(*) AS n FROM t GROUP BY 1"""
 )
 def missing_accounting(spark: SparkSession, d: str) -> DataFrame:
@@ -477,17 +526,62 @@ def missing_accounting(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {LABELLED}, t AS (SELECT * FROM labelled WHERE NOT (price > 0 AND (price < 20 OR price > 15000)) AND length(name || ' ' || ml || 'ml') >= 8
-    AND ml >= 10 AND abs(ml - p_size) > 8), e AS (SELECT lower(brand) AS brand_key, name AS bare, store, min(price) AS price, count(*) AS n FROM t GROUP BY ALL)
-    SELECT brand_key, bare, 'review' AS confidence, count(*) AS store_count, sum(n)::BIGINT AS offer_count, min(price) AS min_price, max(price) AS max_price FROM e GROUP BY 1, 2"""
+    f"""WITH {RESOLVED}, t AS (SELECT * FROM resolved WHERE NOT (price > 0 AND (price < 20 OR price > 15000)) AND length(name || ' ' || ml || 'ml') >= 8
+    AND ml >= 10 AND ownership <> 'owned'), e AS (SELECT lower(brand) AS brand_key, name AS bare, CASE WHEN ownership = 'missing' THEN 'green' ELSE 'review' END AS confidence,
+    store, min(price) AS price, count(*) AS n FROM t GROUP BY ALL)
+    SELECT brand_key, bare, confidence, count(*) AS store_count, sum(n)::BIGINT AS offer_count, min(price) AS min_price, max(price) AS max_price FROM e GROUP BY 1, 2, 3"""
 )
 def missing_products(spark: SparkSession, d: str) -> DataFrame:
     found = analysis.missing_analysis(*_labelled(spark, d))
     return found.select("brand_key", "bare", "confidence", "store_count", "offer_count", "min_price", "max_price")
 
 
+@query(
+    f"""WITH {LABELLED}, brands AS (SELECT p_name AS brand, min(p_partkey) AS ordinal FROM part GROUP BY 1), names AS (SELECT DISTINCT name FROM labelled),
+    literal AS (SELECT name, arg_min(brand, ordinal) AS brand FROM names JOIN brands ON contains(name, brand) GROUP BY 1),
+    runs AS (SELECT name, 1 AS place, name AS run FROM names UNION ALL SELECT name, 2, split_part(name, ' ', 1) FROM names WHERE contains(name, ' ')
+    UNION ALL SELECT name, 3, split_part(name, ' ', 2) FROM names WHERE contains(name, ' ')),
+    spelt AS (SELECT run, brand, ordinal, list_transform(range(1, length(run) + 1), lambda i: CAST(ascii(substr(run, i, 1)) AS BIGINT)) AS p,
+    list_transform(range(1, length(brand) + 1), lambda i: [CAST(ascii(substr(brand, i, 1)) AS BIGINT)]) AS q
+    FROM (SELECT DISTINCT run FROM runs WHERE length(run) >= 4), brands), measured AS (SELECT *, {LCS} AS lcs FROM spelt),
+    best AS (SELECT run, brand FROM measured WHERE 200.0 * lcs / (length(run) + length(brand)) >= 85
+    QUALIFY row_number() OVER (PARTITION BY run ORDER BY 200.0 * lcs / (length(run) + length(brand)) DESC, ordinal) = 1),
+    repaired AS (SELECT name, arg_min(brand, place) AS brand FROM runs JOIN best USING (run) GROUP BY 1)
+    SELECT offer_id, coalesce(a.brand, b.brand, '') AS found_brand FROM labelled l LEFT JOIN literal a USING (name) LEFT JOIN repaired b USING (name)"""
+)
+def repaired_brands(spark: SparkSession, d: str) -> DataFrame:
+    """Product lines play the brands; the names of the offers contain them, misspelt, in part, or not at all."""
+    brands = catalogue(spark, d).groupBy(F.col("name").alias("brand")).agg(F.min("our_id").alias("ordinal"))
+    rows = _labelled(spark, d)[1].withColumn("line", F.regexp_replace("name", r" \S+$", ""))
+    return brand_index.with_brand(rows, "line", brands).select("offer_id", "found_brand")
+
+
+@query(
+    """WITH w AS (SELECT split_part(p_name, ' ', 1) AS k, min(p_partkey) AS v FROM part GROUP BY 1), n AS (SELECT p_name || ' ' || p_size AS k, min(p_partkey) AS v FROM part GROUP BY 1)
+    SELECT p_partkey AS our_id, 'all n' || n.v || '; ' || '-w' || w.v || 'x' || ', ' || p_brand AS text FROM part JOIN n ON n.k = p_name || ' ' || p_size
+    JOIN w ON w.k = split_part(p_name, ' ', 1)"""
+)
+def replaced_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Every name with its size, and every first word, is a term; of those that begin at one place the longest counts."""
+    c = table(spark, d, "part")
+    name, first = F.concat_ws(" ", "p_name", F.col("p_size").cast("string")), F.split("p_name", " ")[0]
+    terms = c.select(name.alias("k"), F.lit("n").alias("t"), "p_partkey").union(c.select(first, F.lit("w"), "p_partkey"))
+    terms = terms.groupBy("k", "t").agg(F.min("p_partkey").alias("v")).select("k", F.concat("t", F.col("v").cast("string")).alias("v"))
+    text = F.concat(F.lit("all "), name, F.lit("; -"), first, F.lit("x, "), "p_brand")
+    return c.select(F.col("p_partkey").alias("our_id"), replaced(text, term_table(terms, "k", "v")).alias("text"))
+
+
+#: Groups of words of which a variant has one.
+VARIANTS = (("hot", "cold"), ("small",), ("large",))
+
+
 def _indexed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return tuple(B.indexed(x) for x in _labelled(spark, d))
+    """Both sides with their features; misspelt first words are synonyms of the right ones, from a table of all."""
+    words = table(spark, d, "part").select(F.split("p_name", " ")[0].alias("v")).distinct()
+    cut = F.concat(F.substring("v", 1, 2), F.substring("v", 4, 1000))
+    terms = words.select(F.col("v").alias("k"), "v").union(words.select(F.concat(cut, F.lit(" ")), F.concat("v", F.lit(" "))))
+    synonyms = dict(term_table(terms, "k", "v"))
+    return tuple(B.indexed(x, synonyms=synonyms, variants=VARIANTS) for x in _labelled(spark, d))
 
 
 @query()
@@ -628,6 +722,43 @@ def page_titles(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", tag_text("html", "title").alias("title"))
 
 
+#: A page for every part: a third with nested JSON-LD, a third with meta tags, the rest with both, of which JSON-LD counts.
+_LD = """'{"@graph": [{"@type": "Organization", "name": "shop"}, {"@type": ["Thing", "Product"], "name": "' || p_name || '", "mpn": "' || p_partkey || '", "image": [{"url": "/' || p_size
+  || '.png"}], "brand": {"name": "' || p_brand || '"}, "offers": [{"price": "' || p_size || ',000.50", "priceCurrency": "' || cur || '"}, {"price": 1}]}]}'"""
+
+
+@query(
+    """WITH p AS (SELECT *, CASE WHEN p_size % 5 = 0 THEN 'USD' ELSE 'SAR' END AS cur FROM part), t AS (SELECT p_partkey AS part, p_name AS name, p_size, p_brand,
+    p_partkey % 3 <> 1 AND cur = 'SAR' AS ld, p_partkey % 3 <> 0 AS tags FROM p)
+    SELECT part, CASE WHEN ld THEN name WHEN tags THEN 'og ' || name END AS name, CASE WHEN ld THEN p_brand WHEN tags THEN 'og ' || p_brand END AS brand,
+    CASE WHEN ld THEN CAST(part AS VARCHAR) WHEN tags THEN 's' || part END AS sku, CASE WHEN ld THEN '/' || p_size || '.png' END AS image,
+    CASE WHEN ld THEN p_size * 1000 + 0.5 WHEN tags THEN p_size + 0.25 END::DOUBLE AS price, CASE WHEN ld OR tags THEN 'SAR' END AS currency FROM t"""
+)
+def structured_products(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").withColumn("cur", F.when(F.col("p_size") % 5 == 0, "USD").otherwise("SAR"))
+    script = F.concat(F.lit('<script data-x="1" type="application/ld+json">'), F.expr(_LD), F.lit("</script>"))
+    tag = lambda name, *value: F.concat(F.lit(f'<meta property="{name}" content="'), *value, F.lit('">'))
+    tags = F.concat(
+        tag("og:title", F.lit("og "), "p_name"),
+        tag("og:brand", F.lit("og "), "p_brand"),
+        tag("product:sku", F.lit("s"), F.col("p_partkey").cast("string")),
+        tag("product:price:amount", F.col("p_size").cast("string"), F.lit(".75")),
+        F.regexp_replace(tag("product:sale_price:amount", F.col("p_size").cast("string"), F.lit(".25")), r'<meta (\S+) (.*)>', "<meta $2 $1>"),
+    )
+    bad = F.lit('<script type="application/ld+json">{"@type": "Product", </script>')
+    third = F.col("p_partkey") % 3
+    page = F.concat(F.lit("<html><head>"), F.when(third != 0, tags).otherwise(""), bad, F.when(third != 1, script).otherwise(""), F.lit("</head></html>"))
+    return p.select(F.col("p_partkey").alias("part"), product(page).alias("p")).select("part", *(f"p.{c}" for c in ("name", "brand", "sku", "image", "price", "currency")))
+
+
+@query(
+    """SELECT event_id, props AS json FROM events"""
+)
+def embedded_json(spark: SparkSession, d: str) -> DataFrame:
+    said = F.concat(F.lit("Here [as asked] it is:\n```json\n"), "props", F.lit("\n```\nor {this}: "), "props", F.lit(" }"))
+    return table(spark, d, "events").select("event_id", lenient_json(said).alias("json"))
+
+
 @query()
 def page_products(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").withColumn("p", product("html")).select("page_id", "p.*")

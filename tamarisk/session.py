@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 _own: list[str] = []
@@ -51,6 +51,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base}/{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df``, written once to shared storage and read back: for what is read several times."""
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_session(cores: str = "8", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A single-machine session for tests and the benchmark; a cluster brings its own."""
     builder = (

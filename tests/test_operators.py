@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tamarisk.operators.brand_index import with_brand
 from tamarisk.operators import aggregates, export, filters, history, matching, merge, projections, routing
 from tamarisk.sources import files
 
@@ -160,8 +161,9 @@ def test_features_of_names(spark):
     assert all(r.want == r.c for r in kinds.select("want", X.product_class("name").alias("c")).collect())
     shop = spark.createDataFrame([("Lipstick red", "💄 تجميل"), ("عود ملكي", "🌸 عطور"), ("شامبو", "🧴 عناية"), ("box", "📦 أخرى"), (None, "📦 أخرى")], "name string, want string")
     assert all(r.want == r.c for r in shop.select("want", X.category("name").alias("c")).collect())
-    brands = spark.createDataFrame([("diorr sauvage 100ml", "Dior"), ("eau by Creed", "Creed"), ("xx yy", ""), ("", "")], "name string, want string")
-    assert all(r.want == r.b for r in brands.select("want", X.repaired_brand("name", ["Dior", "Creed"]).alias("b")).collect())
+    named = spark.createDataFrame([("diorr sauvage 100ml", "Dior"), ("eau by Creed", "Creed"), ("xx yy", ""), ("", "")], "name string, want string")
+    table = spark.createDataFrame([(0, "Dior"), (1, "Creed")], "ordinal int, brand string")
+    assert all(r.want == r.found_brand for r in with_brand(named, "name", table).collect())
 
 
 def _plain_match(o, t):
