@@ -73,7 +73,7 @@ class Index:
         first = np.argpartition(-bound, k - 1, axis=1)[:, :k]
         rows = np.repeat(np.arange(len(other.names)), k)
         score = self._score(other, rows, first.ravel()).reshape(-1, k)
-        floor = np.maximum(score.min(axis=1) if k == n else 0.0, least)
+        floor = np.full(len(score), least) if k < n else np.maximum(score.min(axis=1), least)
         open_ = bound >= floor[:, None]
         np.put_along_axis(open_, first, False, axis=1)
         more = np.nonzero(open_)

@@ -68,8 +68,8 @@ def test_no_score_exceeds_its_bounds(spark):
 def test_most_similar_names_are_those_of_all(spark):
     rnd = random.Random(4)
     vocabulary = words(rnd, 60)
-    ours = [(rnd.choice("pq"), x, i) for i, x in enumerate(dict.fromkeys(names(rnd, 400, vocabulary)))]
-    asking = [(rnd.choice("pqr"), x) for x in dict.fromkeys(names(rnd, 120, vocabulary))]
+    ours = [("s", "one two", -1)] + [(rnd.choice("pq"), x, i) for i, x in enumerate(dict.fromkeys(names(rnd, 400, vocabulary)))]
+    asking = [(rnd.choice("pqrs"), x) for x in dict.fromkeys(names(rnd, 120, vocabulary))]
     a = spark.createDataFrame(asking, "brand_key string, name string")
     b = spark.createDataFrame(ours, "brand_key string, our_name string, first_id long")
     want = set()
