@@ -14,10 +14,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once and read it back: cuts the lineage and survives the loss of executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+#: Removes the shuffle files of a query when it ends, instead of at a collection of the driver's garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, release: bool = False) -> DataFrame:
+    """Write ``df`` once and read it back: cuts the lineage and survives the loss of executors. With ``release``, the shuffle
+    files of the write are removed as soon as it is done; the stored table needs none of them."""
+    path, conf = shared_dir(df.sparkSession), df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    if release:
+        conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if release:
+            conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     stored = df.sparkSession.read.schema(df.schema).parquet(path)
     stored._stored_at = path
     return stored
