@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -27,10 +28,15 @@ def replace_partitions(df: DataFrame, path: str, key: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
-def write_sheets(frames: dict[str, DataFrame], path: str) -> None:
-    """One folder of CSV for each sheet; names are cut to 31 characters as spreadsheets want them."""
+def write_sheets(frames: dict[str, DataFrame], path: str, workbooks: bool = False) -> None:
+    """One folder of CSV, or of workbooks, for each sheet; names are cut to 31 characters as spreadsheets want them."""
+    from ..sources.workbook import sheet_name, write_workbooks
+
     for name, df in frames.items():
-        write_csv(df, f"{path}/{name[:31]}", "overwrite")
+        if workbooks:
+            write_workbooks(flat(df), f"{path}/{sheet_name(name)}", name, mode="overwrite")
+        else:
+            write_csv(df, f"{path}/{name[:31]}", "overwrite")
 
 
 def section_price(section: Column, ours: Column, theirs: Column) -> Column:
@@ -65,8 +71,9 @@ def batches(payload: DataFrame, size: int = 20, bucket_rows: int = 5000) -> Data
     return grouped.select(F.concat_ws("-", "bucket", "nth").alias("batch"), "products")
 
 
-def send(batched: DataFrame, poster: Callable[[list[str]], bool], retries: int = 3) -> DataFrame:
-    """(batch, n, sent, attempts): call ``poster`` for every batch on the executors, again if it fails or raises."""
+def send(batched: DataFrame, poster: Callable[[list[str]], bool], retries: int = 3, pause: float = 1.0) -> DataFrame:
+    """(batch, n, sent, attempts): call ``poster`` for every batch on the executors, again if it fails or raises, after ``pause``
+    seconds at first and twice as long each time."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -74,6 +81,8 @@ def send(batched: DataFrame, poster: Callable[[list[str]], bool], retries: int =
             for batch, products in zip(p.batch, p.products, strict=True):
                 sent, attempt = False, 0
                 while not sent and attempt < retries:
+                    if attempt:
+                        time.sleep(pause * 2 ** (attempt - 1))
                     attempt += 1
                     try:
                         sent = bool(poster(list(products)))

@@ -30,6 +30,7 @@ from .operators import routing as R
 from .plans import analysis
 from .session import shared_dir, ship
 from .sources import files as S
+from .sources import workbook as W
 from .sources.tables import catalogue, events, offers, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -906,6 +907,20 @@ def catalogue_file(spark: SparkSession, d: str) -> DataFrame:
     return S.load_catalogue(S.read_csv(spark, _written(rows)))
 
 
+@query(
+    """SELECT CAST(p_partkey AS VARCHAR) AS product_id, p_name AS name, CASE WHEN p_type = 'SMALL' THEN 0.0 ELSE p_retailprice END AS price, p_brand AS brand FROM part
+    WHERE p_type <> 'PROMO'"""
+)
+def workbook_file(spark: SparkSession, d: str) -> DataFrame:
+    """The catalogue as workbooks with a line above the header and typed cells, and back."""
+    path, price = shared_dir(spark), F.when(F.col("kind") != "SMALL", F.col("our_price"))
+    rows = catalogue(spark, d).select(
+        F.col("our_id").alias("No."), F.when(F.col("kind") != "PROMO", F.col("name")).alias("أسم المنتج"), price.alias("سعر المنتج"), F.col("brand").alias("الماركة")
+    )
+    W.write_workbooks(rows, path, "المنتجات", S.META_ROW)
+    return S.load_catalogue(W.read_workbook(spark, path, "المنتجات", S.META_ROW))
+
+
 @query(
     f"""WITH {OFFERS} SELECT 'shop' AS store, name, CASE WHEN discount > 0.05 THEN NULL ELSE price END AS price, 'https://shop/p/' || product_id AS url FROM offers"""
 )

@@ -27,10 +27,10 @@ def _filled(names: list[str]) -> Column:
     return F.coalesce(*(F.col(f"`{n}`") for n in names)).isNotNull()
 
 
-def encoding_of(spark: SparkSession, path: str, lines: int = 200) -> str:
-    """UTF-8 if the first lines of a file are valid, else the Arabic code page, which reads any bytes."""
-    head = spark.read.text(path).limit(lines)
-    return "UTF-8" if head.where(~F.is_valid_utf8("value")).isEmpty() else ARABIC_PAGE
+def encoding_of(spark: SparkSession, path: str) -> str:
+    """UTF-8 if all lines of a file are valid, else the Arabic code page, which reads any bytes. The search stops at the first line
+    that isn't."""
+    return "UTF-8" if spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty() else ARABIC_PAGE
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str | None = "UTF-8", header: bool = True, bad: str | None = None) -> DataFrame:
@@ -88,9 +88,9 @@ def column_for(columns: list[str], role: str) -> str | None:
     return None
 
 
-def infer_roles(df: DataFrame, sample: int = 60) -> dict[str, str]:
-    """Roles by content of a few rows, in one pass: links, images, prices, and the longest text as the name."""
-    some = df.limit(sample)
+def infer_roles(df: DataFrame) -> dict[str, str]:
+    """Roles by content of all rows, in one pass with partial aggregation: links, images, prices, and the longest text as the name.
+    A table without rows has a name only, its first column."""
     tests = []
     for c in df.columns:
         t = F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -100,7 +100,7 @@ def infer_roles(df: DataFrame, sample: int = 60) -> dict[str, str]:
             F.avg(t.rlike(r"^\s*\d+([.,]\d+)?\s*$").cast("int")).alias(f"{c}\0price"),
             F.avg(F.length(t)).alias(f"{c}\0length"),
         ]
-    row = some.agg(*tests).first().asDict()
+    row = df.agg(*tests).first().asDict()
     share = lambda c, k: row[f"{c}\0{k}"] or 0
     roles: dict[str, str] = {}
     for role, least in (("image", 0.22), ("link", 0.38), ("price", 0.5)):
