@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -30,12 +31,18 @@ META = {
 }
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` computed once for a row however often ``use`` reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def meta(html: Name, name: str) -> Column:
     """Content of the first meta tag with this property or name."""
     tag = re.escape(name)
     first = F.regexp_extract(column(html), rf"""(?is)<meta[^>]*(?:property|name)=["']{tag}["'][^>]*content=["']([^"']*)""", 1)
     other = F.regexp_extract(column(html), rf"""(?is)<meta[^>]*content=["']([^"']*)["'][^>]*(?:property|name)=["']{tag}["']""", 1)
-    return F.coalesce(F.nullif(first, F.lit("")), F.nullif(other, F.lit("")))
+    filled = lambda c: _bound(c, lambda v: F.nullif(v, F.lit("")))
+    return F.coalesce(filled(first), filled(other))
 
 
 def tag_text(html: Name, tag: str) -> Column:
@@ -114,28 +121,42 @@ def json_ld(html: Name) -> Column:
 def meta_product(html: Name) -> Column:
     """What a page's meta tags say of a product, as ``json_ld``; of several tags for a field the first in ``META`` that isn't empty,
     and no price in a foreign currency."""
-    found = {k: F.coalesce(*(meta(html, tag) for tag in tags)) for k, tags in META.items()}
-    currency = F.upper(found["currency"])
-    amounts = [first_price(meta(html, tag)) for tag in META["price"]]
-    price = F.coalesce(*(F.when((a > 0) & (a < 1_000_000), a) for a in amounts))
-    texts = [F.nullif(F.trim(found[k] if k not in CUT else F.substring(found[k], 1, CUT[k])), F.lit("")).alias(k) for k in FIELDS[:5]]
-    return F.struct(*texts, F.when(~F.coalesce(currency.isin(*FOREIGN), F.lit(False)), price).alias("price"), currency.alias("currency"))
+    tags = list(dict.fromkeys(tag for names in META.values() for tag in names))
+
+    def fields(said: Column) -> Column:
+        of = lambda tag: said[f"t{tags.index(tag)}"]
+        found = {k: F.coalesce(*map(of, names)) for k, names in META.items()}
+        currency = F.upper(found["currency"])
+        amounts = F.transform(F.array(*map(of, META["price"])), lambda a: first_price(a))
+        price = F.get(F.filter(amounts, lambda a: (a > 0) & (a < 1_000_000)), F.lit(0))
+        texts = [F.nullif(F.trim(found[k] if k not in CUT else F.substring(found[k], 1, CUT[k])), F.lit("")).alias(k) for k in FIELDS[:5]]
+        return F.struct(*texts, F.when(~F.coalesce(currency.isin(*FOREIGN), F.lit(False)), price).alias("price"), currency.alias("currency"))
+
+    # Tags that a page doesn't name are not searched by pattern.
+    said = lambda low: F.struct(*(F.when(F.contains(low, F.lit(tag.lower())), meta(html, tag)).alias(f"t{i}") for i, tag in enumerate(tags)))
+    return _bound(_bound(F.lower(column(html)), said), fields)
 
 
 def product(html: Name) -> Column:
     """Fields of a page's product from JSON-LD if it has a price there, else from meta tags; name and image also without a price, the
     name at last from headings. ``currency`` is SAR where a price has none."""
-    ld, tags = json_ld(html), meta_product(html)
-    fields = [F.coalesce(ld[k], F.when(ld["price"].isNull(), tags[k])).alias(k) for k in FIELDS[2:5]]
-    price = F.coalesce(ld["price"], tags["price"])
-    currency = F.when(ld["price"].isNotNull(), F.coalesce(ld["currency"], F.lit("SAR"))).otherwise(F.coalesce(tags["currency"], F.lit("SAR")))
-    return F.struct(
-        F.coalesce(ld["name"], tags["name"], tag_text(html, "h1"), tag_text(html, "title")).alias("name"),
-        F.coalesce(ld["image"], tags["image"]).alias("image"),
-        *fields,
-        price.alias("price"),
-        F.when(price.isNotNull(), currency).alias("currency"),
-    )
+    ld = json_ld(html)
+    wanted = ld["price"].isNull() | ld["name"].isNull() | ld["image"].isNull()
+
+    def fields(both: Column) -> Column:
+        ld, tags = both["ld"], both["tags"]
+        rest = [F.coalesce(ld[k], F.when(ld["price"].isNull(), tags[k])).alias(k) for k in FIELDS[2:5]]
+        price = F.coalesce(ld["price"], tags["price"])
+        currency = F.when(ld["price"].isNotNull(), F.coalesce(ld["currency"], F.lit("SAR"))).otherwise(F.coalesce(tags["currency"], F.lit("SAR")))
+        return F.struct(
+            F.coalesce(ld["name"], tags["name"], tag_text(html, "h1"), tag_text(html, "title")).alias("name"),
+            F.coalesce(ld["image"], tags["image"]).alias("image"),
+            *rest,
+            price.alias("price"),
+            F.when(price.isNotNull(), currency).alias("currency"),
+        )
+
+    return _bound(F.struct(ld.alias("ld"), F.when(wanted, meta_product(html)).alias("tags")), fields)
 
 
 def lenient_json(c: Name) -> Column:
