@@ -817,7 +817,7 @@ def upload_reasons(spark: SparkSession, d: str) -> DataFrame:
     WHEN p_retailprice > 0 AND (p_retailprice < 20 OR p_retailprice > 15000) THEN 'price' WHEN p_type = 'SMALL' THEN 'mini' END AS reason FROM part"""
 )
 def missing_reasons(spark: SparkSession, d: str) -> DataFrame:
-    return _worded(spark, d).select("our_id", Fl.missing_reason("label", "our_price").alias("reason"))
+    return Fl.with_missing_reason(_worded(spark, d), "label", "our_price").select("our_id", "reason")
 
 
 @query(
