@@ -11,6 +11,7 @@ from ..functions import features as X
 from ..functions import vocabulary as V
 from ..functions.pricing import price_or_zero
 from ..functions.text import Name, column
+from ..session import written
 
 
 def search(df: DataFrame, text: str = "", columns: tuple[str, ...] = (), regex: bool = False, **equal) -> DataFrame:
@@ -57,6 +58,8 @@ def with_missing_reason(df: DataFrame, name: str = "name", price: str = "price")
     """Add ``reason`` (``missing_reason``); names are looked at once, however many rows have them."""
     names = df.select(F.col(name).alias("_n")).distinct().withColumn("_t", X.class_text("_n"))
     names = names.select("_n", X.class_of("_t").alias("_kind"), X.is_set("_n").alias("_in_set"), X.size_ml("_n").alias("_size"))
+    # Written once: what follows reads the rows several times.
+    names = written(names)
     rows = df.join(names, df[name].eqNullSafe(names["_n"]), "left")
     reason = _missing_reason(name, price, F.col("_kind"), F.col("_in_set"), F.col("_size"))
     return rows.withColumn("reason", reason).drop("_n", "_kind", "_in_set", "_size")

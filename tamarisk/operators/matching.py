@@ -15,6 +15,7 @@ from ..functions import vocabulary as V
 from ..functions.keys import canonical_url
 from ..functions.similarity import similarity
 from ..functions.text import bare_tokens, key_text
+from ..session import written
 from .name_join import candidates
 
 
@@ -29,6 +30,8 @@ def featured(df: DataFrame, name: str, brands: list[str] | None = None, brand: s
     names = names.withColumns(
         {"bare": F.array_join(bare_tokens("_n"), " "), "brand_key": key_text(b), "size_ml": X.size_ml("_n"), "gender_key": X.gender("_n")}
     )
+    # Written once: every pass over the rows would look at all names again.
+    names = written(names)
     same = df[name].eqNullSafe(names["_n"])
     if brand:
         same &= df[brand].cast("string").eqNullSafe(names["_own"])
@@ -38,7 +41,9 @@ def featured(df: DataFrame, name: str, brands: list[str] | None = None, brand: s
 def best_match(offers: DataFrame, ours: DataFrame, kernel: str = "token_set", least: float = 0.0) -> DataFrame:
     """``offers`` (offer_id, features) with score and the best catalogue row (our_id and its features): the highest score, then
     the lowest our_id. Rows without a candidate keep nulls."""
-    pairs = candidates(offers, ours, least)
+    # The rows are read for their names once, not once for each use of the names.
+    asked, held = (written(df.select("bare", "brand_key").distinct()) for df in (offers, ours))
+    pairs = candidates(asked, held, least)
     scored = pairs.withColumn("score", F.round(similarity("bare", "our_bare", kernel), 4)).where(F.col("score") >= least)
     item = F.struct("our_id", F.col("size_ml").alias("our_size"), F.col("gender_key").alias("our_gender"))
     # Of catalogue rows with one name and brand, the first stands for all.

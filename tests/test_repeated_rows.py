@@ -49,3 +49,12 @@ def test_tags_of_a_page_are_searched_once(spark):
 
 def test_reasons_are_found_once_for_a_name(spark):
     assert "Aggregate" in plan_of(Q.missing_reasons(spark, SF))
+
+
+def test_names_are_looked_at_once(spark):
+    from tamarisk.operators import matching
+
+    rows = spark.createDataFrame([(1, "Rose 50ml", "Dior")] * 3, "offer_id int, name string, brand string")
+    found = matching.featured(rows, "name", brand="brand")
+    # The names come from storage: only the rows themselves are still to be computed.
+    assert "Aggregate" not in plan_of(found) and found.count() == 3
