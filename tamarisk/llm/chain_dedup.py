@@ -1,8 +1,8 @@
 """Substring duplicates by collinear chaining.
 
 Hashes of five-word shingles, winnowed so that every run of shared words of some length shares one, are matched with the
-first document that has them, and where that leads to nothing with the nearest ones before, one after the other. The matches of
-two documents that keep their order are chained, with costs for gaps, by a Fenwick tree; chains are extended and aligned word by word, so that passages with small edits are found whole.
+first document that has them, where that leads to nothing with the nearest one before, and what is open then with all documents
+before that share two of them. The matches of two documents that keep their order are chained, with costs for gaps, by a Fenwick tree; chains are extended and aligned word by word, so that passages with small edits are found whole.
 """
 
 from __future__ import annotations
@@ -27,9 +27,8 @@ LEAD = 8
 WORTH, COST = 10.0, 0.1
 #: Words that a passage must have, and the share of them that must agree.
 LEAST, SIMILAR = 50, 0.8
-#: Documents before a document, nearest first, that seeds left uncovered are looked up in; the words that a chain must span in those
-#: beyond the nearest.
-ROUNDS, FAR_LEAD = 2, 24
+#: Words that a chain must span in documents beyond the first and the nearest.
+FAR_LEAD = 24
 #: Words looked at beyond the outermost shingles, and the grid to which ranges of sources are rounded.
 MARGIN, GRID = 48, 64
 
@@ -423,31 +422,107 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, similar: float = SIMI
     Null ids are ignored, null or short texts have no passages, rows that repeat a doc_id count as one document, and whole
     copies are passages of their own. A passage that many documents share is reported once for each but the first. Seeds that the
     first documents leave uncovered, and that lie close enough together for a passage, are looked up in the nearest document before,
-    then in the one before that, up to ``ROUNDS`` of them. An empty table gives no rows; extra columns are not read.
+    then in all of them (``_all_earlier``). An empty table gives no rows; extra columns are not read.
     """
     linked = matches(docs)
     firsts = linked.select("doc_id", "pos", F.col("first_id").alias("source_id"), F.col("first_pos").alias("source_pos"))
     found = _passages(docs, firsts, least, similar)
-    parts = [found]
-    rest = linked.where("near_id <> first_id or near_pos <> first_pos")
-    rest = rest.select("doc_id", "pos", F.col("near_id").alias("source_id"), F.col("near_pos").alias("source_pos"))
-    steps = linked.select(F.col("doc_id").alias("source_id"), F.col("pos").alias("source_pos"), "near_id", "near_pos")
-    used = [linked]
-    for nth in range(ROUNDS):
-        rest = materialize(_open_runs(rest, parts[-1], int(similar * least)))
+    parts, span = [found], int(similar * least)
+    rest = materialize(_open_runs(linked, found, span))
+    used = [linked, rest]
+    near = rest.where("near_id <> first_id or near_pos <> first_pos")
+    near = near.select("doc_id", "pos", F.col("near_id").alias("source_id"), F.col("near_pos").alias("source_pos"))
+    near = materialize(_open_runs(near, found, span))
+    used.append(near)
+    if not near.isEmpty():
+        parts.append(_passages(docs, near, least, similar))
+        rest = materialize(_open_runs(rest, parts[-1], span))
         used.append(rest)
-        if rest.isEmpty():
-            break
-        parts.append(_passages(docs, rest, least, similar, LEAD if nth == 0 else FAR_LEAD))
-        # The place before a place is that place's own nearest.
-        before = rest.join(steps, ["source_id", "source_pos"])
-        rest = before.select("doc_id", "pos", F.col("near_id").alias("source_id"), F.col("near_pos").alias("source_pos"))
+        runs = materialize(_runs(_places(docs, linked, rest)))
+        used.append(runs)
+        within = materialize(_within_runs(rest, runs))
+        used.append(within)
+        if not within.isEmpty():
+            parts.append(_passages(docs, within, least, similar))
+            rest = materialize(_open_runs(rest, parts[-1], span))
+            used.append(rest)
+        far = materialize(_all_earlier(rest, runs))
+        used.append(far)
+        if not far.isEmpty():
+            parts.append(_passages(docs, far, least, similar, FAR_LEAD))
     discard(*used)
     for part in parts[1:]:
         found = found.unionByName(part)
     return found
 
 
+#: A hash is named by its first place.
+SEED = ["first_id", "first_pos"]
+
+
+def _places(docs: DataFrame, linked: DataFrame, rest: DataFrame) -> DataFrame:
+    """(first_id, first_pos, doc_id, pos): all places in all documents of the seeds that ``rest`` has, those repeated in their
+    first documents too, which ``linked`` doesn't hold."""
+    keys = materialize(rest.select(*SEED).distinct())
+    firsts = materialize(seeds(docs.join(keys.select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", "left_semi")))
+    named = firsts.join(keys, (F.col("doc_id") == F.col("first_id")) & (F.col("pos") == F.col("first_pos")))
+    own = firsts.join(named.select("hash", "doc_id", *SEED).distinct(), ["hash", "doc_id"])
+    columns = [*SEED, "doc_id", "pos"]
+    places = materialize(linked.join(keys, SEED, "left_semi").select(*columns).union(own.select(*columns)).distinct())
+    discard(keys, firsts)
+    return places
+
+
+def _runs(places: DataFrame) -> DataFrame:
+    """(first_id, first_pos, doc_id, lo, hi, n, step): runs of ``n`` places of one seed at equal steps of a shingle at most, from
+    ``lo`` to ``hi``. All words of such a run follow from its seed; a place by itself is a run of one."""
+    order = Window.partitionBy("doc_id", *SEED).orderBy("pos")
+    rows = places.withColumn("by", F.col("pos") - F.lag("pos").over(order)).withColumn("before", F.lag("by").over(order))
+    new = F.col("by").isNull() | (F.col("by") > SHINGLE) | ((F.col("before") <= SHINGLE) & (F.col("by") != F.col("before")))
+    rows = rows.withColumn("run", F.sum(F.coalesce(new, F.lit(False)).cast("int")).over(order))
+    runs = rows.groupBy("doc_id", *SEED, "run").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.count("*").alias("n"))
+    step = F.when(F.col("n") > 1, ((F.col("hi") - F.col("lo")) / (F.col("n") - 1)).cast("int")).otherwise(0)
+    return runs.withColumn("step", step).drop("run")
+
+
+def _within_runs(rest: DataFrame, runs: DataFrame) -> DataFrame:
+    """(doc_id, pos, source_id, source_pos): seeds of runs by the longest run of an earlier document, laid out from either end
+    and repeated where the later run is longer. What lies within a run needs no other source."""
+    before = Window.partitionBy(*SEED, "step").orderBy("doc_id").rangeBetween(Window.unboundedPreceding, -1)
+    longest = F.max(F.struct("n", (-F.col("doc_id")).alias("source"), F.col("lo").alias("from"), F.col("hi").alias("to"))).over(before)
+    known = runs.where("n > 1").withColumn("s", longest).where("s is not null")
+    rows = rest.select("doc_id", "pos", *SEED).join(known, ["doc_id", *SEED]).where("lo <= pos and pos <= hi")
+    ahead = F.expr("s.`from` + step * (cast((pos - lo) / step as int) % s.n)")
+    back = F.expr("s.`to` - step * (cast((hi - pos) / step as int) % s.n)")
+    rows = rows.withColumn("source_pos", F.explode(F.array_distinct(F.array(ahead.cast("int"), back.cast("int")))))
+    # A later run that is not longer lies in the earlier one as it stands.
+    rows = rows.where((F.col("n") > F.col("s.n")) | (F.col("source_pos") == ahead))
+    return rows.select("doc_id", "pos", (-F.col("s.source")).alias("source_id"), "source_pos")
+
+
+def _all_earlier(rest: DataFrame, runs: DataFrame) -> DataFrame:
+    """(doc_id, pos, source_id, source_pos): the open seeds ``rest`` with all their places in every earlier document that can
+    share a chain of ``FAR_LEAD`` words with them. Of runs the two ends count: what crosses no end is found by ``_within_runs``.
+
+    Such a chain holds two seeds that lie ``FAR_LEAD`` words apart or as little more as one gap allows, in either document;
+    documents meet by pairs of seeds, so that a seed that very many have brings no pairs by itself."""
+    ends = runs.select(*SEED, "doc_id", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("pos"))
+    own = rest.select("doc_id", "pos", *SEED).distinct().join(ends, ["doc_id", "pos", *SEED])
+    key = F.struct(*SEED)
+
+    def twos(df: DataFrame, least: int, most: int) -> DataFrame:
+        ahead = Window.partitionBy("doc_id").orderBy("pos").rangeBetween(least, most)
+        rows = df.withColumn("twos", F.collect_set(key).over(ahead)).withColumn("two", F.explode("twos"))
+        return rows.select("doc_id", *SEED, "two").distinct()
+
+    reach = FAR_LEAD + GRID
+    left, right = twos(own, FAR_LEAD - SHINGLE, reach), twos(ends, 1, 2 * reach).withColumnRenamed("doc_id", "source_id")
+    pairs = left.join(right, [*SEED, "two"]).where("source_id < doc_id").select("doc_id", "source_id").distinct()
+    source = ends.withColumnsRenamed({"doc_id": "source_id", "pos": "source_pos"})
+    found = pairs.join(own, "doc_id").join(source, ["source_id", *SEED])
+    return found.select("doc_id", "pos", "source_id", "source_pos")
+
+
 def _open_runs(linked: DataFrame, passages: DataFrame, least: int) -> DataFrame:
     """The seeds outside of all ``passages`` that lie so close together that ``least`` words or more are covered."""
     spans = passages.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))

@@ -368,3 +368,33 @@ def test_passages_whole_in_a_middle_document_only(spark):
             rows.append((1000 * g + doc, " ".join(fill(20) + part + fill(20))))
     got = chain_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.source_id, r.n_words) for r in got) == [(1000 * g + 300, 1000 * g + 100, 60) for g in range(40)]
+
+
+def test_passages_whole_in_any_of_many_documents(spark):
+    """The first and the four nearest documents hold halves, one further back the whole passage; one seed stands in it alone."""
+    rnd = random.Random(2)
+    fill = lambda n: [f"u{rnd.randrange(10**6)}" for _ in range(n)]
+    rows, half = [], lambda whole, i: whole[:30] if i % 2 else whole[30:]
+    for g in range(10):
+        whole = fill(60)
+        parts = {5: whole[:30], 7: whole[30:], 100: whole, 300: whole, **{200 + i: half(whole, i) for i in range(8)}}
+        rows += [(1000 * g + doc, " ".join(fill(20) + part + fill(20))) for doc, part in parts.items()]
+    got = chain_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.source_id, r.n_words) for r in got) == [(1000 * g + 300, 1000 * g + 100, 60) for g in range(10)]
+
+
+def test_runs_of_one_word_are_found_whole(spark):
+    rnd = random.Random(3)
+    fill = lambda n: [f"t{rnd.randrange(10**6)}" for _ in range(n)]
+    texts = {1: fill(30) + ["the"] * 90, 2: ["the"] * 40 + fill(30), 3: fill(20) + ["the"] * 1000 + fill(20), 4: fill(9) + ["a", "b", "c"] * 300}
+    texts[5] = fill(7) + ["a", "b", "c"] * 250 + fill(40) + ["the"] * 70
+    got = chain_dedup.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")).collect()
+    for doc, start, end in ((3, 20, 1020), (5, 7, 757), (5, 797, 867)):
+        assert covered([(r.start, r.end) for r in got if r.doc_id == doc], start, end), doc
+    for r in got:
+        x, y = texts[r.doc_id][r.start : r.end], texts[r.source_id][r.source_start : r.source_end]
+        assert r.source_id < r.doc_id and len(x) >= 50 and len(chain_dedup._common(x, y)) >= 0.8 * max(len(x), len(y)) - 1e-9
+
+
+def covered(spans, start, end):
+    return all(any(s <= i < e for s, e in spans) for i in range(start, end))
