@@ -435,6 +435,9 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, similar: float = SIMI
     near = materialize(_open_runs(near, found, span))
     used.append(near)
     if not near.isEmpty():
+        # Texts are dealt once for all that follows.
+        docs = materialize(_holders(docs, linked, rest))
+        used.append(docs)
         parts.append(_passages(docs, near, least, similar))
         rest = materialize(_open_runs(rest, parts[-1], span))
         used.append(rest)
@@ -460,6 +463,13 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, similar: float = SIMI
 SEED = ["first_id", "first_pos"]
 
 
+def _holders(docs: DataFrame, linked: DataFrame, rest: DataFrame) -> DataFrame:
+    """The documents that have a seed of ``rest``."""
+    shared = linked.join(rest.select(*SEED).distinct(), SEED, "left_semi")
+    ids = shared.select("doc_id").union(rest.select("first_id")).distinct()
+    return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+
+
 def _places(docs: DataFrame, linked: DataFrame, rest: DataFrame) -> DataFrame:
     """(first_id, first_pos, doc_id, pos): all places in all documents of the seeds that ``rest`` has, those repeated in their
     first documents too, which ``linked`` doesn't hold."""
