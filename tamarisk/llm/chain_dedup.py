@@ -434,7 +434,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, similar: float = SIMI
     near = near.select("doc_id", "pos", F.col("near_id").alias("source_id"), F.col("near_pos").alias("source_pos"))
     near = materialize(_open_runs(near, found, span))
     used.append(near)
-    if not near.isEmpty():
+    if not rest.isEmpty():
         # Texts are dealt once for all that follows.
         docs = materialize(_holders(docs, linked, rest))
         used.append(docs)
