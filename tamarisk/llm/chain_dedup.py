@@ -72,13 +72,11 @@ def matches(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, first_id, first_pos, near_id, near_pos): each seed that a smaller doc_id has too, with its first place in the
     smallest and its last place in the nearest of them. One row for each seed at most, however many documents share it."""
     own = materialize(seeds(docs))
-    found = _earlier(own)
-    discard(own)
-    return found
+    return _earlier(own, own)
 
 
-def _earlier(own: DataFrame) -> DataFrame:
-    """``matches`` of (hash, doc_id, pos), written to shared storage.
+def _earlier(own: DataFrame, *used: DataFrame) -> DataFrame:
+    """``matches`` of (hash, doc_id, pos), written to shared storage; ``used`` is deleted once its rows are linked.
 
     Rows are dealt by ranges of (hash, doc_id, pos), so that a frequent hash spreads over tasks. What a task's first hash has in
     the tasks before is added afterwards, from four rows that each task leaves at most."""
@@ -127,6 +125,7 @@ def _earlier(own: DataFrame) -> DataFrame:
     schema = "task int, kind int, hash long, doc_id long, pos int, first_id long, first_pos int, near_id long, near_pos int"
     dealt = own.repartitionByRange(*names).sortWithinPartitions(*names)
     linked = materialize(dealt.mapInArrow(run, schema))
+    discard(*used)
     heads: dict[int, tuple] = {}
     at, start, ends = None, (), {}
     left = linked.where("kind > 1").orderBy("task", "kind", "doc_id", "pos").select("task", "kind", "hash", "doc_id", "pos").collect()
@@ -436,12 +435,14 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, similar: float = SIMI
     used.append(near)
     if not rest.isEmpty():
         # Texts are dealt once for all that follows.
-        docs = materialize(_holders(docs, linked, rest))
-        used.append(docs)
+        keys = materialize(rest.select(*SEED).distinct())
+        shared = materialize(linked.join(keys, SEED, "left_semi").select(*SEED, "doc_id", "pos"))
+        docs = materialize(_holders(docs, shared, keys))
+        used += [keys, shared, docs]
         parts.append(_passages(docs, near, least, similar))
         rest = materialize(_open_runs(rest, parts[-1], span))
         used.append(rest)
-        runs = materialize(_runs(_places(docs, linked, rest)))
+        runs = materialize(_runs(_places(docs, shared, rest)))
         used.append(runs)
         within = materialize(_within_runs(rest, runs))
         used.append(within)
@@ -449,7 +450,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, similar: float = SIMI
             parts.append(_passages(docs, within, least, similar))
             rest = materialize(_open_runs(rest, parts[-1], span))
             used.append(rest)
-        far = materialize(_all_earlier(rest, runs))
+        far = _all_earlier(docs, rest, runs)
         used.append(far)
         if not far.isEmpty():
             parts.append(_passages(docs, far, least, similar, FAR_LEAD))
@@ -463,22 +464,21 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, similar: float = SIMI
 SEED = ["first_id", "first_pos"]
 
 
-def _holders(docs: DataFrame, linked: DataFrame, rest: DataFrame) -> DataFrame:
-    """The documents that have a seed of ``rest``."""
-    shared = linked.join(rest.select(*SEED).distinct(), SEED, "left_semi")
-    ids = shared.select("doc_id").union(rest.select("first_id")).distinct()
+def _holders(docs: DataFrame, shared: DataFrame, keys: DataFrame) -> DataFrame:
+    """The documents that have a seed of ``keys``."""
+    ids = shared.select("doc_id").union(keys.select("first_id")).distinct()
     return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
 
 
-def _places(docs: DataFrame, linked: DataFrame, rest: DataFrame) -> DataFrame:
+def _places(docs: DataFrame, shared: DataFrame, rest: DataFrame) -> DataFrame:
     """(first_id, first_pos, doc_id, pos): all places in all documents of the seeds that ``rest`` has, those repeated in their
-    first documents too, which ``linked`` doesn't hold."""
+    first documents too, which ``shared`` doesn't hold."""
     keys = materialize(rest.select(*SEED).distinct())
     firsts = materialize(seeds(docs.join(keys.select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", "left_semi")))
     named = firsts.join(keys, (F.col("doc_id") == F.col("first_id")) & (F.col("pos") == F.col("first_pos")))
     own = firsts.join(named.select("hash", "doc_id", *SEED).distinct(), ["hash", "doc_id"])
     columns = [*SEED, "doc_id", "pos"]
-    places = materialize(linked.join(keys, SEED, "left_semi").select(*columns).union(own.select(*columns)).distinct())
+    places = materialize(shared.join(keys, SEED, "left_semi").select(*columns).union(own.select(*columns)).distinct())
     discard(keys, firsts)
     return places
 
@@ -510,27 +510,126 @@ def _within_runs(rest: DataFrame, runs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "pos", (-F.col("s.source")).alias("source_id"), "source_pos")
 
 
-def _all_earlier(rest: DataFrame, runs: DataFrame) -> DataFrame:
+def _all_earlier(docs: DataFrame, rest: DataFrame, runs: DataFrame) -> DataFrame:
     """(doc_id, pos, source_id, source_pos): the open seeds ``rest`` with all their places in every earlier document that can
-    share a chain of ``FAR_LEAD`` words with them. Of runs the two ends count: what crosses no end is found by ``_within_runs``.
+    share a chain of ``FAR_LEAD`` words with them. Of runs the two ends count, and the places that far inside of them: what crosses
+    no end is found by ``_within_runs``.
+
+    Such a chain holds two seeds that lie ``FAR_LEAD`` words apart or as little more as one gap allows; documents meet by pairs
+    of seeds between which they can agree (``_alike``), so that seeds and pairs that very many have bring no rows by themselves."""
+    inner = F.expr(f"step * cast(ceil({FAR_LEAD - SHINGLE} / step) as int)")
+    places = F.array("lo", "hi", F.least("hi", F.col("lo") + inner), F.greatest("lo", F.col("hi") - inner))
+    places = F.when(F.col("n") > 1, F.array_distinct(places)).otherwise(F.array("lo"))
+    ends = runs.withColumn("pos", F.explode(places))
+    ends = ends.select(*SEED, "doc_id", F.col("lo").alias("run"), "pos", F.col("pos").isin(F.col("lo"), F.col("hi")).alias("outer"))
+    still = rest.select("doc_id", "pos", *SEED, F.lit(True).alias("open")).distinct()
+    ends = materialize(ends.join(still, ["doc_id", "pos", *SEED], "left").fillna(False, ["open"]))
+    reach = FAR_LEAD + GRID
+    ahead = Window.partitionBy("doc_id").orderBy("pos").rangeBetween(int(STRETCH * FAR_LEAD) - SHINGLE, int((reach + SHINGLE) / STRETCH))
+    twos = ends.withColumn("twos", F.collect_set(F.struct(*SEED, "run", "pos", "open")).over(ahead)).withColumn("two", F.explode("twos"))
+    apart = (F.col("two.pos") - F.col("pos")).between(FAR_LEAD - SHINGLE, reach)
+    within = F.struct(*SEED, "run") == F.struct("two.first_id", "two.first_pos", "two.run")
+    twos = twos.where(~within).select(
+        F.xxhash64(*SEED, "two.first_id", "two.first_pos").alias("key"),
+        "doc_id",
+        F.col("pos").alias("lo"),
+        (F.col("two.pos") + SHINGLE).alias("hi"),
+        ((F.col("open") | F.col("two.open")) & apart).alias("open"),
+    )
+    twos = materialize(twos)
+    shared = twos.groupBy("key").agg(
+        F.min("doc_id").alias("least"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("last"), F.count("*").alias("n")
+    )
+    # Rows that have no open one after them, or none before them, meet nothing.
+    met = twos.join(shared.where("least < last"), "key").where("doc_id < last or open")
+    pairs = materialize(_alike(docs, met.select("key", "doc_id", "lo", "hi", F.col("open") & (F.col("doc_id") > F.col("least")), "n")))
+    # Chains are laid through the ends alone: what lies inside would tie one end of a run to the other of a longer one.
+    own = ends.where("open and outer").select("doc_id", "pos", *SEED)
+    source = ends.where("outer").select(F.col("doc_id").alias("source_id"), F.col("pos").alias("source_pos"), *SEED)
+    found = materialize(pairs.join(own, "doc_id").join(source, ["source_id", *SEED]).select("doc_id", "pos", "source_id", "source_pos"))
+    discard(ends, twos, pairs)
+    return found
 
-    Such a chain holds two seeds that lie ``FAR_LEAD`` words apart or as little more as one gap allows, in either document;
-    documents meet by pairs of seeds, so that a seed that very many have brings no pairs by itself."""
-    ends = runs.select(*SEED, "doc_id", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("pos"))
-    own = rest.select("doc_id", "pos", *SEED).distinct().join(ends, ["doc_id", "pos", *SEED])
-    key = F.struct(*SEED)
 
-    def twos(df: DataFrame, least: int, most: int) -> DataFrame:
-        ahead = Window.partitionBy("doc_id").orderBy("pos").rangeBetween(least, most)
-        rows = df.withColumn("twos", F.collect_set(key).over(ahead)).withColumn("two", F.explode("twos"))
-        return rows.select("doc_id", *SEED, "two").distinct()
+#: Share of the words that two documents must have in common between two seeds of a chain, in any order. A passage whose seeds are
+#: all open has beyond its outermost ones no ten words in a row that agree, so it is alike by 0.66 between two of them at least.
+STRETCH = 0.6
+#: Classes of words that are counted, and rows of one pair of seeds in a block.
+BAG, BLOCK = 128, 4096
 
-    reach = FAR_LEAD + GRID
-    left, right = twos(own, FAR_LEAD - SHINGLE, reach), twos(ends, 1, 2 * reach).withColumnRenamed("doc_id", "source_id")
-    pairs = left.join(right, [*SEED, "two"]).where("source_id < doc_id").select("doc_id", "source_id").distinct()
-    source = ends.withColumnsRenamed({"doc_id": "source_id", "pos": "source_pos"})
-    found = pairs.join(own, "doc_id").join(source, ["source_id", *SEED])
-    return found.select("doc_id", "pos", "source_id", "source_pos")
+
+def _alike(docs: DataFrame, twos: DataFrame) -> DataFrame:
+    """(doc_id, source_id): open pairs of seeds (key, doc_id, lo, hi, open, n) with the earlier documents that have the same pair and
+    ``STRETCH`` of the words from ``lo`` to ``hi`` as well. Rows are compared in blocks within tasks, those that ``n`` rows share
+    a key with in many, so that neither rows nor memory grow with the square of a key's rows."""
+    twos = twos.toDF("key", "doc_id", "lo", "hi", "open", "n")
+    parts = twos.groupBy("doc_id").agg(F.collect_list(F.struct("key", "lo", "hi", "open", "n")).alias("parts"))
+    names = ["key", "block", "open", "doc_id", "size", "bag"]
+    schema = "key long, blocks int, open boolean, doc_id long, size int, bag binary"
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 64):
+            for doc, text, own in zip(b.column("doc_id").to_pylist(), utf8(b), b.column("parts"), strict=True):
+                h = (words([text])[0] >> np.uint64(33)).astype(np.int64) % BAG
+                own = own.values
+                key, lo, hi, is_open, n = (own.field(c) for c in ("key", "lo", "hi", "open", "n"))
+                lo, hi = (x.to_numpy().astype(np.int64) for x in (lo, hi))
+                for at in range(0, len(lo), BLOCK):
+                    part = slice(at, at + BLOCK)
+                    size = hi[part] - lo[part]
+                    row = np.repeat(np.arange(len(size)), size)
+                    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size - lo[part], size)
+                    bag = np.bincount(row * BAG + h[place], minlength=len(size) * BAG).astype(np.uint8)
+                    raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BAG), len(size), [None, pa.py_buffer(bag)])
+                    blocks = -(-n.slice(at, BLOCK).to_numpy() // BLOCK)
+                    columns = [
+                        key.slice(at, BLOCK),
+                        pa.array(blocks.astype(np.int32)),
+                        is_open.slice(at, BLOCK),
+                        pa.array(np.full(len(size), doc)),
+                        pa.array(size.astype(np.int32)),
+                        raw.cast(pa.binary()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "blocks", "open", "doc_id", "size", "bag"])
+
+    def meet(doc, size, bag, source, length, other) -> Iterator[np.ndarray]:
+        step = max(1, (1 << 17) // len(source))
+        for at in range(0, len(doc), step):
+            part = slice(at, at + step)
+            both = np.minimum(size[part, None], length), np.maximum(size[part, None], length)
+            i, j = np.nonzero((source < doc[part, None]) & (both[0] >= STRETCH * both[1]))
+            if len(i):
+                same = np.minimum(bag[part][i], other[j]).sum(1, dtype=np.int32)
+                good = same >= STRETCH * np.maximum(size[part][i], length[j])
+                if good.any():
+                    yield np.unique(np.stack([doc[part][i[good]], source[j[good]]], 1), axis=0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for b in batches:
+            key, block, is_open, doc, size = (b.column(c).to_numpy(zero_copy_only=False) for c in names[:5])
+            bag = np.frombuffer(b"".join(b.column("bag").to_pylist()), np.uint8).reshape(-1, BAG)
+            edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1])]) if len(key) else ()
+            out = []
+            for lo, hi in zip(edge, [*edge[1:], len(key)], strict=True):
+                if (key[lo], block[lo]) != at:
+                    at, held = (key[lo], block[lo]), []
+                cut = lo + int(np.searchsorted(is_open[lo:hi], True))
+                if cut > lo:
+                    held.append((doc[lo:cut], size[lo:cut], bag[lo:cut]))
+                if hi > cut and held:
+                    held = [tuple(np.concatenate(x) for x in zip(*held, strict=True))]
+                    out += meet(doc[cut:hi], size[cut:hi], bag[cut:hi], *held[0])
+            if out:
+                out = np.unique(np.concatenate(out), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["doc_id", "source_id"])
+
+    rows = docs.select("doc_id", "text").where("doc_id is not null").join(parts, "doc_id").mapInArrow(bags, schema)
+    # A row is a source in one block of its key; an open one meets the sources of every block.
+    sources = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).withColumn("open", F.lit(False))
+    opens = rows.where("open").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = sources.select(names).union(opens.select(names)).repartition("key", "block").sortWithinPartitions("key", "block", "open")
+    return dealt.mapInArrow(run, "doc_id long, source_id long").distinct()
 
 
 def _open_runs(linked: DataFrame, passages: DataFrame, least: int) -> DataFrame:

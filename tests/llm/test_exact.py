@@ -398,3 +398,23 @@ def test_runs_of_one_word_are_found_whole(spark):
 
 def covered(spans, start, end):
     return all(any(s <= i < e for s, e in spans) for i in range(start, end))
+
+
+def test_documents_that_share_frequent_pairs_only_do_not_meet(spark):
+    """Every text has one common line twice, around words of its own at distances alike; two share a passage across their lines."""
+    rnd = random.Random(4)
+    fill = lambda n: [f"s{rnd.randrange(10**6)}" for _ in range(n)]
+    line, halves = fill(16), fill(60)
+    texts = {i: [*line, *fill(40 + i % 20), *line, *fill(30)] for i in range(2, 200)}
+    for i, part in ((0, halves[:30]), (1, halves[30:]), (100, halves), (199, halves)):
+        texts[i] = [*fill(9), *line, *part, *line, *fill(9)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    linked = chain_dedup.matches(docs)
+    rest = chain_dedup.materialize(chain_dedup._open_runs(linked, chain_dedup.repeated_passages(docs).limit(0), 40))
+    keys = rest.select(*chain_dedup.SEED).distinct()
+    shared = linked.join(keys, chain_dedup.SEED, "left_semi").select(*chain_dedup.SEED, "doc_id", "pos")
+    runs = chain_dedup._runs(chain_dedup._places(docs, shared, rest))
+    met = chain_dedup._all_earlier(docs, rest, runs).select("doc_id", "source_id").distinct().collect()
+    assert (199, 100) in {tuple(r) for r in met} and len(met) < 600, len(met)
+    got = chain_dedup.repeated_passages(docs).collect()
+    assert {(r.doc_id, r.source_id) for r in got if r.n_words >= 60} == {(199, 100)}
