@@ -555,7 +555,7 @@ def _all_earlier(docs: DataFrame, rest: DataFrame, runs: DataFrame) -> DataFrame
 #: all open has beyond its outermost ones no ten words in a row that agree, so it is alike by 0.66 between two of them at least.
 STRETCH = 0.6
 #: Classes of words that are counted, and rows of one pair of seeds in a block.
-BAG, BLOCK = 128, 4096
+BAG, BLOCK = 256, 4096
 
 
 def _alike(docs: DataFrame, twos: DataFrame) -> DataFrame:

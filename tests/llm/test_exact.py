@@ -405,7 +405,7 @@ def test_documents_that_share_frequent_pairs_only_do_not_meet(spark):
     rnd = random.Random(4)
     fill = lambda n: [f"s{rnd.randrange(10**6)}" for _ in range(n)]
     line, halves = fill(16), fill(60)
-    texts = {i: [*line, *fill(40 + i % 20), *line, *fill(30)] for i in range(2, 200)}
+    texts = {i: [*line, *fill(45 + i % 20), *line, *fill(30)] for i in range(2, 200)}
     for i, part in ((0, halves[:30]), (1, halves[30:]), (100, halves), (199, halves)):
         texts[i] = [*fill(9), *line, *part, *line, *fill(9)]
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
