@@ -272,8 +272,8 @@ def chains(found: DataFrame, least: int = LEAD) -> DataFrame:
     return dealt.mapInArrow(run, "doc_id long, source_id long, pos array<int>, source_pos array<int>")
 
 
-def cut_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, lo, hi, words array<int>): hashes of the words ``lo`` to ``hi`` of documents, for distinct (doc_id, lo, hi)."""
+def cut_words(docs: DataFrame, parts: DataFrame) -> DataFrame:
+    """(doc_id, lo, hi, words array<int>): hashes of the words ``lo`` to ``hi`` of documents, for (doc_id, parts) with distinct (lo, hi)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 64):
@@ -285,8 +285,6 @@ def cut_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lo", "hi", "words"])
 
-    # A document has no more distinct ranges than its own length allows.
-    parts = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("parts"))
     rows = docs.select("doc_id", "text").where("doc_id is not null").join(parts, "doc_id")
     return rows.mapInArrow(run, "doc_id long, lo int, hi int, words array<int>")
 
@@ -542,7 +540,7 @@ def _all_earlier(docs: DataFrame, rest: DataFrame, runs: DataFrame) -> DataFrame
     )
     # Rows that have no open one after them, or none before them, meet nothing.
     met = twos.join(shared.where("least < last"), "key").where("doc_id < last or open")
-    pairs = materialize(_alike(docs, met.select("key", "doc_id", "lo", "hi", F.col("open") & (F.col("doc_id") > F.col("least")), "n")))
+    pairs = _alike(docs, met.select("key", "doc_id", "lo", "hi", F.col("open") & (F.col("doc_id") > F.col("least")), "n"))
     # Chains are laid through the ends alone: what lies inside would tie one end of a run to the other of a longer one.
     own = ends.where("open and outer").select("doc_id", "pos", *SEED)
     source = ends.where("outer").select(F.col("doc_id").alias("source_id"), F.col("pos").alias("source_pos"), *SEED)
@@ -564,6 +562,7 @@ def _alike(docs: DataFrame, twos: DataFrame) -> DataFrame:
     a key with in many, so that neither rows nor memory grow with the square of a key's rows."""
     twos = twos.toDF("key", "doc_id", "lo", "hi", "open", "n")
     parts = twos.groupBy("doc_id").agg(F.collect_list(F.struct("key", "lo", "hi", "open", "n")).alias("parts"))
+    parts = materialize(parts)
     names = ["key", "block", "open", "doc_id", "size", "bag"]
     schema = "key long, blocks int, open boolean, doc_id long, size int, bag binary"
 
@@ -629,7 +628,9 @@ def _alike(docs: DataFrame, twos: DataFrame) -> DataFrame:
     sources = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).withColumn("open", F.lit(False))
     opens = rows.where("open").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = sources.select(names).union(opens.select(names)).repartition("key", "block").sortWithinPartitions("key", "block", "open")
-    return dealt.mapInArrow(run, "doc_id long, source_id long").distinct()
+    found = materialize(dealt.mapInArrow(run, "doc_id long, source_id long").distinct())
+    discard(parts)
+    return found
 
 
 def _open_runs(linked: DataFrame, passages: DataFrame, least: int) -> DataFrame:
@@ -659,7 +660,10 @@ def _passages(docs: DataFrame, linked: DataFrame, least: int, similar: float, le
         }
     )
     wanted = found.select("doc_id", "lo", "hi").union(found.select("source_id", "s_lo", "s_hi")).distinct()
-    cut = materialize(cut_words(docs, wanted).dropDuplicates(["doc_id", "lo", "hi"]))
+    # A document has no more distinct ranges than its own length allows. Written, their size is known: texts need not move for few.
+    parts = materialize(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("parts")))
+    cut = materialize(cut_words(docs, parts).dropDuplicates(["doc_id", "lo", "hi"]))
+    discard(parts)
     key = F.concat_ws(":", "source_id", "s_lo", "s_hi")
     rows = materialize(found.join(cut, ["doc_id", "lo", "hi"]).withColumn("key", key))
     discard(chained)
