@@ -42,8 +42,9 @@ def best_match(offers: DataFrame, ours: DataFrame, kernel: str = "token_set", le
     """``offers`` (offer_id, features) with score and the best catalogue row (our_id and its features): the highest score, then
     the lowest our_id. Rows without a candidate keep nulls."""
     # The rows are read for their names once, not once for each use of the names.
-    asked, held = (written(df.select("bare", "brand_key").distinct()) for df in (offers, ours))
-    pairs = candidates(asked, held, least)
+    asked = written(offers.select("bare", "brand_key").distinct())
+    held = written(ours.groupBy("bare", "brand_key").agg(F.min("our_id").alias("first_id")))
+    pairs = candidates(asked, held, least, kernel=kernel)
     scored = pairs.withColumn("score", F.round(similarity("bare", "our_bare", kernel), 4)).where(F.col("score") >= least)
     item = F.struct("our_id", F.col("size_ml").alias("our_size"), F.col("gender_key").alias("our_gender"))
     # Of catalogue rows with one name and brand, the first stands for all.

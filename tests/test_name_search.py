@@ -129,3 +129,27 @@ def test_challenges_are_those_of_all_pairs(spark):
         assert got[o.offer_id][2] == verdict and abs(got[o.offer_id][1] - score) < 0.011
         assert got[o.offer_id][0] == (chosen if score >= 65 else None)
     assert verdicts == {"confirmed", "review", "none"}
+
+
+@pytest.mark.parametrize("kernel", ["token_set", "weighted"])
+def test_the_best_by_a_frequent_word_is_that_of_all(spark, kernel, monkeypatch):
+    """Names that share one frequent word and nothing else, and single words that all names of a brand hold."""
+    from tamarisk.operators import matching
+
+    monkeypatch.setattr(name_join, "PIECE", 200)
+    monkeypatch.setattr(name_join, "CHUNK", 7)
+    rnd = random.Random(7)
+    letters = "abdgklmnoprstuvz"
+    word = lambda n: "".join(rnd.choice(letters) for _ in range(n))
+    # Ids fall as names rise, so that the first name is not the first id.
+    ours = [(1000 - i, f"velvet {word(8)}" + (f" {word(5)}" if i % 2 else ""), rnd.choice("pq")) for i in range(500)]
+    theirs = [(i, f"{rnd.choice(['velvet', 'velvt'])} {word(8)}", rnd.choice(["p", "q", "r", ""])) for i in range(40)]
+    theirs += [(100, "velvet", "p"), (101, "velvet", ""), (102, "velvett ab", "q"), (103, word(7), "p")]
+    extra = "size_ml double, gender_key string"
+    a = spark.createDataFrame([(*x, 0.0, "") for x in theirs], f"offer_id long, bare string, brand_key string, {extra}")
+    b = spark.createDataFrame([(*x, 0.0, "") for x in ours], f"our_id long, bare string, brand_key string, {extra}")
+    got = {r.offer_id: (r.score, r.our_id) for r in matching.best_match(a, b, kernel).collect()}
+    for i, name, brand in theirs:
+        near = [(-round(S.KERNELS[kernel](name, n), 4), k) for k, n, own in ours if not brand or not own or brand == own]
+        want = min(near) if near and i != 103 else None
+        assert got[i] == ((None, None) if want is None else (-want[0], want[1])), (i, name, brand)
