@@ -19,3 +19,9 @@ def test_offers_are_resolved_by_names_of_a_frequent_word(spark):
     ours, theirs = (matching.featured(x, "name", brand="brand") for x in tables(spark))
     got = matching.resolve(theirs, ours).collect()
     assert {(r.offer_id, r.our_id, r.ownership) for r in got} == {(1, 999, "owned"), (2, 999, "owned")}
+
+
+def test_what_we_own_by_a_frequent_word_is_not_missing(spark):
+    ours, theirs = tables(spark)
+    assert analysis.missing_analysis(ours, theirs).count() == 0
+    assert [tuple(r) for r in analysis.accounting(ours, theirs).collect()] == [("owned", 2)]
