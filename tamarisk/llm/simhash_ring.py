@@ -6,8 +6,8 @@ segment on, one, two, three and four consecutive segments differ in at most 0, 1
 third step and the full distance are checked on what shares a key.
 
 Texts with 0.8 of their shingles in common differ in 10 of 64 bits on average, too many for segments that tell texts apart to
-agree. ``similar_documents`` therefore takes candidates from keys of the shingles (``shingle_bands``), prunes them by a ring of
-eight segments with a wide budget, and checks what is left on the whole sets.
+agree, and some differ in any number. ``similar_documents`` therefore takes candidates from shingles of which alike texts must
+share one (``shingle_bands``) and checks the whole sets, so that it misses no pair.
 """
 
 from __future__ import annotations
@@ -18,17 +18,15 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, join_frequent, materialize, slices, utf8
 from .components import connected_components
-from .shingle_bands import SIMILAR, checked, linked_within, signatures
+from .shingle_bands import SIMILAR, checked, frequent, linked_within, met, signatures
 
 SEGMENTS, BITS = 4, 16
 DISTANCE = 3
-#: Differing bits up to which texts can be alike by 0.8: 3.6 standard deviations above the mean of 9.7.
-WIDE = 20
 #: A segment value that so many fingerprints hold, besides 64 times the mean, is hot; see ``_hot_keys``.
 HOT = 4096
 #: Longest run of equal keys that is compared pair by pair at once; longer ones are searched breadth first.
@@ -196,73 +194,62 @@ def near_duplicates(docs: DataFrame, size: int = 3, seed: int = 42, hot: int = H
     return out.select("doc_id", "fp", "component_id")
 
 
-def ring_within(x: Column, distance: int, segments: int = 8) -> Column:
-    """Whether the bits set in ``x`` are ``distance`` at most; first, whether from some segment on every run of segments has no
-    more than its share of them, which holds wherever the whole ring keeps within the budget."""
-    bits = 64 // segments
-    up = lambda n: F.call_function("shiftleft", x, n)
-    down = lambda n: F.call_function("shiftrightunsigned", x, n)
-    turned = [x if not i else up(F.lit(i * bits)).bitwiseOR(down(F.lit(64 - i * bits))) for i in range(segments)]
-    runs = [(F.lit((1 << n * bits) - 1).cast("long"), distance * n // segments) for n in range(1, segments)]
-    chain = F.lit(False)
-    for t in turned:
-        within = F.lit(True)
-        for mask, budget in runs:
-            within &= F.bit_count(t.bitwiseAND(mask)) <= budget
-        chain |= within
-    return chain & (F.bit_count(x) <= distance)
-
-
-def similar_documents(docs: DataFrame, size: int = 5, similar: float = SIMILAR, distance: int = WIDE) -> DataFrame:
+def similar_documents(docs: DataFrame, size: int = 5, similar: float = SIMILAR) -> DataFrame:
     """(doc_id, component_id): documents linked by a Jaccard similarity of ``similar`` or more, directly or through others.
 
-    Texts with equal sets of shingles are one class. Of the members of each key, those that differ from the most typical one's
-    fingerprint in ``distance`` bits at most are checked against it; then members of a key that no links connect yet are compared
+    Texts with equal sets of shingles are one class. Classes that share a key which few hold are checked pair by pair. Of the members
+    of other keys all are checked against the most typical one; then members of a key that no links connect yet are compared
     with each other, block by block. Null or wordless texts are one class; repeated rows stay rows; null ids
     are grouped like others; an empty table gives no rows; no column but doc_id and text is read.
     """
-    signed = materialize(signatures(docs, size))
-    first = signed.groupBy("cls").agg(
-        F.min("doc_id").alias("doc_id"),
-        F.count("*").alias("copies"),
-        *(F.first(c).alias(c) for c in ("n", "fp", "bands")),
-    )
+    signed = materialize(signatures(docs, size, similar, frequent(docs, size)))
+    first = signed.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "sketch")))
     first = materialize(first)
-    keys = first.select("cls", "n", "fp", F.explode("bands").alias("key"))
-    sizes = materialize(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
-    # Most keys have one member and go here; what is left of frequent ones is small enough for adaptive skew joins.
-    shared = materialize(keys.join(sizes, "key"))
-    total = max(1, shared.count())
-    # A text that many others were made from shares most of its keys with most of them: such a one is put first.
-    typical = shared.groupBy("cls").agg(F.sum("m").alias("weight"))
-    ranked = shared.join(typical, "cls")
-    root = ranked.groupBy("key").agg(F.max_by(F.struct("cls", "n", "fp"), F.struct("weight", "cls")).alias("root"), F.max("m").alias("size"))
-    shared, before = materialize(join_frequent(shared, materialize(root), "key", "size", total).drop("size")), shared
-    discard(sizes, before)
-
-    def alike(a: str, b: str) -> Column:
-        n, m = F.col(f"{a}n"), F.col(f"{b}n")
-        near = ring_within(F.col(f"{a}fp").bitwiseXOR(F.col(f"{b}fp")), distance)
-        return (F.least(n, m) >= similar * F.greatest(n, m)) & near
-
-    stars = shared.where((F.col("cls") != F.col("root.cls")) & alike("", "root."))
-    links = checked(stars.select(F.col("cls").alias("a"), F.col("root.cls").alias("b")), docs, first, size, similar)
+    own = signed.select("cls", "doc_id", "n", "keys").join(first.select("cls", "doc_id"), ["cls", "doc_id"], "left_semi")
+    shared = materialize(met(own.select("cls", "n", F.explode("keys").alias("key")), similar))
+    ids = materialize(signed.select("doc_id", "cls"))
+    discard(signed)
+    pairs = shared.where("key is null").select("a", "b")
+    wide = materialize(shared.where("key is not null").select("key", F.col("a").alias("cls"), "n"))
+    some = not wide.isEmpty()
+    if some:
+        starred = _starred(wide)
+        ours, other = F.col("n"), F.col("root.n")
+        alike = F.least(ours, other) >= similar * F.greatest(ours, other) - 1e-9
+        stars = starred.where((F.col("cls") != F.col("root.cls")) & alike)
+        pairs = pairs.union(stars.select(F.least("cls", "root.cls").alias("a"), F.greatest("cls", "root.cls").alias("b")))
+    links = checked(pairs, docs, first, size, similar)
     nodes = materialize(connected_components(links))
-    named = shared.join(nodes, shared.cls == nodes.node, "left").select(
-        "key", "cls", "n", "fp", F.coalesce("component", "cls").alias("part"), (F.col("cls") == F.col("root.cls")).alias("top")
-    )
-    named = materialize(named)
-    discard(shared)
-    split = named.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("m"))
-    # The first of a key has met all others.
-    split = materialize(split.where("p <> q and m > 2").select("key"))
-    rest = named.where("not top").join(split, "key", "left_semi").select("key", "cls", "part")
-    links = links.union(materialize(linked_within(rest, docs, first, size, similar)))
-    nodes = connected_components(links)
+    if some:
+        named = starred.join(nodes, starred.cls == nodes.node, "left").select(
+            "key", "cls", F.coalesce("component", "cls").alias("part"), (F.col("cls") == F.col("root.cls")).alias("top")
+        )
+        named = materialize(named)
+        discard(starred)
+        split = named.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"))
+        # The first of a key has met all others.
+        split = materialize(split.where("p <> q").select("key"))
+        if not split.isEmpty():
+            rest = named.where("not top").join(split, "key", "left_semi").select("key", "cls", "part")
+            links = links.union(materialize(linked_within(rest, docs, first, size, similar)))
+            nodes = connected_components(links)
+    discard(shared, wide)
     joined = materialize(nodes.join(first.select(F.col("cls").alias("node"), "doc_id"), "node"))
     lowest = joined.groupBy("component").agg(F.min("doc_id").alias("lowest"), F.count("*").alias("many"))
     moved = join_frequent(joined, lowest, "component", "many", joined.count()).select(F.col("node").alias("cls"), "lowest")
     roots = first.select("cls", F.col("doc_id").alias("least"), "copies").join(moved, "cls", "left")
     roots = materialize(roots.select("cls", F.coalesce("lowest", "least").alias("component_id"), "copies"))
-    out = join_frequent(signed.select("doc_id", "cls"), roots, "cls", "copies", signed.count())
+    out = join_frequent(ids, roots, "cls", "copies", ids.count())
     return out.select("doc_id", "component_id")
+
+
+def _starred(wide: DataFrame) -> DataFrame:
+    """``wide`` (key, cls, n) with each key's most typical class as ``root`` (cls, n)."""
+    sizes = wide.groupBy("key").agg(F.count("*").alias("m"))
+    total = max(1, wide.count())
+    # A text that many others were made from shares most of its keys with most of them: such a one is put first.
+    typical = wide.join(sizes, "key").groupBy("cls").agg(F.sum("m").alias("weight"))
+    root = wide.join(typical, "cls").groupBy("key").agg(
+        F.max_by(F.struct("cls", "n"), F.struct("weight", "cls")).alias("root"), F.count("*").alias("size")
+    )
+    return materialize(join_frequent(wide, materialize(root), "key", "size", total).drop("size"))

@@ -418,3 +418,32 @@ def test_documents_that_share_frequent_pairs_only_do_not_meet(spark):
     assert (199, 100) in {tuple(r) for r in met} and len(met) < 600, len(met)
     got = chain_dedup.repeated_passages(docs).collect()
     assert {(r.doc_id, r.source_id) for r in got if r.n_words >= 60} == {(199, 100)}
+
+
+def test_every_pair_alike_is_linked(spark, monkeypatch):
+    """Pairs just at the bound, some of which no band of minimum hashes has in common, and clusters of more than a key pairs at once."""
+    from tamarisk.llm import shingle_bands
+
+    rnd = random.Random(21)
+    rows = []
+    for g in range(4000):
+        base = [f"g{g}w{i}" for i in range(30)]
+        # 24 of 30 shingles are common.
+        rows += [(2 * g, " ".join(base[:29])), (2 * g + 1, " ".join(base[:28] + [f"x{rnd.randrange(10**9)}" for _ in range(5)]))]
+    for i in range(40):
+        own = [f"c{k}" for k in range(100)]
+        own[rnd.randrange(10)] = own[rnd.randrange(40, 100)] = f"y{i}"
+        rows.append((9000 + i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for i, t in rows for w in [t.split()]}
+    pairs = [(2 * g, 2 * g + 1) for g in range(4000)] + [(a, b) for a in range(9000, 9040) for b in range(a + 1, 9040)]
+    pairs = [(a, b) for a, b in pairs if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    root = {i: i for i, _ in rows}
+    for _ in range(3):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    assert len(pairs) > 4000
+    for last, often in ((100_000, 4), (5, 2)):
+        monkeypatch.setattr(shingle_bands, "LAST", last)
+        monkeypatch.setattr(shingle_bands, "OFTEN", often)
+        assert {r.doc_id: r.component_id for r in simhash_ring.similar_documents(docs).collect()} == root
